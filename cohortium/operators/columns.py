@@ -18,9 +18,9 @@ def keep_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def missing_columns(df: DataFrame, wanted: list[str], source: str) -> DataFrame:
-    """One row per requested column: source, column, present."""
+    """One row per requested column: source, rows of the source, column, present."""
     listed = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present")) for c in wanted])
-    return df.sparkSession.range(1).select(F.lit(source).alias("source"), F.inline(listed))
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(source).alias("source"), "rows", F.inline(listed))
 
 
 def assign_where(df: DataFrame, column: str, condition: Column, value) -> DataFrame:

@@ -183,8 +183,6 @@ def for_reference_columns(report: DataFrame, names: DataFrame) -> DataFrame:
 
 def compare_reports(before: DataFrame, after: DataFrame, value: str = "null_pct") -> DataFrame:
     """(column, before, after) as text, '-' where a side has no such column."""
-    def show(name):
-        return F.coalesce(F.format_string("%.2f", F.when(F.col(name).isNotNull(), F.col(name))), F.lit("-"))
     joined = before.select("column", F.col(value).alias("b")).join(
         after.select("column", F.col(value).alias("a")), "column", "full_outer")
     text = lambda n: F.when(F.col(n).isNull(), "-").otherwise(F.format_string("%.2f", F.col(n)))
