@@ -47,7 +47,7 @@ class LinearFamily:
             mix = first / strength
         scaler = StandardScaler(withMean=True, inputCol=self.features, outputCol="_scaled").fit(df)
         line = LinearRegression(featuresCol="_scaled", labelCol=self.label, regParam=strength, elasticNetParam=mix,
-                                solver="l-bfgs", standardization=False, tol=1e-10, maxIter=300).fit(scaler.transform(df))
+                                solver="l-bfgs", standardization=False, tol=1e-8, maxIter=300).fit(scaler.transform(df))
         return PipelineModel([scaler, line])
 
 
