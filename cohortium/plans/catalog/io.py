@@ -134,7 +134,7 @@ def prepare_files(spark, sf_dir):
     keep = ["PreBLFBS", "PreRwaist", "PreBLHBA1C", "PreRgender", "PreRarea", "not_there"]
     written, _ = cleaning.prepare_files(spark, {s: f"{root}/{s}.csv" for s in ("F", "O", "P")}, f"{root}/prepared",
                                         keep=keep, overwrite=True, fill_targets=False)
-    report = cleaning.complete_files(spark, written, f"{root}/final", keep, ["PreRgender"], rounds=2, learner="ridge")
+    report = cleaning.complete_files(spark, written, f"{root}/final", keep[:3], ["PreRgender"], rounds=2, learner="ridge")
     return report.drop("method")
 
 
@@ -165,4 +165,5 @@ def stream(spark, sf_dir):
     running = scoring_stream.start(scored.select("event_id", "valid", "score", "post_category"), path,
                                    fresh_path(spark, "offsets"), once=True)
     running.awaitTermination()
-    return spark.read.parquet(path).select("event_id", "valid", "score", "post_category")
+    written = "event_id bigint, score double, post_category string, valid boolean"
+    return spark.read.schema(written).parquet(path).select("event_id", "valid", "score", "post_category")
