@@ -14,9 +14,14 @@ def lookup(key: Column, mapping: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+# every character Unicode counts as white space
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def clean_text(c: Column) -> Column:
-    """Strip all surrounding whitespace (``trim`` would only strip spaces)."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    """Strip all surrounding whitespace (a plain ``trim`` would only strip spaces)."""
+    return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
 def normalize_category(c: Column, mapping: dict = rules.GENDER, missing: str = "Missing",
@@ -60,17 +65,19 @@ def code_minutes(c: Column, unknown: int = -1) -> Column:
 
 
 def yes_no(c: Column, legacy: bool = False) -> Column:
-    """1, 0 or null. ``legacy`` reads a number such as 1.0 by its digits alone (so 1.0 becomes 0)."""
+    """1, 0 or null, by the letters and digits of the text.
+
+    A number equal to 1 or 0 counts as such, however it is written. ``legacy`` leaves that test out
+    and reads 1.0 by its digits alone, which makes it 0.
+    """
     text = F.lower(clean_text(c))
-    word = F.regexp_replace(text, "[^a-z0-9]", "")
-    number = text.try_cast("double")
     result = F.when(text.isNull() | text.isin(*rules.MISSING_TOKENS), None)
     if not legacy:
-        result = result.when(number == 1, 1).when(number == 0, 0)
-    return (result
-            .when(word == "1", 1).when(word == "0", 0)
-            .when(word.startswith("yes") | (word == "y") | word.endswith("1"), 1)
-            .when(word.startswith("no") | (word == "n") | word.endswith("0"), 0))
+        result = result.when(text.rlike(r"^[+]?0*1([.]0*)?$"), 1).when(text.rlike(r"^[+-]?(0+([.]0*)?|[.]0+)$"), 0)
+    other = "[^a-z0-9]*"
+    yes = f"^{other}y{other}e{other}s|^{other}y{other}$|1{other}$"
+    no = f"^{other}n{other}o|^{other}n{other}$|0{other}$"
+    return result.when(text.rlike(yes), 1).when(text.rlike(no), 0)
 
 
 def null_tokens(c: Column, tokens: tuple = rules.NULL_TOKENS) -> Column:

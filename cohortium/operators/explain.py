@@ -135,8 +135,14 @@ def explainable(models: dict):
     raise ValueError("no tree model to explain")
 
 
+def spread_array(df: DataFrame, keep: list[str], array: str | Column) -> DataFrame:
+    """One row per array element. The outer form with a test on the element itself: for the inner form the
+    optimizer adds a test on the array, which would compute the whole array once more."""
+    return df.select(*keep, F.inline_outer(array)).where(F.col("feature").isNotNull())
+
+
 def long_factors(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.inline("factors"))
+    return spread_array(df, keep, "factors")
 
 
 def importance(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -158,7 +164,7 @@ def waterfall(df: DataFrame, keep: list[str]) -> DataFrame:
     steps = F.transform("_o", lambda f, i: F.struct(
         (i + 1).alias("step"), f["feature"].alias("feature"), f["phi"].alias("phi"),
         F.aggregate(F.slice("_o", 1, i + 1), F.col("base"), lambda a, g: a + g["phi"]).alias("running")))
-    return ordered.select(*keep, F.inline(steps))
+    return spread_array(ordered, keep, steps)
 
 
 def hidden(f: Column, table: list[tuple] = rules.GUARDRAIL_RULES) -> Column:
@@ -189,7 +195,8 @@ def top_factors(df: DataFrame, k: int = 10, pin: str | None = None, pin_at: int
 
     A factor whose feature starts with ``pin`` and that ranks below place ``pin_at`` moves up to it.
     """
-    out = df.withColumn("_t", F.slice(by_size(), 1, k))
+    # sorted once; the largest is the first before anything moves
+    out = df.withColumn("_t", F.slice(by_size(), 1, k)).withColumn("_big", F.abs(F.get("_t", F.lit(0))["phi"]))
     if pin:
         at = F.array_position(F.transform("_t", lambda f: f["feature"].startswith(pin)), True)
         moved = F.concat(F.slice("_t", 1, pin_at - 1), F.slice("_t", F.col("_at"), F.lit(1)),
@@ -197,13 +204,12 @@ def top_factors(df: DataFrame, k: int = 10, pin: str | None = None, pin_at: int
                          F.slice("_t", F.col("_at") + 1, F.lit(k)))
         out = out.withColumn("_at", at.cast("int"))
         out = out.withColumn("_t", F.when(F.col("_at") > pin_at, moved).otherwise(F.col("_t"))).drop("_at")
-    largest = F.array_max(F.transform("_t", lambda f: F.abs(f["phi"])))
     told = F.transform("_t", lambda f, i: F.struct(
         (i + 1).alias("place"), f["feature"].alias("feature"), F.round(f["phi"], 4).alias("impact"),
         F.when(f["phi"] > 0, "Increases HbA1c").otherwise("Reduces HbA1c").alias("direction"),
         interpretation(readable_name(f["feature"], names), f["phi"]).alias("interpretation"),
-        F.try_divide(F.abs(f["phi"]) * 100, largest).alias("share")))
-    return out.withColumn("top", told).drop("_t")
+        F.try_divide(F.abs(f["phi"]) * 100, F.col("_big")).alias("share")))
+    return out.withColumn("top", told).drop("_t", "_big")
 
 
 def dependence(df: DataFrame, ranked: list[str], keep: list[str], top: int = 3) -> DataFrame:

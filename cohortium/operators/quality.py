@@ -110,20 +110,38 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
     return joined.withColumn("median", null)
 
 
-def value_summary(tidy: DataFrame, cols: list[str], max_values: int) -> DataFrame:
+def _family(df: DataFrame, c: str) -> str:
+    """Common type in which a column's values can be told apart exactly."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "string"
+
+
+def value_summary(tidy: DataFrame, cols: list[str], max_values: int, always: bool = False) -> DataFrame:
     """(source, column, unique, values): distinct values counted in two steps, listed only when few.
 
-    The list comes from a rank-limited window, so a column of many values never gathers in one task.
+    With ``always`` the first ``max_values`` are listed however many there are. The list comes from a
+    rank-limited window, so a column of many values never gathers in one task.
     """
     keys = ["source", "column"]
-    texts = tidy.select("source", *[F.col(c).cast("string").alias(c) for c in cols])
-    distinct = texts.unpivot(["source"], cols, "column", "value").where("value is not null").distinct()
-    unique = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("value"))
-    few = (distinct.withColumn("r", rank).where(F.col("r") <= max_values + 1).groupBy(*keys)
-           .agg(F.array_sort(F.collect_list("value")).alias("listed")))
-    listed = F.when(F.size("listed") <= max_values, F.col("listed"))
-    return unique.join(few.select(*keys, listed.alias("values")), keys)
+    parts = []
+    for family in ("bigint", "double", "string"):
+        mine = [c for c in cols if _family(tidy, c) == family]
+        if not mine:
+            continue
+        values = tidy.select("source", *[F.col(c).cast(family).alias(c) for c in mine])
+        distinct = values.unpivot(["source"], mine, "column", "value").where("value is not null").distinct()
+        unique = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("value"))
+        few = (distinct.withColumn("r", rank).where(F.col("r") <= max_values + (0 if always else 1)).groupBy(*keys)
+               .agg(F.array_sort(F.collect_list("value")).cast("array<string>").alias("listed")))
+        listed = F.when(F.size("listed") <= max_values, F.col("listed"))
+        parts.append(unique.join(few.select(*keys, listed.alias("values")), keys))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def describe_profile(profiled: DataFrame) -> DataFrame:
@@ -146,17 +164,12 @@ def cross_verify(df: DataFrame, by: str, sources: list[str], cols: list[str] | N
 def column_detail(df: DataFrame, cols: list[str], samples: int = 5) -> DataFrame:
     """(column, type, unique, missing, samples): the samples are the first distinct values in order."""
     tidy = df.select(F.lit("ALL").alias("source"), *[F.when(~_missing(df, c), F.col(c)).alias(c) for c in cols])
-    texts = tidy.select("source", *[F.col(c).cast("string").alias(c) for c in cols])
-    distinct = texts.unpivot(["source"], cols, "column", "value").where("value is not null").distinct()
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    first = (distinct.withColumn("r", rank).where(F.col("r") <= samples).groupBy("column")
-             .agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("samples")))
-    unique = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    found = value_summary(tidy, cols, samples, always=True).select(
+        "column", "unique", F.array_join("values", ", ").alias("samples"))
     base = tidy.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in cols]).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
                  (F.col("rows") - F.col(c)).alias("missing")) for c in cols])))
-    return base.join(unique, "column", "left").join(first, "column", "left").withColumn(
-        "unique", F.coalesce("unique", F.lit(0)))
+    return base.join(found, "column", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
 
 
 def target_summary(df: DataFrame, target: str, by: list[str] = ()) -> DataFrame:

@@ -175,7 +175,7 @@ _TOLD = f"""SELECT id, CAST({{place}} AS INT) AS place, feature, round(phi, 4) A
 
 def _top(df, **options):
     told = ex.top_factors(ex.guardrail(df), **options)
-    return r6(told.select("id", F.inline("top")), "share", places=4)
+    return r6(ex.spread_array(told, ["id"], "top"), "share", places=4)
 
 
 @query("w2_w4_top_factors", _TOP.format(k=10) + " " + _TOLD.format(place="r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import quality as q
-from ..survey import GAPS_SQL, SURVEY_SQL, gaps, r6, survey, table
+from ..survey import GAPS_SQL, SURVEY_SQL, gaps, r6, spread, survey, table
 from .registry import query
 
 _COLS = ["o_totalprice", "o_custkey", "o_orderpriority"]
@@ -97,7 +97,8 @@ _LINES = {"l_quantity": "double", "l_extendedprice": "double", "l_discount": "do
 
 @query("a5_profile_lineitem", f"WITH p AS ({_profile_sql('lineitem', _LINES, chr(39) + 'ALL' + chr(39))}) SELECT * FROM p")
 def profile_lines(spark, sf_dir):
-    out = q.profile(table(spark, sf_dir, "lineitem"), list(_LINES)).drop("values")
+    lines = spread(table(spark, sf_dir, "lineitem").select(*_LINES))
+    out = q.profile(lines, list(_LINES)).drop("values")
     return r6(out, "missing_pct", "range", "mean", "median", places=4)
 
 
@@ -123,7 +124,7 @@ _DETAIL = {"PreRsleepquality": "string", "PreRstworkvalue": "double", "PreRarea"
 
 @query("a7_column_detail", f"WITH survey AS ({SURVEY_SQL}) " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) - count(\"{c}\") AS missing, count(DISTINCT \"{c}\") AS \"unique\", "
-    f"(SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST(\"{c}\" AS VARCHAR) AS v FROM survey WHERE \"{c}\" "
+    f"(SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM (SELECT DISTINCT \"{c}\" AS v FROM survey WHERE \"{c}\" "
     f"IS NOT NULL ORDER BY v LIMIT 5)) AS samples FROM survey" for c, t in _DETAIL.items()))
 def column_detail(spark, sf_dir):
     return q.column_detail(survey(spark, sf_dir), list(_DETAIL))
@@ -131,8 +132,8 @@ def column_detail(spark, sf_dir):
 
 def _cell(c: str, s: str, kind: str) -> str:
     if kind == "few":
-        return (f"(SELECT 'Values: [' || string_agg(v, ', ' ORDER BY v) || (CASE WHEN (SELECT count(*) - count(\"{c}\") FROM survey "
-                f"WHERE source = '{s}') > 0 THEN ', NaN' ELSE '' END) || ']' FROM (SELECT DISTINCT CAST(\"{c}\" AS VARCHAR) AS v "
+        return (f"(SELECT 'Values: [' || string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) || (CASE WHEN (SELECT count(*) - count(\"{c}\") FROM survey "
+                f"WHERE source = '{s}') > 0 THEN ', NaN' ELSE '' END) || ']' FROM (SELECT DISTINCT \"{c}\" AS v "
                 f"FROM survey WHERE source = '{s}' AND \"{c}\" IS NOT NULL))")
     if kind == "range":
         return (f"(SELECT printf('Range: %.1f - %.1f', min(\"{c}\"), max(\"{c}\")) FROM survey WHERE source = '{s}')")

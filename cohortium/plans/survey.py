@@ -65,6 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer splits than there are cores is dealt out over them; a large one is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _answer(key: Column, spec: tuple) -> Column:
     factor, shift, words = spec
     return F.get(F.array(*[F.lit(w) for w in words]), F.pmod(key * factor + shift, F.lit(len(words))).cast("int"))
@@ -81,7 +87,7 @@ def _measure(key: Column, spec: tuple) -> Column:
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer sheet per order; the order status stands for the source."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")).select(
         key.alias("id"), F.col("o_orderstatus").alias("source"),
         *[_answer(key, s).alias(c) for c, s in ANSWERS.items()],
         *[_measure(key, s).alias(c) for c, s in MEASURES.items()])
@@ -129,7 +135,8 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     noise = (F.pmod(k * 7919, F.lit(1000)).cast("double") / 1000 - 0.5) * 0.4
     a, b = F.col("o_totalprice") / 100000, F.col("c_acctbal") / 5000
-    joined = table(spark, sf_dir, "orders").join(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    joined = spread(orders).join(
         table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(k.alias("id"), F.col("o_orderstatus").alias("source"), F.col("c_mktsegment").alias("segment"),
