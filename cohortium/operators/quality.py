@@ -67,7 +67,8 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
     """One row per (source, column): type, rows, missing %, unique values, min, max, range, mean, median, values.
 
     ``values`` lists the distinct values when there are at most ``max_values``. ``exact=False`` uses
-    sketches for the unique count and the median and lists no values: a single pass.
+    sketches for the unique count and the median and lists no values: a single lazy pass. The exact
+    form runs that pass at once, to learn which columns can have a list at all.
     """
     cols = [c for c in (cols or df.columns) if c != by]
     source = F.col(by).cast("string") if by else F.lit("ALL")
@@ -82,8 +83,7 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
             stats += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"av{i}")]
             if not exact:
                 stats.append(F.percentile_approx(v, 0.5, 10_000).alias(f"md{i}"))
-        if not exact:
-            stats.append(F.approx_count_distinct(c).alias(f"u{i}"))
+        stats.append(F.approx_count_distinct(c).alias(f"u{i}"))
     null = F.lit(None).cast("double")
     rows = []
     for i, c in enumerate(cols):
@@ -94,15 +94,22 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
                   (F.col(f"lo{i}") if n else null).alias("min"), (F.col(f"hi{i}") if n else null).alias("max"),
                   ((F.col(f"hi{i}") - F.col(f"lo{i}")) if n else null).alias("range"),
                   (F.col(f"av{i}") if n else null).alias("mean")]
+        fields.append(F.col(f"u{i}").alias("unique"))
         if not exact:
-            fields += [F.col(f"u{i}").alias("unique"), (F.col(f"md{i}") if n else null).alias("median")]
+            fields.append((F.col(f"md{i}") if n else null).alias("median"))
         rows.append(F.struct(*fields))
     base = tidy.groupBy("source").agg(*stats).select("source", "rows", F.inline(F.array(*rows)))
     if not exact:
         return base
 
     keys = ["source", "column"]
-    joined = base.join(value_summary(tidy, cols, max_values), keys, "left").withColumn(
+    base = base.withColumnRenamed("unique", "about").persist()
+    # four times the limit leaves the sketch room to be wrong
+    about = base.groupBy("column").agg(F.min("about").alias("least"), F.max("about").alias("most")).collect()
+    short = [r["column"] for r in about if r["most"] <= 4 * max_values]
+    mixed = [r["column"] for r in about if r["least"] <= 4 * max_values < r["most"]]
+    found = value_summary(tidy, cols, max_values, short, mixed)
+    joined = base.drop("about").join(found, keys, "left").withColumn(
         "unique", F.coalesce("unique", F.lit(0)))
     if numeric:
         medians = exact_quantiles(tidy, numeric, [0.5], by=["source"]).select(*keys, F.col("quantile").alias("median"))
@@ -110,38 +117,43 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
     return joined.withColumn("median", null)
 
 
-def _family(df: DataFrame, c: str) -> str:
-    """Common type in which a column's values can be told apart exactly."""
+def _typed(df: DataFrame, c: str) -> Column:
+    """(column, i, d, s): the value in the one type in which it can be told apart exactly."""
     kind = df.schema[c].dataType
-    if isinstance(kind, T.IntegralType):
-        return "bigint"
-    return "double" if isinstance(kind, (T.DoubleType, T.FloatType)) else "string"
+    whole = isinstance(kind, T.IntegralType)
+    real = isinstance(kind, (T.DoubleType, T.FloatType))
+    pick = lambda use, t: (F.col(c) if use else F.lit(None)).cast(t)
+    return F.struct(F.lit(c).alias("column"), pick(whole, "bigint").alias("i"), pick(real, "double").alias("d"),
+                    pick(not whole and not real, "string").alias("s"))
 
 
-def value_summary(tidy: DataFrame, cols: list[str], max_values: int, always: bool = False) -> DataFrame:
+def value_summary(tidy: DataFrame, cols: list[str], max_values: int, short: list[str],
+                  mixed: list[str] = (), always: bool = False) -> DataFrame:
     """(source, column, unique, values): distinct values counted in two steps, listed only when few.
 
-    With ``always`` the first ``max_values`` are listed however many there are. The list comes from a
-    rank-limited window, so a column of many values never gathers in one task.
+    ``short`` columns are known to have few values everywhere, so their lists are gathered as they
+    are. ``mixed`` ones have few only in some sources: they pass a rank-limited window, in which a
+    source of many values never gathers in one task. With ``always`` they list their first
+    ``max_values`` however many there are.
     """
-    keys = ["source", "column"]
-    parts = []
-    for family in ("bigint", "double", "string"):
-        mine = [c for c in cols if _family(tidy, c) == family]
-        if not mine:
-            continue
-        values = tidy.select("source", *[F.col(c).cast(family).alias(c) for c in mine])
-        distinct = values.unpivot(["source"], mine, "column", "value").where("value is not null").distinct()
-        unique = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique"))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("value"))
-        few = (distinct.withColumn("r", rank).where(F.col("r") <= max_values + (0 if always else 1)).groupBy(*keys)
-               .agg(F.array_sort(F.collect_list("value")).cast("array<string>").alias("listed")))
-        listed = F.when(F.size("listed") <= max_values, F.col("listed"))
-        parts.append(unique.join(few.select(*keys, listed.alias("values")), keys))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys, value = ["source", "column"], F.struct("i", "d", "s")
+    values = tidy.select("source", F.inline(F.array(*[_typed(tidy, c) for c in cols])))
+    distinct = values.where("i is not null or d is not null or s is not null").distinct()
+
+    def shown(c):
+        return F.transform(F.array_sort(c), lambda v: F.coalesce(v["i"].cast("string"), v["d"].cast("string"), v["s"]))
+    out = distinct.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("unique"), F.collect_list(F.when(F.col("column").isin(short), value)).alias("v"))
+    listed = F.when(F.size("v").between(1, max_values), shown("v"))
+    out = out.select(*keys, "unique", listed.alias("values"))
+    if not mixed:
+        return out
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    few = (distinct.where(F.col("column").isin(mixed)).withColumn("r", rank)
+           .where(F.col("r") <= max_values + (0 if always else 1)).groupBy(*keys)
+           .agg(F.collect_list(value).alias("v")))
+    few = few.select(*keys, F.when(F.size("v") <= max_values, shown("v")).alias("more"))
+    return out.join(few, keys, "left").select(*keys, "unique", F.coalesce("values", "more").alias("values"))
 
 
 def describe_profile(profiled: DataFrame) -> DataFrame:
@@ -164,7 +176,7 @@ def cross_verify(df: DataFrame, by: str, sources: list[str], cols: list[str] | N
 def column_detail(df: DataFrame, cols: list[str], samples: int = 5) -> DataFrame:
     """(column, type, unique, missing, samples): the samples are the first distinct values in order."""
     tidy = df.select(F.lit("ALL").alias("source"), *[F.when(~_missing(df, c), F.col(c)).alias(c) for c in cols])
-    found = value_summary(tidy, cols, samples, always=True).select(
+    found = value_summary(tidy, cols, samples, [], cols, always=True).select(
         "column", "unique", F.array_join("values", ", ").alias("samples"))
     base = tidy.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in cols]).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),

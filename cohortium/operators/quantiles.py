@@ -31,16 +31,18 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     keys = [*by, "column"]
     long = to_long(df, cols, by)
     slack = 2.0 / ACCURACY
-    brackets = [
-        F.percentile_approx("value", F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))), ACCURACY)
-        .alias(f"b{i}") for i, p in enumerate(probs)]
-    slots = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.col(f"b{i}")[0].alias("low"), F.col(f"b{i}")[1].alias("high"))
-        for i, p in enumerate(probs)])
-    # one row per (group, column), so that a value meets all its brackets in one narrow step
-    sketch = (long.groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
-              .agg(F.count(F.lit(1)).alias("n"), *brackets)
-              .select(*[f"_{k}" for k in keys], "n", slots.alias("slots")))
+    ends = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    aggs, rows = [], []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, ends, ACCURACY).alias(f"e{i}")]
+        slots = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(f"e{i}")[2 * k].alias("low"),
+                                   F.col(f"e{i}")[2 * k + 1].alias("high")) for k, p in enumerate(probs)])
+        rows.append(F.struct(F.lit(c).alias("_column"), F.col(f"n{i}").alias("n"), slots.alias("slots")))
+    # all columns in one wide aggregate, then one row per (group, column) with all its brackets
+    sketch = (df.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(*aggs)
+              .select(*[f"_{b}" for b in by], F.inline(F.array(*rows))))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     met = long.join(small_side(sketch), same).select(*keys, "value", "n", F.explode("slots").alias("s"))
     zone = F.when(F.col("value") < F.col("s.low"), -1).when(F.col("value") > F.col("s.high"), 1).otherwise(0)
