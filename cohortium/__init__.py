@@ -1,0 +1 @@
+"""Cohort analytics on Spark: cleaning, filling, modelling and explaining tabular cohorts."""
