@@ -8,11 +8,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,53 +22,32 @@ from .transform import add_fold
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class LinearFamily:
-    """Ridge, lasso or elastic net with the usual penalties, on standardised features.
+def moments(df: DataFrame, features: str, label: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, centred products) of (features…, label): one distributed pass.
 
-    The penalties are restated for Spark, which scales the label inside: the squared part scales
-    with the deviation of the label, and ridge also with the number of rows.
+    Each partition adds up its own rows, shifted by one row of the data so that large means cost no digits.
     """
-
-    def __init__(self, kind: str = "ridge", alpha: float = 1.0, l1_ratio: float = 0.5,
-                 features: str = "features", label: str = "label"):
-        self.kind, self.alpha, self.l1_ratio = kind, alpha, l1_ratio
-        self.features, self.label = features, label
-
-    def fit(self, df: DataFrame) -> PipelineModel:
-        facts = df.agg(F.count(self.label).alias("n"), F.stddev_samp(self.label).alias("s")).first()
-        n, s = facts["n"], facts["s"] or 1.0
-        if self.kind == "ridge":
-            strength, mix = self.alpha * s / n, 0.0
-        elif self.kind == "lasso":
-            strength, mix = self.alpha, 1.0
-        else:
-            first = self.alpha * self.l1_ratio
-            strength = first + self.alpha * (1 - self.l1_ratio) * s
-            mix = first / strength
-        scaler = StandardScaler(withMean=True, inputCol=self.features, outputCol="_scaled").fit(df)
-        line = LinearRegression(featuresCol="_scaled", labelCol=self.label, regParam=strength, elasticNetParam=mix,
-                                solver="l-bfgs", standardization=False, tol=1e-8, maxIter=300).fit(scaler.transform(df))
-        return PipelineModel([scaler, line])
-
-
-def gram(df: DataFrame, features: str, label: str) -> tuple[np.ndarray, int]:
-    """Moment matrix of (1, features…, label) and the row count; each partition adds up its own rows first."""
-    width = len(df.select(vector_to_array(features).alias("x")).head()["x"]) + 2
+    ready = df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
+    first = ready.where("y is not null").head()
+    shift = np.array([*first["x"], first["y"]])
+    width = len(shift) + 1
 
     def partial(batches):
         total = np.zeros((width, width))
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), np.array(batch["x"].tolist()), batch["y"]])
+            x = np.column_stack([np.array(batch["x"].tolist()).reshape(len(batch), width - 2), batch["y"]]) - shift
+            x = np.column_stack([np.ones(len(x)), x])
             total += x.T @ x
         i, j = np.triu_indices(width)
         yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
 
-    rows = (df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
-            .mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
+    rows = (ready.where("y is not null").mapInPandas(partial, "i int, j int, s double")
+            .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
     out = np.zeros((width, width))
     for r in rows:
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["s"]
-    return out, int(out[0, 0])
+    n, mean = int(out[0, 0]), out[0, 1:] / out[0, 0]
+    return n, mean + shift, out[1:, 1:] - n * np.outer(mean, mean)
 
 
 class FixedLine:
@@ -82,6 +61,49 @@ class FixedLine:
                            lambda a, b: a * b)
         return df.withColumn("prediction", F.aggregate(terms, F.lit(self.intercept), lambda a, b: a + b))
 
+    def save(self, spark, path: str) -> None:
+        row = spark.createDataFrame([(self.coefficients, self.intercept, self.features)],
+                                    "coefficients array<double>, intercept double, features string")
+        row.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> "FixedLine":
+        return FixedLine(*spark.read.parquet(path).select("coefficients", "intercept", "features").first())
+
+
+class LinearFamily:
+    """Ridge, lasso or elastic net with the usual penalties, on standardised features.
+
+    The data is read once, for its moment matrix; the small system that is left is solved on the
+    driver (ridge directly, the others by cycling over the coefficients).
+    """
+
+    def __init__(self, kind: str = "ridge", alpha: float = 1.0, l1_ratio: float = 0.5,
+                 features: str = "features", label: str = "label", rounds: int = 1000, tol: float = 1e-10):
+        self.kind, self.alpha, self.l1_ratio = kind, alpha, l1_ratio
+        self.features, self.label, self.rounds, self.tol = features, label, rounds, tol
+
+    def fit(self, df: DataFrame) -> FixedLine:
+        n, mean, spread = moments(df, self.features, self.label)
+        scale = np.sqrt(np.diag(spread)[:-1] / n)
+        scale[scale == 0] = 1.0
+        xx, xy = spread[:-1, :-1] / np.outer(scale, scale), spread[:-1, -1] / scale
+        if self.kind == "ridge":
+            beta = np.linalg.lstsq(xx + self.alpha * np.eye(len(xy)), xy, rcond=None)[0]
+        else:
+            share = 1.0 if self.kind == "lasso" else self.l1_ratio
+            first, second = n * self.alpha * share, n * self.alpha * (1 - share)
+            beta = np.zeros(len(xy))
+            for _ in range(self.rounds):
+                before = beta.copy()
+                for j in np.flatnonzero(np.diag(xx) > 0):
+                    pull = xy[j] - xx[j] @ beta + xx[j, j] * beta[j]
+                    beta[j] = np.sign(pull) * max(abs(pull) - first, 0.0) / (xx[j, j] + second)
+                if np.abs(beta - before).max() < self.tol:
+                    break
+        beta = beta / scale
+        return FixedLine(beta, mean[-1] - beta @ mean[:-1], self.features)
+
 
 class BayesianLine:
     """Bayesian ridge: both precisions by evidence iteration on the moment matrix, which is one distributed pass."""
@@ -90,10 +112,8 @@ class BayesianLine:
         self.features, self.label, self.rounds, self.tol = features, label, rounds, tol
 
     def fit(self, df: DataFrame) -> FixedLine:
-        moment, n = gram(df, self.features, self.label)
-        mean = moment[0] / n
-        spread = moment - n * np.outer(mean, mean)
-        xx, xy, yy = spread[1:-1, 1:-1], spread[1:-1, -1], spread[-1, -1]
+        n, mean, spread = moments(df, self.features, self.label)
+        xx, xy, yy = spread[:-1, :-1], spread[:-1, -1], spread[-1, -1]
         values, vectors = np.linalg.eigh(xx)
         values = np.clip(values, 0, None)
         turned = vectors.T @ xy
@@ -106,11 +126,11 @@ class BayesianLine:
             known = np.sum(noise * values / (weight + noise * values))
             weight = (known + 2 * tiny) / (new @ new + 2 * tiny)
             noise = (n - known + 2 * tiny) / (error + 2 * tiny)
-            if np.abs(new - beta).sum() < self.tol:
-                beta = new
-                break
+            moved = np.abs(new - beta).sum()
             beta = new
-        return FixedLine(beta, mean[-1] - beta @ mean[1:-1], self.features)
+            if moved < self.tol:
+                break
+        return FixedLine(beta, mean[-1] - beta @ mean[:-1], self.features)
 
 
 def forest(trees: int = 200, depth: int = 15, features="features", label="label", seed=42) -> RandomForestRegressor:

@@ -34,12 +34,11 @@ def _sides(df):
 def _line_sql(kind: str) -> str:
     """One predictor, standardised: slope and intercept on the scale of z, by their closed forms."""
     soft = "sign(zy / n) * greatest(abs(zy / n) - {0}, 0)"
-    slope = {"ridge": "zy / ((n - 1) + 1.0)",
-             "lasso": f"{soft.format(0.01)} / ((n - 1) / n)",
-             "elastic": f"{soft.format(0.005)} / ((n - 1) / n + 0.005)"}[kind]
-    return f"""WITH p AS ({PLANTED_SQL}), m AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(y) AS my, count(*)::DOUBLE AS n FROM p),
+    slope = {"ridge": "zy / (n + 1.0)", "lasso": soft.format(0.01),
+             "elastic": f"{soft.format(0.005)} / (1 + 0.005)"}[kind]
+    return f"""WITH p AS ({PLANTED_SQL}), m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(y) AS my, count(*)::DOUBLE AS n FROM p),
       s AS (SELECT sum((a - ma) / sa * (y - my)) AS zy FROM p, m)
-      SELECT id, round(my + ({slope}) * (a - ma) / sa, 3) AS prediction FROM p, m, s"""
+      SELECT id, round(my + ({slope}) * (a - ma) / sa, 6) AS prediction FROM p, m, s"""
 
 
 def _line(kind: str, alpha: float):
@@ -47,7 +46,7 @@ def _line(kind: str, alpha: float):
     def run(spark, sf_dir):
         df = _ready(spark, sf_dir, ["a"])
         model = md.LinearFamily(kind, alpha, 0.5).fit(df)
-        return r6(model.transform(df).select("id", "prediction"), "prediction", places=3)
+        return r6(model.transform(df).select("id", "prediction"), "prediction")
 
 
 _line("ridge", 1.0)

@@ -129,10 +129,31 @@ def line(spark, n=500):
 def test_ridge_equals_closed_form(spark, alpha):
     pdf, df = line(spark)
     x = pdf[["a", "b"]].to_numpy()
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    z = (x - x.mean(0)) / x.std(0)
     beta = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (pdf.label - pdf.label.mean()))
     got = models.LinearFamily("ridge", alpha).fit(df).transform(df).orderBy("id").toPandas().prediction
-    assert np.allclose(got, pdf.label.mean() + z @ beta, atol=1e-4)
+    assert np.allclose(got, pdf.label.mean() + z @ beta, atol=1e-9)
+
+
+@pytest.mark.parametrize("kind,share", [("lasso", 1.0), ("elastic", 0.5)])
+def test_penalised_lines_are_optimal(spark, kind, share):
+    pdf, df = line(spark)
+    alpha = 0.3
+    x = pdf[["a", "b"]].to_numpy()
+    z = (x - x.mean(0)) / x.std(0)
+    fitted = models.LinearFamily(kind, alpha, 0.5).fit(df)
+    w = np.array(fitted.coefficients) * x.std(0)
+    pull = z.T @ (pdf.label - pdf.label.mean() - z @ w) / len(pdf) - alpha * (1 - share) * w
+    for p, c in zip(pull, w):
+        assert p == pytest.approx(alpha * share * np.sign(c), abs=1e-8) if c else abs(p) <= alpha * share + 1e-8
+
+
+def test_line_saves_and_loads(spark, tmp_path):
+    _, df = line(spark)
+    fitted = models.LinearFamily("ridge", 1.0).fit(df)
+    fitted.save(spark, str(tmp_path / "line"))
+    again = models.FixedLine.load(spark, str(tmp_path / "line"))
+    assert (again.coefficients, again.intercept) == (fitted.coefficients, fitted.intercept)
 
 
 def test_bayesian_line_finds_the_signal(spark):
