@@ -115,24 +115,16 @@ def sweep(df: DataFrame, scorer: Scorer, grid: dict[str, list]) -> DataFrame:
             .withColumn("gauge", fn.gauge(F.col("simulated"))))
 
 
-def _line(label: str, value: Column) -> Column:
-    return F.concat(F.lit(f"  - {label}: "), value)
-
-
-def _shown(df: DataFrame, c: str, unit: str = "", default: str = "N/A") -> Column:
-    if c not in df.columns:
-        return F.lit(default + unit)
-    return F.concat(F.coalesce(F.col(c).cast("string"), F.lit(default)), F.lit(unit))
-
-
-def _choice(df: DataFrame, c: str, codes: dict) -> Column:
-    if c not in df.columns:
-        return F.lit("N/A")
-    return F.coalesce(fn.lookup(F.col(c).cast("int"), codes), F.lit("N/A"))
-
-
-def _yes(df: DataFrame, c: str) -> Column:
-    return F.when(F.col(c).cast("double") != 0, "Yes").otherwise("No") if c in df.columns else F.lit("No")
+def _shown(df: DataFrame, c: str, how: str, extra: str) -> Column:
+    """Text of one narrative value; a column that is absent or null has a stand-in."""
+    present = c in df.columns
+    if how == "yes":
+        return F.when(F.col(c).cast("double") != 0, "Yes").otherwise("No") if present else F.lit("No")
+    stand_in = F.lit("?" if how == "score" else "N/A")
+    if how == "code":
+        label = fn.lookup(F.col(c).cast("int"), rules.CODEBOOK[extra]) if present else stand_in
+        return F.coalesce(label, stand_in)
+    return F.concat(F.coalesce(F.col(c).cast("string"), stand_in) if present else stand_in, F.lit(extra))
 
 
 def narrative(df: DataFrame, name: str = "narrative") -> DataFrame:
@@ -141,50 +133,19 @@ def narrative(df: DataFrame, name: str = "narrative") -> DataFrame:
     Reads ``score``, ``risk_band``, ``confidence``, ``top`` (factors) and ``scenarios`` (array of
     title, original, modified, delta, description) where they exist.
     """
-    sections = [
-        ("PATIENT PROFILE", [
-            _line("Age", _shown(df, "PostBLAge", " years")), _line("Gender", _shown(df, "PreBLGender")),
-            _line("Area", _choice(df, "PreRarea", {1: "Urban", 2: "Rural"})),
-            _line("Marital Status", _shown(df, "PreRmaritalstatus")),
-            _line("Education Level", _shown(df, "PreReducation")),
-            _line("Occupation", _shown(df, "PreRpresentoccupation"))]),
-        ("FAMILY DIABETES HISTORY", [
-            _line(f"{who} Diabetic", _yes(df, f"PreRdia{who.lower()}"))
-            for who in ("Father", "Mother", "Brother", "Sister")]),
-        ("LIFESTYLE", [
-            _line("Current Smoking", _yes(df, "current_smoking")),
-            _line("Current Alcohol", _yes(df, "current_alcohol")),
-            _line("Sleep Quality", _shown(df, "PreRsleepquality", " (1=Good, 4=Poor)"))]),
-        ("HEALTH METRICS", [
-            _line("Waist", _shown(df, "PreRwaist", " cm")), _line("BMI", _shown(df, "PreRBMI")),
-            _line("Systolic BP", _shown(df, "PreRsystolicfirst", " mmHg")),
-            _line("Diastolic BP", _shown(df, "PreRdiastolicfirst", " mmHg"))]),
-        ("BLOOD WORK", [
-            _line("Fasting Blood Sugar (FBS)", _shown(df, "PreBLFBS", " mg/dL")),
-            _line("Post-Prandial Blood Sugar (PPBS)", _shown(df, "PreBLPPBS", " mg/dL")),
-            _line("Pre-Treatment HbA1c", _shown(df, "PreBLHBA1C", "%")),
-            _line("Cholesterol", _shown(df, "PreBLCHOLESTEROL", " mg/dL")),
-            _line("Triglycerides", _shown(df, "PreBLTRIGLYCERIDES", " mg/dL")),
-            _line("Diabetic Duration", _shown(df, "Diabetic_Duration", " years")),
-            _line("Intervention Group", _choice(df, "PostRgroupname", rules.CODEBOOK["group"]))]),
-        ("PREDICTED OUTCOME", [
-            _line("Predicted Post-Treatment HbA1c", _shown(df, "score", "%", "?")),
-            _line("Risk Level", _shown(df, "risk_band", "", "?")),
-            _line("Confidence", _shown(df, "confidence", "", "?"))]),
-    ]
-    blocks = [F.concat_ws("\n", F.lit(f"{title}:"), *lines) for title, lines in sections]
-
-    def listed(title, column, line, empty):
-        if column not in df.columns:
-            return F.lit(f"{title}:\n{empty}")
-        text = F.array_join(F.transform(column, line), "\n")
-        return F.concat(F.lit(f"{title}:\n"), F.when(F.size(column) > 0, text).otherwise(empty))
-    blocks.append(listed("TOP CONTRIBUTING FACTORS (SHAP)", "top", lambda f: F.concat(
-        F.lit("  - "), f["feature"], F.lit(" | "), f["direction"], F.lit(" | "), f["interpretation"]),
-        "  (None available)"))
-    blocks.append(listed("WHAT-IF SCENARIOS", "scenarios", lambda s: F.concat(
-        F.lit("  - "), s["title"], F.lit(": "), s["original"].cast("string"), F.lit(" -> "),
-        s["modified"].cast("string"), F.lit(" (delta: "), fn.signed(s["delta"]), F.lit(") | "), s["description"]),
-        "  (None generated)"))
-    head, foot = "=== PATIENT DIABETES ASSESSMENT DATA ===", "=" * 40
-    return df.withColumn(name, F.concat_ws("\n\n", F.lit(head), *blocks, F.lit(foot)))
+    blocks = [F.concat_ws("\n", F.lit(f"{title}:"), *[
+        F.concat(F.lit(f"  - {label}: "), _shown(df, c, how, extra)) for label, c, how, extra in lines])
+        for title, lines in rules.NARRATIVE_SECTIONS]
+    items = {
+        "top": lambda f: F.concat(F.lit("  - "), f["feature"], F.lit(" | "), f["direction"], F.lit(" | "),
+                                  f["interpretation"]),
+        "scenarios": lambda s: F.concat(
+            F.lit("  - "), s["title"], F.lit(": "), s["original"].cast("string"), F.lit(" -> "),
+            s["modified"].cast("string"), F.lit(" (delta: "), fn.signed(s["delta"]), F.lit(") | "), s["description"]),
+    }
+    for c, (title, empty) in rules.NARRATIVE_LISTS.items():
+        body = F.lit(empty)
+        if c in df.columns:
+            body = F.when(F.size(c) > 0, F.array_join(F.transform(c, items[c]), "\n")).otherwise(empty)
+        blocks.append(F.concat(F.lit(f"{title}:\n"), body))
+    return df.withColumn(name, F.concat_ws("\n\n", F.lit(rules.NARRATIVE_HEAD), *blocks, F.lit(rules.NARRATIVE_FOOT)))

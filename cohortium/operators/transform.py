@@ -88,10 +88,16 @@ def prepared(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
-    """Names of the vector's slots from its metadata: numbers first, then column_value."""
+    """Names of the vector's slots from its metadata: numbers, then column_value, then product_value."""
     groups = df.schema[vector].metadata["ml_attr"]["attrs"]
     slots = sorted((a for kind in groups.values() for a in kind), key=lambda a: a["idx"])
-    return [a["name"].replace("__z", "").replace("__o", "").replace("__c", "").replace("__x", "") for a in slots]
+
+    def readable(name):
+        if "__x_" in name:
+            product, parts = name.split("__x_", 1)
+            return f"{product}_{parts.split(':')[0].rsplit('_', 1)[-1]}"
+        return name.replace("__z", "").replace("__o", "").replace("__c", "")
+    return [readable(a["name"]) for a in slots]
 
 
 def yeo_johnson_value(x: Column, power: float) -> Column:

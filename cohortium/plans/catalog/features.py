@@ -118,12 +118,11 @@ def one_hot(spark, sf_dir):
 
 @query("x8_feature_names", f"WITH p AS ({PLANTED_SQL}), s AS (SELECT DISTINCT segment FROM p WHERE segment <> 'MACHINERY'), "
        "o AS (SELECT DISTINCT source FROM p), n AS (SELECT 0 AS g, 'a' AS name UNION ALL SELECT 1, 'b' UNION ALL SELECT 2, "
-       "'segment_' || segment FROM s UNION ALL SELECT 3, 'source_' || source FROM o) "
+       "'segment_' || segment FROM s UNION ALL SELECT 3, 'source_' || source FROM o UNION ALL SELECT 4, 'group_x_b_' || source FROM o) "
        "SELECT CAST(row_number() OVER (ORDER BY g, name) - 1 AS INT) AS slot, name FROM n")
 def names(spark, sf_dir):
     found, _ = _encoded(spark, sf_dir)
-    plain = [n for n in found if "group_x" not in n and ":" not in n][:9]
-    return spark.createDataFrame(list(enumerate(plain)), "slot int, name string")
+    return spark.createDataFrame(list(enumerate(found)), "slot int, name string")
 
 
 _GRID = [round(-2 + 0.5 * i, 6) for i in range(13)]

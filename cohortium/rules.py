@@ -376,6 +376,55 @@ ADVICE_FOR_ALL = [
      "Focus on low glycemic index foods, whole grains, vegetables, and limit refined sugars and fried foods."),
 ]
 
+# narrative of one record: section, lines of (label, column, how it is shown, unit or codes)
+NARRATIVE_HEAD = "=== PATIENT DIABETES ASSESSMENT DATA ==="
+NARRATIVE_FOOT = "========================================"
+NARRATIVE_SECTIONS = [
+    ("PATIENT PROFILE", [
+        ("Age", "PostBLAge", "text", " years"),
+        ("Gender", "PreBLGender", "text", ""),
+        ("Area", "PreRarea", "code", "residence"),
+        ("Marital Status", "PreRmaritalstatus", "text", ""),
+        ("Education Level", "PreReducation", "text", ""),
+        ("Occupation", "PreRpresentoccupation", "text", ""),
+    ]),
+    ("FAMILY DIABETES HISTORY", [
+        ("Father Diabetic", "PreRdiafather", "yes", ""),
+        ("Mother Diabetic", "PreRdiamother", "yes", ""),
+        ("Brother Diabetic", "PreRdiabrother", "yes", ""),
+        ("Sister Diabetic", "PreRdiasister", "yes", ""),
+    ]),
+    ("LIFESTYLE", [
+        ("Current Smoking", "current_smoking", "yes", ""),
+        ("Current Alcohol", "current_alcohol", "yes", ""),
+        ("Sleep Quality", "PreRsleepquality", "text", " (1=Good, 4=Poor)"),
+    ]),
+    ("HEALTH METRICS", [
+        ("Waist", "PreRwaist", "text", " cm"),
+        ("BMI", "PreRBMI", "text", ""),
+        ("Systolic BP", "PreRsystolicfirst", "text", " mmHg"),
+        ("Diastolic BP", "PreRdiastolicfirst", "text", " mmHg"),
+    ]),
+    ("BLOOD WORK", [
+        ("Fasting Blood Sugar (FBS)", "PreBLFBS", "text", " mg/dL"),
+        ("Post-Prandial Blood Sugar (PPBS)", "PreBLPPBS", "text", " mg/dL"),
+        ("Pre-Treatment HbA1c", "PreBLHBA1C", "text", "%"),
+        ("Cholesterol", "PreBLCHOLESTEROL", "text", " mg/dL"),
+        ("Triglycerides", "PreBLTRIGLYCERIDES", "text", " mg/dL"),
+        ("Diabetic Duration", "Diabetic_Duration", "text", " years"),
+        ("Intervention Group", "PostRgroupname", "code", "group"),
+    ]),
+    ("PREDICTED OUTCOME", [
+        ("Predicted Post-Treatment HbA1c", "score", "score", "%"),
+        ("Risk Level", "risk_band", "score", ""),
+        ("Confidence", "confidence", "score", ""),
+    ]),
+]
+NARRATIVE_LISTS = {
+    "top": ("TOP CONTRIBUTING FACTORS (SHAP)", "  (None available)"),
+    "scenarios": ("WHAT-IF SCENARIOS", "  (None generated)"),
+}
+
 # --------------------------------------------------------------------------
 # End of fixed values.
 # --------------------------------------------------------------------------
