@@ -144,6 +144,8 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str
 
     receivers_in = receivers.withColumn("box", box_of("x")).persist()
     first = _visit(receivers_in, donors_in, splits, k, box_rows).persist()
+    if boxes == 1:
+        return _best(first, k).select(F.col("receiver").alias(key), "nearest")
     # every receiver goes on, also one whose own box gave nothing
     met = receivers_in.join(_best(first, k), "receiver", "left")
     bound = F.when(F.size("nearest") >= k, F.element_at("nearest", -1)["d"]).otherwise(F.lit(float("inf")))
