@@ -105,11 +105,11 @@ QUERIES = {f.__name__: f for f in (
     op7_hilbert_sharding, op8_exact_top_k, op9_toxicity, op10_exact_dedup)}
 
 _SCORES = """SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
-    CAST(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * v.x[i])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i])) AS BIGINT) AS score
   FROM (SELECT * FROM w WHERE vec_id % 50 = 0) q JOIN w v ON q.vec_id <> v.vec_id"""
 ORACLES = {
-    "op8_exact_top_k": f"""WITH w AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
-    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    "op8_exact_top_k": f"""WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS ({_SCORES})
   SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",

@@ -250,7 +250,7 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", end: b
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the column ``to``: the text of an array of ids, null for null. No shuffle."""
     @F.arrow_udf("string")
-    def texts(column: pa.ListArray) -> pa.Array:
+    def texts(column: pa.Array) -> pa.Array:
         ready = codec(path)
         flat = column.flatten().to_numpy(zero_copy_only=False)
         sizes = [None if n is None else n for n in column.value_lengths().to_pylist()]

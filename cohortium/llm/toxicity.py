@@ -20,7 +20,7 @@ from .texts import slices
 BITS = 22  # buckets of features
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning that are features beside the word
 POSITIVES, UNLABELLED = 2000, 5000  # most rows that a fit sees
-LEAST_TEXTS, LEAST_SHARE = 4, 0.004  # a feature needs so many sampled texts, and shares so far apart
+LEAST_TEXTS, LEAST_SHARE, LEAST_TOXIC = 4, 0.004, 0.4  # what a feature needs: texts, a difference of shares, a toxic share
 PRIME = 0x9E3779B97F4A7C15
 
 _powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -92,15 +92,23 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def unlike(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """``rows`` without near copies of earlier ones, which would pass for many texts: equal minima under four hashes."""
+    odd = [(PRIME + 2 * i * 0xC2B2AE3D27D4EB4F) % (1 << 64) for i in range(4)]
+    marks = [tuple(int(((row.astype(np.uint64) + np.uint64(1)) * np.uint64(o) >> np.uint64(20)).min(initial=1 << 44)) for o in odd) for row in rows]
+    return list({mark: row for mark, row in zip(reversed(marks), reversed(rows))}.values())
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300,
-             rate: float = 0.05, ridge: float = 1e-4, noise: float = 4.0) -> Classifier:
+             rate: float = 0.05, ridge: float = 1e-4, noise: float = 2.5) -> Classifier:
     """Fit on arrays of distinct buckets, one per text, by full steps of Adam.
 
-    Features whose slope at the start is within ``noise`` standard errors of a feature that tells nothing get no weight.
+    Only features get a weight that are more frequent in positive texts by ``noise`` standard errors, and that few clean
+    texts have.
     """
     prior = min(max(prior, 1e-4), 0.999)
     start = float(np.log(prior / (1 - prior)))
-    positive = list({row.tobytes(): row for row in positive}.values())
+    positive, unlabelled = unlike(positive), unlike(unlabelled)
     if not positive or not unlabelled:
         return Classifier(start, np.zeros(0, np.int64), np.zeros(0, np.float32))
     rows = positive + unlabelled
@@ -111,7 +119,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     in_unlabelled = np.bincount(bucket[row >= n_p], minlength=1 << BITS)
     p, u = in_positive / n_p, in_unlabelled / n_u
     error = np.sqrt(np.maximum(p, u) * (1 / n_p + 1 / n_u) + 1e-12)
-    used = (in_positive + in_unlabelled >= LEAST_TEXTS) & (np.abs(p - u) > np.maximum(noise * error, LEAST_SHARE))
+    used = (in_positive + in_unlabelled >= LEAST_TEXTS) & (p - u > np.maximum(noise * error, LEAST_SHARE))
+    used &= prior * p >= LEAST_TOXIC * (u + 1 / n_u)  # the share of toxic texts among those that have the feature
     every = np.flatnonzero(used)
     number = np.cumsum(used) - 1
     kept = used[bucket]
