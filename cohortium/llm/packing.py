@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .texts import Memo, slices
+from .texts import Memo, importable, slices
 
 SEQUENCE = 2048
 
@@ -79,6 +79,8 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
     """
     kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long" + (",ids:array<int>" if keep_ids else "") + ">>"
 
+    importable(df)
+
     @F.arrow_udf(kind)
     def cut(column: pa.Array) -> pa.Array:
         ready = tokens(path)

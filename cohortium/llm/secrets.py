@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import importable
+
 REACH = 400
 
 # The patterns of the base kinds, in the order of the kinds
@@ -116,6 +118,8 @@ def find_secrets(df: DataFrame, text: str = "text", to: str = "secrets", reach:
 
     Offsets are code points, ends exclusive. An existing column ``to`` is replaced.
     """
+    importable(df)
+
     @F.arrow_udf("array<struct<kind:string,start:long,end:long>>")
     def spans(column: pa.Array) -> pa.Array:
         rows = [[{"kind": kind, "start": start, "end": end} for start, end, kind in secret_spans(t.as_py() or "", reach)]
@@ -130,6 +134,8 @@ def without_secrets(df: DataFrame, text: str = "text", reach: int = REACH) -> Da
 
     Of overlapping spans the union is replaced, under the kind that begins first.
     """
+    importable(df)
+
     @F.arrow_udf("string")
     def redacted(column: pa.Array) -> pa.Array:
         return pa.array([None if (t := v.as_py()) is None else redact(t, secret_spans(t, reach)) for v in column], pa.string())

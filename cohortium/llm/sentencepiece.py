@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import Memo, slices
+from .texts import Memo, importable, slices
 
 MARK = "▁"  # stands for a space inside pieces
 SURFACE = " ⁇ "  # of the unknown piece
@@ -233,6 +233,8 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", end: b
 
     An existing column ``to`` is replaced. ``path`` names the model file on every machine.
     """
+    importable(df)
+
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         ready = codec(path)
@@ -249,6 +251,8 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", end: b
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the column ``to``: the text of an array of ids, null for null. No shuffle."""
+    importable(df)
+
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
         ready = codec(path)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .texts import importable
 
 BITS = 8
 
@@ -69,6 +70,8 @@ def hilbert_shards(df: DataFrame, shards: int, dimensions: list[Column], key: st
     ordered by ``key``, null first, and spread over ranges where a cell is large; ties beyond have any order. An empty
     table gives an empty result. The sorted rows are written once, as their numbers must not change between two reads.
     """
+    importable(df)
+
     @F.pandas_udf("long")
     def curve(cells: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(cells.to_numpy(), bits))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .texts import importable
 
 LOW = 0x5555555555555555  # the lower bit of every segment
 BLOCK = 2048
@@ -54,6 +55,8 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", to: str = "fingerprint", shingle: int = 4) -> DataFrame:
     """``df`` with the column ``to``: the fingerprint of the whole text as a signed 64-bit integer. No shuffle."""
+    importable(df)
+
     @F.arrow_udf("long")
     def prints(column: pa.Array) -> pa.Array:
         return pa.array([signed(fingerprint(t.as_py() or "", shingle)) for t in column], pa.int64())
@@ -128,6 +131,7 @@ def tree(label: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple
 
 def links(prints: DataFrame, limit: int = 4, fingerprint: str = "fingerprint", block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints that differ in at most ``limit`` bits, enough to keep all groups whole."""
+    importable(prints)
     masks = cell_masks(limit)
     code = embedded(F.col(fingerprint))
     cells = prints.select(fingerprint, F.inline(F.array(*(

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 SLICE_CHARS = 1_000_000
 
 
+def importable(df: DataFrame) -> None:
+    """Lets Python workers on this machine import the package from where the driver did.
+
+    On a cluster the package is installed or shipped with the job, as the memos of workers live in its modules.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Runs of whole texts with about ``limit`` characters, at least one text each."""
     run, size = [], 0

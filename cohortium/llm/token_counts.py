@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import slices
+from .texts import importable, slices
 
 CHUNK = 128
 MAX_STATES = 400_000
@@ -353,6 +353,8 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", to: str = "n_toke
 
     An existing column ``to`` is replaced. ``path`` names the vocabulary file on every machine.
     """
+    importable(df)
+
     @F.arrow_udf("long")
     def tokens(column: pa.Array) -> pa.Array:
         ready = counter(path)

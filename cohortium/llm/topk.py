@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .texts import importable
 
 SHARD_ROWS = 8192
 LEAF = 64
@@ -111,6 +112,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     query of its own key. Ties go to the smaller key; fewer candidates give fewer rows. Rows with a null key or vector take
     no part. Keys must be unique. An empty side gives an empty result.
     """
+    importable(vectors)
+
     def sound(df):
         return df.where(F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(vector) > 0)).select(
             F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))

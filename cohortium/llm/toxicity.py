@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import slices
+from .texts import importable, slices
 
 BITS = 22  # buckets of features
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning that are features beside the word
@@ -166,6 +166,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     some = df.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(key).orderBy(order, key).limit(unlabelled)
     chosen = chosen.unionByName(some.withColumn("_side", F.lit(1)))
 
+    importable(df)
+
     @F.arrow_udf("array<int>")
     def buckets(column: pa.Array) -> pa.Array:
         return pa.array([np.unique(features([t.as_py() or ""])[1]).astype(np.int32) for t in column], pa.list_(pa.int32()))
@@ -187,6 +189,8 @@ def score(df: DataFrame, model: Classifier, text: str = "text", to: str = "score
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    importable(df)
+
     @F.arrow_udf("double")
     def scores(column: pa.Array) -> pa.Array:
         found = [sent.value.scores(run) for run in slices([t or "" for t in column.to_pylist()])]
