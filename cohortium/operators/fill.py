@@ -8,7 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 from .frequency import category_index, most_frequent, restore_labels
 from .quality import completion, missing_total
 from .quantiles import exact_quantiles
@@ -92,6 +92,7 @@ def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str
         **{miss[c]: F.col(c).isNull() for c in usable},
         **{now[c]: F.coalesce(F.col(c).cast("double"), F.lit(float(mean[c]))) for c in usable}})
     centre = {now[c]: float(mean[c]) for c in usable}
+    held = None  # what the round before left
     if incomplete and len(usable) > 1:
         for r in range(rounds):
             if learner == "ridge":
@@ -110,7 +111,10 @@ def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str
                     guessed = model.transform(ready)
                     work = guessed.withColumn(
                         now[c], F.when(F.col(miss[c]), F.col("_guess")).otherwise(F.col(now[c]))).drop("_x", "_guess")
-            work = stage(work, "chained")
+            before, work = held, stage(work, "chained")
+            held = work
+            if before is not None:
+                unstage(before)
             if learner == "ridge":
                 moved = F.greatest(*[F.abs(F.col(now[c]) - F.col(f"_p{i}")) for i, c in enumerate(incomplete)],
                                    F.lit(0.0))

@@ -29,6 +29,8 @@ def moments(df: DataFrame, features: str, label: str) -> tuple[int, np.ndarray,
     """
     ready = df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
     first = ready.where("y is not null").head()
+    if first is None:
+        raise ValueError("no row has a label to fit to")
     shift = np.array([*first["x"], first["y"]])
     width = len(shift) + 1
 

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-MAX_BOXES = 4096
+from ..session import stage
+
+SAMPLE_PER_BOX = 32
 
 # the helpers travel with the tasks, so workers need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,6 +76,60 @@ def _box_of(nodes: list[tuple], points: np.ndarray) -> np.ndarray:
     return out
 
 
+def _outlines(nodes: list[tuple], leaves: tuple) -> tuple:
+    """(low, high, filled, some, used) of every node, from those of the boxes below it."""
+    ids, *leaf = leaves
+    width = leaf[0].shape[1]
+    low, high = np.full((len(nodes), width), np.inf), np.full((len(nodes), width), -np.inf)
+    filled, some = np.ones((len(nodes), width), bool), np.zeros((len(nodes), width), bool)
+    used = np.zeros(len(nodes), bool)
+    row_of = {int(b): i for i, b in enumerate(ids)}
+    for at in range(len(nodes) - 1, -1, -1):  # children come behind their parent
+        node = nodes[at]
+        if len(node) == 1:
+            i = row_of.get(node[0])
+            if i is not None:
+                low[at], high[at], filled[at], some[at] = (x[i] for x in leaf)
+                used[at] = True
+            continue
+        a, b = node[2], node[3]
+        low[at], high[at] = np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
+        filled[at], some[at], used[at] = filled[a] & filled[b], some[a] | some[b], used[a] | used[b]
+    return low, high, filled, some, used
+
+
+def _reachable(nodes: list[tuple], outlines: tuple, points: np.ndarray, home: np.ndarray, reach: np.ndarray) -> list[list[int]]:
+    """For each point the boxes, its own left out, that may hold a donor within its reach: down the tree, all points at once.
+
+    Boxes that share no known feature with a point hold nothing that compares with it.
+    """
+    low, high, filled, some, used = outlines
+    width = points.shape[1]
+    out: list[list[int]] = [[] for _ in points]
+    known = ~np.isnan(points)
+    pending = [(0, np.arange(len(points)))]
+    while pending:
+        at, rows = pending.pop()
+        if not used[at]:
+            continue
+        shared = (known[rows] & some[at]).sum(axis=1)
+        rows, shared = rows[shared > 0], shared[shared > 0]
+        # a feature bounds the distance only if the receiver and every donor below have it
+        bounding = known[rows] & filled[at]
+        own = np.where(bounding, points[rows], 0.0)
+        gap = np.where(bounding, np.maximum(np.maximum(np.where(bounding, low[at], 0.0) - own, own - np.where(bounding, high[at], 0.0)), 0.0), 0.0)
+        rows = rows[(gap * gap).sum(axis=1) * (width / shared) <= reach[rows] * (1 + 1e-9)]
+        if not len(rows):
+            continue
+        node = nodes[at]
+        if len(node) == 1:
+            for i in rows[home[rows] != node[0]].tolist():
+                out[i].append(node[0])
+        else:
+            pending += [(node[2], rows), (node[3], rows)]
+    return out
+
+
 def _k_nearest(r: np.ndarray, d: np.ndarray, k: int):
     """Rows (receiver index, donor index, distance); donors must come in key order."""
     width, step = r.shape[1], max(1, 2_000_000 // max(1, len(d)))
@@ -118,12 +174,13 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str
     receivers = receivers.select(F.col(key).alias("receiver"), feats.alias("x"))
     # of donors with the same features only the first k by key can ever be chosen
     rank = F.row_number().over(Window.partitionBy("x").orderBy("donor"))
-    donors = donors.withColumn("r", rank).where(F.col("r") <= k).drop("r").persist()
+    donors = stage(donors.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "donors")
 
     total = donors.count()
-    boxes = max(1, min(MAX_BOXES, math.ceil(total / box_rows)))
-    wanted = 32 * boxes
-    sample = donors.select("x").sample(min(1.0, 1.2 * wanted / max(total, 1)), seed=7).limit(wanted).toPandas()["x"]
+    boxes = max(1, math.ceil(total / box_rows))
+    # some rows per box shape the boxes; their number follows the donors'
+    share = 1.2 * SAMPLE_PER_BOX * boxes / max(total, 1)
+    sample = donors.select("x").sample(min(1.0, share), seed=7).toPandas()["x"]
     points = np.array(sample.tolist(), dtype=float).reshape(-1, width)
     nodes = spark.sparkContext.broadcast(_learn_splits(points, boxes))
 
@@ -142,8 +199,8 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str
             "array<struct<d:double,donor:bigint,value:double>>").alias("nearest"))
     splits = {int(b): int(math.ceil(n / (2 * box_rows))) for b, n in stats["n"].items()}
 
-    receivers_in = receivers.withColumn("box", box_of("x")).persist()
-    first = _visit(receivers_in, donors_in, splits, k, box_rows).persist()
+    receivers_in = stage(receivers.withColumn("box", box_of("x")), "receivers")
+    first = stage(_visit(receivers_in, donors_in, splits, k, box_rows), "visits")
     if boxes == 1:
         return _best(first, k).select(F.col("receiver").alias(key), "nearest")
     # every receiver goes on, also one whose own box gave nothing
@@ -155,25 +212,15 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str
     high = np.stack([stats[f"hi{j}"].to_numpy(float) for j in range(width)], axis=1)
     filled = np.stack([(stats[f"c{j}"] == stats["n"]).to_numpy() for j in range(width)], axis=1)
     some = np.stack([(stats[f"c{j}"] > 0).to_numpy() for j in range(width)], axis=1)
-    edges = spark.sparkContext.broadcast((ids, low, high, filled, some))
+    outlines = spark.sparkContext.broadcast(_outlines(nodes.value, (ids, low, high, filled, some)))
 
     @F.pandas_udf("array<int>")
     def others(x: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
-        ids, low, high, filled, some = edges.value
-        out = []
-        for point, own, reach in zip(x, home, limit):
-            point = np.asarray(point, dtype=float)
-            known = ~np.isnan(point)
-            gap = np.maximum(np.maximum(low - point, point - high), 0.0)
-            # a feature bounds the distance only if the receiver and every donor of the box have it
-            least = np.where(known & filled, gap, 0.0)
-            shared = np.maximum((known & some).sum(axis=1), 1)
-            least = (least * least).sum(axis=1) * (width / shared)
-            out.append(ids[(least <= reach * (1 + 1e-9)) & (ids != own)])
-        return pd.Series(out)
-
-    onward = (met.withColumn("bound", bound)
-              .select("receiver", "x", F.explode(others("x", "box", "bound")).alias("box"))).persist()
+        block = np.array(x.tolist(), dtype=float).reshape(-1, width)
+        return pd.Series(_reachable(nodes.value, outlines.value, block, home.to_numpy(), limit.to_numpy(float)))
+
+    onward = stage(met.withColumn("bound", bound)
+                   .select("receiver", "x", F.explode(others("x", "box", "bound")).alias("box")), "onward")
     second = _visit(onward, donors_in, splits, k, box_rows)
     return _best(first.unionByName(second), k).select(F.col("receiver").alias(key), "nearest")
 
@@ -184,7 +231,7 @@ def _visit(receivers: DataFrame, donors: DataFrame, splits: dict[int, int], k: i
     A large box is cut into donor parts, and its receivers into lanes, so that the size of a task
     stays bounded however the rows are distributed.
     """
-    visitors = receivers.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MAX_BOXES rows
+    visitors = receivers.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per box
     plan = [(row["box"], splits[row["box"]], math.ceil(row["n"] / (4 * box_rows)))
             for row in visitors if row["box"] in splits]
     layout = F.broadcast(receivers.sparkSession.createDataFrame(plan, "box int, parts int, lanes int"))
@@ -212,9 +259,11 @@ def _visit(receivers: DataFrame, donors: DataFrame, splits: dict[int, int], k: i
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k nearest of what the boxes gave; a box gives at most k rows per receiver."""
+    """The k nearest of what the boxes gave. They are ranked before they are gathered, first where they were found."""
+    order = Window.partitionBy("receiver").orderBy("d", "donor")
+    few = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     one = F.struct("d", "donor", "value")
-    return found.groupBy("receiver").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("nearest"))
+    return few.groupBy("receiver").agg(F.array_sort(F.collect_list(one)).alias("nearest"))
 
 
 def neighbour_mean(nearest: str = "nearest"):

@@ -36,8 +36,9 @@ def null_report(df: DataFrame, cols: list[str] | None = None, by: str | None = N
         wide = per_source.rollup("source").agg(F.grouping("source").alias("is_total"), *totals).withColumn(
             "source", F.when(F.col("is_total") == 1, overall).otherwise(F.col("source").cast("string")))
     long = wide.unpivot(["source", "rows"], cols, "column", "nulls")
-    pct = F.col("nulls") * 100.0 / F.col("rows")
-    return long.select("source", "column", "rows", "nulls", pct.alias("null_pct"), (pct > flag_above).alias("flagged"))
+    pct = F.try_divide(F.col("nulls") * 100.0, F.col("rows"))  # null for a table without rows
+    flagged = F.coalesce(pct > flag_above, F.lit(False))
+    return long.select("source", "column", "rows", "nulls", pct.alias("null_pct"), flagged.alias("flagged"))
 
 
 def monitored_report(frames: dict[str, DataFrame], wanted: list[str], flag_above: float = 30.0) -> DataFrame:

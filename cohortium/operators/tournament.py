@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import logging
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bucket, stage
+from ..session import bucket, stage, unstage
 from .columns import enough_rows
 from .fill import apply_fill, fill_chained, fit_fill
 from .neighbours import fill_knn
 
+log = logging.getLogger(__name__)
+
+SCORES = "strategy string, ordinal int, cells bigint, rmse double"
+FAILURES = (PySparkException, Py4JJavaError, ValueError, ArithmeticError)  # of the data or the fit, not of the program
 STRATEGIES = ("mean", "median", "knn", "chained", "zero")
 
 
@@ -41,46 +46,55 @@ def fill_with(df: DataFrame, cols: list[str], key: str, strategy: str, rounds: i
 
 
 def masked_rmse(filled: DataFrame, masked: DataFrame, cols: list[str], key: str, one_in: int, hashed: bool):
-    """(cells, rmse) over the hidden cells of a filled frame."""
+    """(cells, rmse) over the hidden cells of a filled frame; rmse is null where none was hidden."""
     error = sum((F.when(bucket(key, i, one_in, hashed) == 0, F.pow(F.col(c) - F.col(f"{c}__true"), 2)).otherwise(0.0)
                  for i, c in enumerate(cols, 1)), F.lit(0.0))
     hidden = sum((F.when(bucket(key, i, one_in, hashed) == 0, 1).otherwise(0)
                   for i, _ in enumerate(cols, 1)), F.lit(0))
     return filled.agg(F.sum(hidden).cast("bigint").alias("cells"),
-                      F.sqrt(F.sum(error) / F.sum(hidden)).alias("rmse"))
+                      F.sqrt(F.try_divide(F.sum(error), F.sum(hidden))).alias("rmse"))
 
 
 def score_strategies(df: DataFrame, cols: list[str], key: str, strategies=STRATEGIES, one_in: int = 10,
                      rounds: int = 5, learner: str = "forest", hashed: bool = False) -> DataFrame:
-    """(strategy, ordinal, cells, rmse), one row per strategy in the given order."""
-    masked = mask_cells(df, cols, key, one_in, hashed).persist()
+    """(strategy, ordinal, cells, rmse), one row per strategy in the given order.
+
+    Every strategy is run to its end here; one that fails has no rmse, and the others go on.
+    """
+    masked = stage(mask_cells(df, cols, key, one_in, hashed), "masked")
     scores = []
     for i, name in enumerate(strategies):
-        filled = fill_with(masked, cols, key, name, rounds, learner)
-        row = masked_rmse(filled, masked, cols, key, one_in, hashed)
-        scores.append(row.select(F.lit(name).alias("strategy"), F.lit(i).alias("ordinal"), "cells", "rmse"))
-    return reduce(DataFrame.unionByName, scores)
+        cells = rmse = None
+        try:
+            cells, rmse = masked_rmse(fill_with(masked, cols, key, name, rounds, learner), masked, cols, key, one_in, hashed).first()
+        except FAILURES as error:
+            log.warning("fill strategy %s failed: %s", name, str(error).split("\n")[0])
+        scores.append((name, i, cells, rmse))
+    unstage(masked)
+    return df.sparkSession.createDataFrame(scores, SCORES)
 
 
 def winner(scores: DataFrame, score: str = "rmse", name: str = "strategy", by: list[str] = ()) -> DataFrame:
-    """Row with the smallest score; of equal ones the first declared."""
+    """Row with the smallest score; of equal ones the first declared. Rows without a score never win."""
     order = F.struct(score, "ordinal")
-    return scores.groupBy(*by).agg(F.min_by(name, order).alias(name), F.min(score).alias(score))
+    return scores.where(F.col(score).isNotNull()).groupBy(*by).agg(F.min_by(name, order).alias(name), F.min(score).alias(score))
 
 
 def fill_tournament(df: DataFrame, cols: list[str], key: str, strategies=STRATEGIES, one_in: int = 10,
                     rounds: int = 5, learner: str = "forest", hashed: bool = True) -> tuple[DataFrame, DataFrame]:
     """(scores, filled): the best strategy, fitted again on the whole table.
 
-    With fewer than 10 complete rows nothing can be compared: chained fill, or the mean if that fails.
+    With fewer than 10 complete rows, or where no cell was hidden or no strategy came through, nothing can be compared:
+    chained fill. If the chosen strategy fails on the whole table, the mean fills it.
     """
-    if not enough_rows(df.select(*cols).dropna(), 10):
-        scores = df.sparkSession.createDataFrame([], "strategy string, ordinal int, cells bigint, rmse double")
-        best = "chained"
-    else:
-        scores = score_strategies(df, cols, key, strategies, one_in, rounds, learner, hashed).persist()
-        best = winner(scores).first()["strategy"]
+    scores = df.sparkSession.createDataFrame([], SCORES)
+    best = None
+    if enough_rows(df.select(*cols).dropna(), 10):
+        scores = score_strategies(df, cols, key, strategies, one_in, rounds, learner, hashed)
+        best = winner(scores).first()
+    name = best["strategy"] if best and best["strategy"] else "chained"
     try:
-        return scores, fill_with(df, cols, key, best, rounds, learner)
-    except (AnalysisException, ValueError, ArithmeticError):
+        return scores, stage(fill_with(df, cols, key, name, rounds, learner), "filled")
+    except FAILURES as error:
+        log.warning("fill strategy %s failed, the mean is used: %s", name, str(error).split("\n")[0])
         return scores, fill_with(df, cols, key, "mean")

@@ -100,6 +100,9 @@ def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
     return [readable(a["name"]) for a in slots]
 
 
+LARGEST_POWER = 40  # beyond it doubles overflow for values of ordinary size
+
+
 def yeo_johnson_value(x: Column, power: float) -> Column:
     up = F.log1p(x) if power == 0 else (F.pow(x + 1, F.lit(power)) - 1) / power
     down = -F.log1p(-x) if power == 2 else -(F.pow(1 - x, F.lit(2 - power)) - 1) / (2 - power)
@@ -111,26 +114,36 @@ def yeo_johnson(df: DataFrame, cols: list[str], grid: list[float] | None = None,
     """Power per column by maximum likelihood on a grid, then the transformed and standardised columns.
 
     All columns and all grid points share one aggregate pass; each refinement is one more pass on a
-    ten times finer grid around the best point.
+    ten times finer grid around the best point. Where the best point is an edge, the grid goes on from there.
     """
     grid = grid or [round(-2 + 0.5 * i, 6) for i in range(13)]
     trial = {c: list(grid) for c in cols}
     best: dict[str, float] = {}
     step = grid[1] - grid[0] if len(grid) > 1 else 0.5
-    for turn in range(refine + 1):
+    turn = 0
+    while turn <= refine:
         aggs = [F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]
         for i, c in enumerate(cols):
             x = F.col(c).cast("double")
             aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"j{i}"))
             aggs += [F.var_pop(yeo_johnson_value(x, p)).alias(f"v{i}_{k}") for k, p in enumerate(trial[c])]
         facts = df.agg(*aggs).first()
+        moved = {}
         for i, c in enumerate(cols):
             def likelihood(k):
                 spread = facts[f"v{i}_{k}"]
                 if not spread or not math.isfinite(spread):
                     return -math.inf
                 return -facts[f"n{i}"] / 2 * math.log(spread) + (trial[c][k] - 1) * facts[f"j{i}"]
-            best[c] = trial[c][max(range(len(trial[c])), key=likelihood)]
+            at = max(range(len(trial[c])), key=likelihood)
+            best[c] = trial[c][at]
+            if at in (0, len(trial[c]) - 1) and len(trial[c]) > 1 and math.isfinite(likelihood(at)) and abs(best[c]) < LARGEST_POWER:
+                way = 1 if at else -1
+                moved[c] = [round(best[c] + way * step * j, 9) for j in range(len(trial[c]))]
+        if moved:
+            trial = {c: moved.get(c, [best[c]]) for c in cols}
+            continue
+        turn += 1
         step /= 10
         trial = {c: [round(best[c] + step * i, 9) for i in range(-10, 11)] for c in cols}
     out = df.withColumns({c: yeo_johnson_value(F.col(c).cast("double"), p) for c, p in best.items()})

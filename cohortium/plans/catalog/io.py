@@ -20,24 +20,31 @@ from .registry import query
 from .scalars import SCALARS
 
 
+# each source with columns of its own: another order, one too few, one too many
+_LAYOUT = {"F": ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
+           "O": ["o_totalprice", "o_orderpriority", "o_orderkey"],
+           "P": ["o_orderpriority", "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"]}
+_ORDER = "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
 def _by_status(spark, sf_dir, fmt="csv"):
     """Orders in one folder per status."""
     root = fresh_path(spark, "orders")
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    for s in ("F", "O", "P"):
-        so.write_table(df.where(F.col("o_orderstatus") == s), f"{root}/{s}", overwrite=True, fmt=fmt)
+    df = table(spark, sf_dir, "orders")
+    for s, columns in _LAYOUT.items():
+        so.write_table(df.where(F.col("o_orderstatus") == s).select(columns), f"{root}/{s}", overwrite=True, fmt=fmt)
     return root
 
 
-@query("s1_csv_many_files", "SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus AS source FROM orders")
+@query("s1_csv_many_files", "SELECT o_orderkey, o_totalprice, o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus "
+       "END AS status, o_orderstatus AS source FROM orders")
 def many_files(spark, sf_dir):
     """Three sources are read, a fourth does not exist and is skipped."""
     root = _by_status(spark, sf_dir)
-    frames, skipped = so.read_many(spark, {s: f"{root}/{s}" for s in ("F", "O", "P", "X")},
-                                   "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    frames, skipped = so.read_many(spark, {s: f"{root}/{s}" for s in ("F", "O", "P", "X")}, _ORDER)
     if list(skipped) != ["X"]:
         raise ValueError(f"skipped {skipped}")
-    return union_all(frames).select("o_orderkey", "o_totalprice", "o_orderpriority", "source")
+    return union_all(frames).select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_orderstatus").alias("status"), "source")
 
 
 @query("s2_path_fallback", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
@@ -47,13 +54,13 @@ def fallback(spark, sf_dir):
     return spark.read.parquet(path).select("o_orderkey", "o_totalprice")
 
 
-@query("s3_directory_scan", "SELECT o_orderkey, o_totalprice, true AS tagged FROM orders WHERE o_orderstatus = 'P'")
+@query("s3_directory_scan", "SELECT o_orderkey, o_totalprice, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN o_custkey END AS custkey, "
+       "true AS tagged FROM orders")
 def directory(spark, sf_dir):
-    """Every CSV file below a folder, tagged with its file name."""
-    root = _by_status(spark, sf_dir)
-    df = so.read_csv(spark, f"{root}/P", "o_orderkey bigint, o_orderstatus string, o_totalprice double, "
-                                         "o_orderpriority string", glob="*.csv", tag="file")
-    return df.select("o_orderkey", "o_totalprice", F.col("file").endswith(".csv").alias("tagged"))
+    """Every CSV file below a folder, whatever its columns, tagged with its file name."""
+    df = so.read_csv(spark, _by_status(spark, sf_dir), f"{_ORDER}, o_custkey bigint", glob="*.csv", tag="file", recursive=True)
+    return df.select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_custkey").alias("custkey"),
+                     F.col("file").endswith(".csv").alias("tagged"))
 
 
 @query("s9_sink_keeps_existing", "SELECT s_suppkey, s_name, 'first' AS version FROM supplier")

@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_runs: dict[str, SparkSession] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors can reach, from ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        path = tempfile.mkdtemp(prefix="cohortium-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this process's own folder below the shared one, which is deleted when the process ends."""
+    own = next((run for run, session in _runs.items() if session is spark and run.startswith(shared_dir(spark) + "/")), None)
+    if own is None:
+        own = f"{shared_dir(spark)}/cohortium-{uuid.uuid4().hex}"
+        _runs[own] = spark
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _runs.items():
+        try:
+            delete(spark, path)
+        except (Py4JError, OSError, AttributeError):  # the session has ended before; its folder stays
+            continue
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "staged_at", None)
+        if path:
+            delete(df.sparkSession, path)
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

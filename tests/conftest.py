@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ def make_session():
     spark = (SparkSession.builder.master("local[8]").appName("cohortium-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortium-tests-"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
