@@ -31,9 +31,8 @@ def normalised(text: Column) -> Column:
 
 def hot_hashes(rows: DataFrame, partitions: int) -> DataFrame:
     """Values of ``_hash`` that more than 1 / (8 * partitions) of the rows have, and over ``LEAST_HOT`` rows."""
-    counts = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > LEAST_HOT)
-    total = rows.agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(F.broadcast(total), F.col("_rows") * (8 * partitions) > F.col("_all")).select("_hash")
+    most = max(LEAST_HOT, rows.count() // (8 * partitions))
+    return rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select("_hash")
 
 
 def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:

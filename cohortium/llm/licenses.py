@@ -4,17 +4,18 @@ Paragraphs are lines. A sparse logistic regression over word 1- to 3-grams score
 and for the class of anything else; its scores are calibrated on held-out examples, and what stays below the threshold of
 its family is unknown. A prediction counts when the paragraph also contains most word pairs of one of the family's templates.
 
-A paragraph that lacks every anchor (a word of a template that is no function word) shares too few word pairs with any
-template to be confirmed; ``templates`` checks this when it is built, so setting such paragraphs aside first loses nothing.
+Anchors are words chosen so that a paragraph without any of them shares too few word pairs with every template to be
+confirmed. Texts and paragraphs without an anchor are therefore set aside first, which loses nothing.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,16 +65,29 @@ def all_grams(of: Column) -> Column:
     return F.array_distinct(F.concat(grams(of, 1), grams(of, 2), grams(of, 3)))
 
 
-def templates(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """family, template (number), words, pairs and anchors of every template."""
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of plain values, by SQL functions alone."""
+    names = [column.split(" ")[0] for column in schema.split(", ")]
+    fields = ", ".join(column.replace(" ", ":", 1) for column in schema.split(", "))
+    written = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(written), f"array<struct<{fields}>>")))
+
+
+def templates(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
+    """(family, template (number), words, pairs) of every template, and the anchors of all."""
     rows = [(family, i, text) for family, own in (texts or TEMPLATES).items() for i, text in enumerate(own)]
-    table = spark.createDataFrame(rows, "family string, template int, text string")
-    table = table.withColumn("words", words(F.col("text"))).withColumn("pairs", F.array_distinct(grams(F.col("words"), 2)))
-    table = table.withColumn("anchors", F.array_except("words", F.array(*map(F.lit, sorted(COMMON)))))
-    plain = F.size(F.filter("pairs", lambda p: ~F.exists(F.col("anchors"), lambda a: F.array_contains(F.split(p, " "), a))))
-    if not table.where(plain >= CONTAINED * F.size("pairs")).isEmpty():
-        raise ValueError("a template could be confirmed without any of its anchors")
-    return table.drop("text")
+    table = local(spark, rows, "family string, template int, text string")
+    table = table.withColumn("words", words(F.col("text"))).withColumn("pairs", F.array_distinct(grams(F.col("words"), 2))).drop("text")
+    found: list[str] = []
+    for _, _, own, pairs in table.orderBy("family", "template").collect():
+        # words in use already first, then the longest; a version's parts may be written apart, so no word with a number
+        for word in sorted({w for w in own if w not in COMMON and w.isalpha()}, key=lambda w: (w not in found, -len(w), w)):
+            if sum(not set(pair.split(" ")) & set(found) for pair in pairs) < CONTAINED * len(pairs):
+                break
+            found = found if word in found else [*found, word]
+        if sum(not set(pair.split(" ")) & set(found) for pair in pairs) >= CONTAINED * len(pairs):
+            raise ValueError(f"a template could be confirmed without any of its words: {own}")
+    return table, sorted(found)
 
 
 @dataclass
@@ -88,6 +102,14 @@ class LicenceModel:
     anchors: list[str]
 
 
+def has_any(text: Column, anchors: list[str]) -> Column:
+    """Whether the lower-cased text contains one of the anchors."""
+    lowered, found = F.lower(text), F.lit(False)
+    for anchor in anchors:
+        found = found | F.contains(lowered, F.lit(anchor))
+    return found
+
+
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, paragraph (number), start (code point) and body of every line of ``text`` that is not blank."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
@@ -98,13 +120,12 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
         texts: dict[str, list[str]] | None = None) -> LicenceModel:
     """Model from the templates, shortened copies of them, and at most ``others`` lines of the corpus as anything else.
 
-    Those lines are the ones with the smallest hashes among lines of rows whose key's hash falls in a small fixed share that
-    the row count sets; lines that contain most pairs of a template are left out.
+    Those lines are the ones with the smallest hashes among the rows whose key's hash falls in a share that the row count
+    sets; lines with an anchor are left out. An empty table gives a model of the templates alone.
     """
     spark = df.sparkSession
-    known = templates(spark, texts).persist()
-    anchors = sorted(r[0] for r in known.select(F.explode("anchors")).distinct().collect())
-    families = sorted(r[0] for r in known.select("family").distinct().collect())
+    known, anchors = templates(spark, texts)
+    families = sorted(texts or TEMPLATES)
     # examples: every template, and copies without their first or last words and with words around them
     n = F.size("words")
     cut = F.explode(F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("less"), F.lit(pad).alias("pad"))
@@ -113,14 +134,14 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     body = F.slice("words", F.col("cut.from") + 1, n - F.col("cut.from") - F.col("cut.less"))
     examples = examples.select("family", F.when(F.col("cut.pad") == "", body).otherwise(F.concat(F.split("cut.pad", " "), body)).alias("words"))
     lines = paragraphs(df.where(F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // others))) == 0), key, text)
-    lines = lines.withColumn("words", words(F.col("body"))).where(~F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
+    lines = lines.where(~has_any(F.col("body"), anchors)).withColumn("words", words(F.col("body")))
     lines = lines.orderBy(F.xxhash64("body"), key, "paragraph").limit(others)
-    plain = [(["the", *map(str, [a])],) for a in sorted(COMMON)]
+    plain = [(UNKNOWN, ["the", word]) for word in sorted(COMMON)]
     examples = (examples.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), "words"))
-                .unionByName(spark.createDataFrame(plain, "words array<string>").select(F.lit(UNKNOWN).alias("family"), "words")))
+                .unionByName(local(spark, plain, "family string, words array<string>")))
     classes = [UNKNOWN, *families]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
-    rows = examples.select(label.alias("label"), all_grams(F.col("words")).alias("grams"),
+    rows = examples.coalesce(1).select(label.alias("label"), all_grams(F.col("words")).alias("grams"),
                            F.pmod(F.xxhash64("family", "words"), F.lit(5)).alias("fold")).persist()
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     weighed = rows.join(F.broadcast(counts), "label").withColumn("weight", 1.0 / F.col("n"))
@@ -141,7 +162,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     weights = [(gram, classes[k], float(matrix[k, i])) for i, gram in enumerate(counted.vocabulary)
                for k in range(len(classes)) if abs(matrix[k, i]) > 1e-6]
     rows.unpersist()
-    return LicenceModel(spark.createDataFrame(weights, "gram string, family string, weight double"), families,
+    return LicenceModel(local(spark, weights, "gram string, family string, weight double"), families,
                         [float(b) for b in logistic.interceptVector.toArray()], thresholds, known, anchors)
 
 
@@ -152,10 +173,8 @@ def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     that no template of the predicted family confirms are left out. Null and empty texts have no paragraphs. Rows that
     share a key are scanned each, and have equal numbers.
     """
-    found = paragraphs(df, key, text)
-    # the same words as in words(): any anchor, between characters that no word has
-    anchored = F.lower("body").rlike(r"(?<![\p{L}\p{N}])(" + "|".join(sorted({a.split("_")[0] for a in model.anchors})) + r")(?![\p{L}\p{N}])")
-    found = found.where(anchored).withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words(F.col("body"))).drop("body")
+    found = paragraphs(df.where(has_any(F.col(text), model.anchors)), key, text).where(has_any(F.col("body"), model.anchors))
+    found = found.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words(F.col("body"))).drop("body")
     classes = [UNKNOWN, *model.families]
     table = model.weights.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("_w"))
     scored = found.select("*", F.explode(all_grams(F.col("_words"))).alias("gram")).join(F.broadcast(table), "gram")
