@@ -248,13 +248,17 @@ class Counter:
         key = tail[begin:], struct.pack(
             f"<{m}i{m}h", *(t if on else -1 for t, on in zip(lasts[begin:], live)),
             *(c - emitted if on else 0 for c, on in zip(counts[begin:], live)))
-        target = self.number.get(key)
-        if target is None:
-            target = self.number[key] = len(self.states)
-            self.states.append(key)
+        target = self.intern(key)
         self.put(state * 256 + byte, target, emitted)
         return target, emitted
 
+    def intern(self, key: tuple[bytes, bytes]) -> int:
+        """Number of a state, given one if it is new."""
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
+
     def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = (state << 8) + byte
         slot, free = self.find(keys)
@@ -287,16 +291,14 @@ class Counter:
 
     def finish(self, data, begin, size, state, total, active, at):
         """A few very long pre-tokens, byte by byte."""
-        for i in range(active):
-            now, known = int(state[i]), {}
+        keys = [self.states[number] for number in state[:active].tolist()]
+        for i, key in enumerate(keys):
+            now, known = self.intern(key), {}
             for byte in data[begin[i] + at:begin[i] + size[i]].tolist():
                 if len(self.states) > 2 * self.max_states:
                     key = self.states[now]
                     self.clear()
-                    known.clear()
-                    now = self.number.setdefault(key, 1)
-                    if now:
-                        self.states.append(key)
+                    now, known = self.intern(key), {}
                 if (now, byte) not in known:
                     target, change = self.step(np.array([now]), np.array([byte]))
                     known[now, byte] = int(target[0]), int(change[0])

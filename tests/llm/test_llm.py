@@ -328,7 +328,7 @@ def test_links_lose_nothing_in_large_cells(spark):
     groups = brute_groups(dict(zip(prints, prints)))
     for block in (2048, 50):  # one lane a cell, and cells dealt to many
         edges = simhash.links(table, 4, block=block).collect()
-        assert all((e.a ^ e.b).bit_count() <= 4 for e in edges)
+        assert all(((e.a ^ e.b) % (1 << 64)).bit_count() <= 4 for e in edges)
         own = {p: p for p in prints}
         tied = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
         roots = {r.node % (1 << 64): r.root for r in tied}
