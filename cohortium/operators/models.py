@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -17,8 +18,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .transform import add_fold
 
+FITS_AT_ONCE = 4
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -188,24 +192,33 @@ class Stack:
 
 def out_of_fold(df: DataFrame, bases: dict, key: str, folds: int = 5, hashed: bool = True) -> DataFrame:
     """Each row once, with one prediction per base from models that never saw its fold."""
-    folded = add_fold(df, key, folds, hashed).persist()
+    folded = stage(add_fold(df, key, folds, hashed), "folds")
+    rest = [folded.where(F.col("fold") != f) for f in range(folds)]
+    fitted = fit_all([(base, rest[f]) for f in range(folds) for base in bases.values()])
     parts = []
     for f in range(folds):
-        rest, held = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-        for name, base in bases.items():
-            held = _predict(base.fit(rest), held, f"base_{name}")
+        held = folded.where(F.col("fold") == f)
+        for i, name in enumerate(bases):
+            held = _predict(fitted[f * len(bases) + i], held, f"base_{name}")
         parts.append(held)
     return reduce(DataFrame.unionByName, parts)
 
 
+def fit_all(work: list[tuple]) -> list:
+    """Models of (estimator, frame) pairs, a few fits at a time: each alone seldom keeps a cluster busy."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda pair: pair[0].fit(pair[1]), work))
+
+
 def fit_stack(df: DataFrame, bases: dict, meta=None, folds: int = 5, key: str = "key", label: str = "label",
               hashed: bool = True) -> Stack:
     """Out-of-fold predictions train the meta model; the bases are then fitted again on all rows."""
     oof = out_of_fold(df, bases, key, folds, hashed)
-    made = VectorAssembler(inputCols=[f"base_{n}" for n in bases], outputCol="_meta").transform(oof).persist()
+    made = VectorAssembler(inputCols=[f"base_{n}" for n in bases], outputCol="_meta").transform(oof)
+    made = stage(made, "oof")
     meta = meta or LinearFamily("ridge", 1.0, features="_meta", label=label)
     fitted = meta.fit(made)
-    return Stack({name: base.fit(df) for name, base in bases.items()}, fitted, made)
+    return Stack(dict(zip(bases, fit_all([(base, df) for base in bases.values()]))), fitted, made)
 
 
 def search(df: DataFrame, estimator: Estimator, grid: dict, key: str, folds: int = 10, metric: str = "mae",

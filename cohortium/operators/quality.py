@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import stage
 from .quantiles import exact_quantiles
 
 
@@ -91,7 +92,7 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
         n = c in numeric
         fields = [F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
                   (F.col("rows") - F.col(f"c{i}")).alias("missing"),
-                  ((F.col("rows") - F.col(f"c{i}")) * 100.0 / F.col("rows")).alias("missing_pct"),
+                  F.try_divide((F.col("rows") - F.col(f"c{i}")) * 100.0, F.col("rows")).alias("missing_pct"),
                   (F.col(f"lo{i}") if n else null).alias("min"), (F.col(f"hi{i}") if n else null).alias("max"),
                   ((F.col(f"hi{i}") - F.col(f"lo{i}")) if n else null).alias("range"),
                   (F.col(f"av{i}") if n else null).alias("mean")]
@@ -104,7 +105,7 @@ def profile(df: DataFrame, cols: list[str] | None = None, by: str | None = None,
         return base
 
     keys = ["source", "column"]
-    base = base.withColumnRenamed("unique", "about").persist()
+    base = stage(base.withColumnRenamed("unique", "about"), "profile")  # one row per source and column
     # four times the limit leaves the sketch room to be wrong
     about = base.groupBy("column").agg(F.min("about").alias("least"), F.max("about").alias("most")).collect()
     short = [r["column"] for r in about if r["most"] <= 4 * max_values]

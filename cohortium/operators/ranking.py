@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import stage, unstage
 from .fill import fit_fill
 from .frequency import category_index
 from .neighbours import fill_knn, fill_knn_category
@@ -125,7 +126,10 @@ def top_share(scores: DataFrame, share: float = 0.5, score: str = "score") -> Da
 
 def enrich(df: DataFrame, targets: list[str], key: str, share: float = 0.5, k: int = 5, trees: int = 50,
            depth: int = 10, features: list[str] | None = None) -> DataFrame:
-    """Fills each target from its nearest rows over the best features. Features are completed by their median first."""
+    """Fills each target from its nearest rows over the best features. Features are completed by their median first.
+
+    Each target's fill is written to the shared folder, so that the next one does not run the searches before it again.
+    """
     pool = features or [c for c in df.columns if c not in targets and c != key]
     scores = rank_features(df, targets, pool, trees=trees, depth=depth)
     best = [r["feature"] for r in top_share(average_over_targets(scores), share).collect()]
@@ -139,7 +143,9 @@ def enrich(df: DataFrame, targets: list[str], key: str, share: float = 0.5, k: i
         value = F.col(c + "_idx") if c in texts else F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c)))
         work = work.withColumn(f"_b{i}", value.cast("double"))
         names.append(f"_b{i}")
+    work = stage(work, "enrich")
     for t in targets:
         if t in df.columns:
-            work = (fill_knn_category if _text(df, t) else fill_knn)(work, t, names, key, k)
+            before, work = work, stage((fill_knn_category if _text(df, t) else fill_knn)(work, t, names, key, k), "enrich")
+            unstage(before)
     return work.select(*df.columns)

@@ -128,19 +128,40 @@ def _scored(name: str, ordinal: int, first: str, second: str, frame: str = "m")
             f"count(*) FILTER (WHERE c2 IS NULL))), 4) AS rmse FROM {frame}")
 
 
-_SCORES = f"""WITH m AS ({_MASKED}),
+def _chained_sql(frame: str, name: str, rounds: int) -> str:
+    """Queries up to ``name``: columns c1 and c2 of ``frame`` filled in turn by lines over each other, as g1 and g2.
+
+    The column with fewer gaps is first; both orders are computed, and the gaps decide which one counts.
+    """
+    out = []
+    for first, second in ((1, 2), (2, 1)):
+        at = f"{name}_{first}"
+        out.append(f"{at}_0 AS (SELECT *, coalesce(c1, (SELECT avg(c1) FROM {frame})) AS g1, coalesce(c2, (SELECT avg(c2) FROM {frame})) AS g2 FROM {frame})")
+        step = 0
+        for _ in range(rounds):
+            for y, x in ((first, second), (second, first)):
+                line = f"(SELECT regr_slope(c{y}, g{x}) AS s, regr_intercept(c{y}, g{x}) AS i FROM {at}_{step})"
+                out.append(f"{at}_{step + 1} AS (SELECT {at}_{step}.* REPLACE (coalesce(c{y}, i + s * g{x}) AS g{y}) FROM {at}_{step}, {line})")
+                step += 1
+    gaps = f"(SELECT count(c1) >= count(c2) FROM {frame})"
+    out.append(f"{name} AS (SELECT * FROM {name}_1_{step} WHERE {gaps} UNION ALL SELECT * FROM {name}_2_{step} WHERE NOT {gaps})")
+    return ", ".join(out)
+
+
+_SCORES = f"""WITH m AS ({_MASKED}), {_chained_sql('m', 'chained', 1)},
   n1 AS ({_knn_sql('m', 'p_partkey', 'c1', ['c2'], 5)}), n2 AS ({_knn_sql('m', 'p_partkey', 'c2', ['c1'], 5)}),
   k AS (SELECT m.*, n1.guess AS g1, n2.guess AS g2 FROM m LEFT JOIN n1 USING (p_partkey) LEFT JOIN n2 USING (p_partkey)),
   scores AS (
   {_scored('mean', 0, '(SELECT avg(c1) FROM m)', '(SELECT avg(c2) FROM m)')} UNION ALL
   {_scored('median', 1, '(SELECT median(c1) FROM m)', '(SELECT median(c2) FROM m)')} UNION ALL
   {_scored('knn', 2, 'coalesce(g1, (SELECT avg(c1) FROM m))', 'coalesce(g2, (SELECT avg(c2) FROM m))', 'k')} UNION ALL
-  {_scored('zero', 3, '0', '0')})"""
+  {_scored('chained', 3, 'g1', 'g2', 'chained')} UNION ALL
+  {_scored('zero', 4, '0', '0')})"""
 
 
 def _scores(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    return tm.score_strategies(df, ["size", "price"], "p_partkey", strategies=("mean", "median", "knn", "zero"))
+    return tm.score_strategies(df, ["size", "price"], "p_partkey", rounds=1, learner="ridge")
 
 
 @query("i2_fill_tournament", f"{_SCORES} SELECT * FROM scores")
@@ -164,16 +185,26 @@ def masked_rmse(spark, sf_dir):
     return r6(tm.masked_rmse(filled, masked, ["a", "b"], "id", 10, False), "rmse")
 
 
-@query("i2_full_tournament")
+_HOLED = f"""SELECT p_partkey, CAST(p_size AS DOUBLE) AS t1, p_retailprice AS t2, CASE WHEN {_M1} <> 0 THEN CAST(p_size AS DOUBLE) END AS c1,
+  CASE WHEN {_M2} <> 0 THEN p_retailprice END AS c2 FROM part WHERE p_partkey % 9 <> 2 AND p_partkey % 8 <> 3"""
+
+
+@query("i2_full_tournament", f"""WITH m AS ({_HOLED}), {_chained_sql('m', 'chained', 1)}, s AS (
+  {_scored('mean', 0, '(SELECT avg(c1) FROM m)', '(SELECT avg(c2) FROM m)')} UNION ALL
+  {_scored('median', 1, '(SELECT median(c1) FROM m)', '(SELECT median(c2) FROM m)')} UNION ALL
+  {_scored('chained', 2, 'g1', 'g2', 'chained')} UNION ALL {_scored('zero', 3, '0', '0')})
+  SELECT *, 0::BIGINT AS nulls_left, (SELECT count(*) FROM part) AS rows_kept FROM s""")
 def full_tournament(spark, sf_dir):
-    """All five strategies with the forest learner, the winner fitted on the whole table."""
+    """Strategies scored on the complete rows, the winner fitted on the whole table."""
     k = F.col("p_partkey")
     df = table(spark, sf_dir, "part").select(
         k, F.when(F.pmod(k, F.lit(9)) != 2, F.col("p_size")).cast("double").alias("size"),
         F.when(F.pmod(k, F.lit(8)) != 3, F.col("p_retailprice")).alias("price"))
-    scores, filled = tm.fill_tournament(df, ["size", "price"], "p_partkey", rounds=2)
-    left = filled.agg(F.count_if(F.col("size").isNull() | F.col("price").isNull())).scalar()
-    return scores.select("strategy", "ordinal", "cells", "rmse", left.alias("nulls_left"))
+    scores, filled = tm.fill_tournament(df, ["size", "price"], "p_partkey", ("mean", "median", "chained", "zero"), rounds=1,
+                                        learner="ridge", hashed=False)
+    left = filled.agg(F.count_if(F.col("size").isNull() | F.col("price").isNull()).alias("nulls_left"), F.count(F.lit(1)).alias("rows_kept")).first()
+    return r6(scores.select("strategy", "ordinal", "cells", "rmse", F.lit(left[0]).cast("bigint").alias("nulls_left"),
+                            F.lit(left[1]).cast("bigint").alias("rows_kept")), "rmse", places=4)
 
 
 _LINE = """WITH g AS (SELECT id, b, CASE WHEN id % 10 <> 4 THEN y END AS y FROM (""" + PLANTED_SQL + "))"
@@ -186,6 +217,18 @@ def chained_linear(spark, sf_dir):
     return r6(fl.fill_chained(df, ["y", "b"], learner="ridge").select("id", "y"), "y")
 
 
+_TWO = f"""SELECT id, CASE WHEN id % 7 <> 0 THEN y END AS c1, CASE WHEN id % 3 <> 0 THEN a END AS c2 FROM ({PLANTED_SQL})"""
+
+
+@query("i5_fill_chained_two_columns", f"""WITH m AS ({_TWO}), {_chained_sql('m', 'filled', 2)}
+  SELECT id, round(g1, 8) AS y, round(g2, 8) AS a FROM filled""")
+def chained_two(spark, sf_dir):
+    """Two incomplete columns, each filled from the other, over two rounds."""
+    df = planted(spark, sf_dir).select("id", F.when(F.pmod("id", F.lit(7)) != 0, F.col("y")).alias("y"),
+                                       F.when(F.pmod("id", F.lit(3)) != 0, F.col("a")).alias("a"))
+    return r6(fl.fill_chained(df, ["y", "a"], rounds=2, learner="ridge", tol=0.0), "y", "a", places=8)
+
+
 @query("i4_fill_chained_forest", f"""WITH g AS (SELECT id, a, b, CASE WHEN id % 10 <> 4 THEN y END AS y,
   CASE WHEN id % 7 <> 1 THEN segment END AS segment FROM ({PLANTED_SQL}))
   SELECT count(*) AS rows, 0::BIGINT AS nulls_left, 0::BIGINT AS observed_changed, count(*) - count(y) AS filled_y,

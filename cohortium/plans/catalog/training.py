@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ...operators import evaluate as ev
 from ...operators import models as md
 from ...operators.transform import add_fold, add_split
+from ...session import fresh_path
 from .. import training
 from ..survey import PLANTED_SQL, bucket_sql, planted, r6, split_sql, table
 from .registry import query
@@ -26,8 +28,22 @@ def _mean_beside(df, train, y="label", yhat="prediction"):
     return ev.regression_metrics(long, y, "yhat", ["model"]).select("model", "n", "mae", "rmse", "r2")
 
 
+_BEATS = f"""WITH p AS (SELECT *, {split_sql('id')} AS split FROM ({PLANTED_SQL})), m AS (SELECT avg(y) AS my FROM p WHERE split = 'train'),
+  t AS (SELECT count(*) AS n, round(avg(abs(y - my)), 6) AS mae FROM p, m WHERE split = 'test')
+  SELECT model, n, mae AS mean_mae, model = 'model' AS half_of_mean, model = 'model' AS explains_half FROM t, (VALUES ('model'), ('mean')) v(model)"""
+
+
+def _beats(df, train):
+    """The mean's held-out error, and whether the model has less than half of it and explains more than half of the variance."""
+    both = _mean_beside(df, train)
+    of_mean = F.max(F.when(F.col("model") == "mean", F.col("mae"))).over(Window.partitionBy(F.lit(1)))
+    out = both.withColumn("mean_mae", of_mean).select(
+        "model", "n", "mean_mae", (F.col("mae") < F.col("mean_mae") / 2).alias("half_of_mean"), (F.col("r2") > 0.5).alias("explains_half"))
+    return r6(out, "mean_mae")
+
+
 def _sides(df):
-    split = add_split(df, "id", hashed=False).persist()
+    split = add_split(df, "id", hashed=False)
     return split.where("split = 'train'"), split.where("split = 'test'")
 
 
@@ -54,28 +70,28 @@ _line("lasso", 0.01)
 _line("elastic", 0.01)
 
 
-@query("t3_bayesian_line")
+@query("t3_bayesian_line", _BEATS)
 def bayesian(spark, sf_dir):
     train, test = _sides(_ready(spark, sf_dir))
-    return _mean_beside(md.BayesianLine().fit(train).transform(test), train)
+    return _beats(md.BayesianLine().fit(train).transform(test), train)
 
 
-@query("t4_forest")
+@query("t4_forest", _BEATS)
 def forest(spark, sf_dir):
     train, test = _sides(_ready(spark, sf_dir))
-    return _mean_beside(md.forest(trees=20, depth=8).fit(train).transform(test), train)
+    return _beats(md.forest(trees=20, depth=8).fit(train).transform(test), train)
 
 
-@query("t5_boosted")
+@query("t5_boosted", _BEATS)
 def boosted(spark, sf_dir):
     train, test = _sides(_ready(spark, sf_dir))
-    return _mean_beside(md.boosted(trees=15, depth=4, rate=0.3).fit(train).transform(test), train)
+    return _beats(md.boosted(trees=15, depth=4, rate=0.3).fit(train).transform(test), train)
 
 
-@query("t5_boosted_sampled")
+@query("t5_boosted_sampled", _BEATS)
 def boosted_sampled(spark, sf_dir):
     train, test = _sides(_ready(spark, sf_dir))
-    return _mean_beside(md.boosted_sampled(trees=15, depth=4, rate=0.3).fit(train).transform(test), train)
+    return _beats(md.boosted_sampled(trees=15, depth=4, rate=0.3).fit(train).transform(test), train)
 
 
 def _bases():
@@ -94,12 +110,12 @@ def out_of_fold(spark, sf_dir):
         F.bool_and(F.col("base_ridge").isNotNull() & F.col("base_lasso").isNotNull()).alias("all_bases"))
 
 
-@query("t7_stack")
+@query("t7_stack", _BEATS)
 def stack(spark, sf_dir):
     train, test = _sides(_ready(spark, sf_dir))
     cols = ["id", "features", "label"]
     fitted = md.fit_stack(train.select(*cols), _bases(), folds=3, key="id", hashed=False)
-    return _mean_beside(fitted.transform(test.select(*cols)), train)
+    return _beats(fitted.transform(test.select(*cols)), train)
 
 
 @query("t8_boosted_stack")
@@ -259,13 +275,56 @@ def second_strategies(spark, sf_dir):
     """No model meets a hard goal, so the best source is tried again, transformed and stacked."""
     df = _ready(spark, sf_dir).select("id", "source", "a", "b", "features", "label")
     tree = md.boosted(trees=2, rate=0.3)
-    first = training.compare_sources(df, "source", ["F", "O"], "id", tree, {"maxDepth": [2]}, sizes=(1,), folds=2,
+    first = training.compare_sources(df, "source", ["F", "O", "P"], "id", tree, {"maxDepth": [2]}, sizes=(1,), folds=2,
                                      goal=0.001, hashed=False)
     board = training.retry_best(df, "source", first, ["a", "b"], "id", tree, {"maxDepth": [2]},
                                 {"ridge": md.LinearFamily("ridge", 1.0)}, folds=2, goal=0.001, hashed=False)
     return board.drop("train_minutes")
 
 
+_STUMP = f"""WITH p AS (SELECT id, y, CAST(id % 5 AS DOUBLE) AS u, CAST(id % 11 % 3 AS DOUBLE) AS v FROM ({PLANTED_SQL})),
+  cuts AS (SELECT f, t, sum(y) FILTER (WHERE x <= t) AS sl, count(*) FILTER (WHERE x <= t) AS nl, sum(y) FILTER (WHERE x > t) AS sr,
+    count(*) FILTER (WHERE x > t) AS nr FROM (SELECT 'u' AS f, u AS x, y FROM p UNION ALL SELECT 'v', v, y FROM p) JOIN
+    (VALUES ('u', 0.5), ('u', 1.5), ('u', 2.5), ('u', 3.5), ('v', 0.5), ('v', 1.5)) c(g, t) ON f = g GROUP BY 1, 2),
+  best AS (SELECT * FROM cuts ORDER BY sl * sl / nl + sr * sr / nr DESC LIMIT 1)"""
+
+
+@query("t5_boosted_stump", f"""{_STUMP} SELECT id, round(CASE WHEN CASE WHEN f = 'u' THEN u ELSE v END <= t THEN sl / nl ELSE sr / nr END, 6) AS prediction
+  FROM p, best""")
+def boosted_stump(spark, sf_dir):
+    """One boosted tree of depth one: the best of all cuts through two features, and the means on its sides."""
+    return r6(_stump(spark, sf_dir)[1].select("id", "prediction"), "prediction")
+
+
+def _stump(spark, sf_dir):
+    k = F.col("id")
+    df = planted(spark, sf_dir).withColumns({"u": F.pmod(k, F.lit(5)).cast("double"), "v": F.pmod(F.pmod(k, F.lit(11)), F.lit(3)).cast("double")})
+    df = df.withColumn("features", md.as_vector(["u", "v"])).withColumn("label", F.col("y"))
+    model = md.boosted(trees=1, depth=1, rate=1.0).fit(df)
+    return model, model.transform(df)
+
+
+@query("x4_boosted_stump_importance", f"""{_STUMP} SELECT feature, CASE WHEN feature = f THEN 1.0 ELSE 0.0 END::DOUBLE AS importance
+  FROM best, (VALUES ('u'), ('v')) n(feature)""")
+def stump_importance(spark, sf_dir):
+    """The only cut has all of the importance."""
+    return md.importances(_stump(spark, sf_dir)[0], ["u", "v"], spark)
+
+
+@query("s12_bundle_round_trip", f"SELECT id, true AS same, true AS named FROM ({PLANTED_SQL})")
+def bundle(spark, sf_dir):
+    """A saved run of training, loaded again, scores every row as before."""
+    df = planted(spark, sf_dir)
+    done = training.train(df, "y", ["a", "b"], ["segment"], "id", bases={"ridge": md.LinearFamily("ridge", 1.0),
+                          "tree": md.boosted(trees=2, depth=2, rate=0.5)}, explainer=md.boosted(trees=2, rate=0.5), folds=2, hashed=False)
+    path = fresh_path(spark, "bundle")
+    done.save(path)
+    loaded = training.Trained.load(spark, path)
+    before = done.score(df).withColumnRenamed("prediction", "before")
+    both = loaded.score(before)
+    return both.select("id", (F.col("before") == F.col("prediction")).alias("same"), F.lit(loaded.names == done.names).alias("named"))
+
+
 @query("t_train_stacked_model")
 def train_model(spark, sf_dir):
     """Split, preprocess with interactions, stack, and a separate model to explain: metrics of both."""

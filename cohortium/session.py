@@ -62,9 +62,9 @@ def unstage(*frames: DataFrame) -> None:
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` hinted for broadcast when its counted size allows it, else as it is for a plain join."""
-    df = df.persist()
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """``df``, written once, and hinted for broadcast when its counted size allows it, else as it is for a plain join."""
+    df = stage(df, "side")
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def bucket(key: str | Column, salt: int, buckets: int, hashed: bool = False) -> Column:

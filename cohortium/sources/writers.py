@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +40,8 @@ def save_model(model, path: str) -> str:
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """A saved model of any kind; its own metadata tells which."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
