@@ -2,8 +2,8 @@
 
 A fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two embeddings never
 exceeds the number of differing bits. Counts are kept in unary (0, 01, 11), so the distance is the number of differing bits
-of two words. The segments form ``limit + 3`` bands: two embeddings within ``limit`` agree in all but ``limit`` of them,
-so they share a grid cell for some choice of three bands. Members of a cell are compared by Manhattan distance first, and
+of two words. The segments form ``limit + 4`` bands: two embeddings within ``limit`` agree in all but ``limit`` of them,
+so they share a grid cell for some choice of four bands. Members of a cell are compared by Manhattan distance first, and
 those that pass by their fingerprints.
 
 Only distinct fingerprints enter. A cell with many members is dealt out in blocks, every pair of blocks to a lane of its
@@ -75,7 +75,7 @@ def embedding(x: np.ndarray) -> np.ndarray:
     return (low & high) << np.uint64(1) | low | high
 
 
-def cell_masks(limit: int, shared: int = 3) -> list[int]:
+def cell_masks(limit: int, shared: int = 4) -> list[int]:
     """One mask for each choice of ``shared`` of ``limit + shared`` bands of segments."""
     bands = [0] * (limit + shared)
     for segment in range(32):
@@ -134,7 +134,7 @@ def links(prints: DataFrame, limit: int = 4, fingerprint: str = "fingerprint", b
     importable(prints)
     masks = cell_masks(limit)
     code = embedded(F.col(fingerprint))
-    cells = prints.select(fingerprint, F.inline(F.array(*(
+    cells = prints.select(fingerprint).repartition(fingerprint).select(fingerprint, F.inline(F.array(*(
         F.struct(F.lit(i).cast("byte").alias("choice"), code.bitwiseAND(F.lit(signed(mask))).alias("cell"))
         for i, mask in enumerate(masks)))))
     sizes = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
