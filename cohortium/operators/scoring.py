@@ -131,7 +131,7 @@ def narrative(df: DataFrame, name: str = "narrative") -> DataFrame:
     """Multi-section text of one record: profile, score, factors and scenarios.
 
     Reads ``score``, ``risk_band``, ``confidence``, ``top`` (factors) and ``scenarios`` (array of
-    title, original, modified, delta, description) where they exist.
+    title, original, modified, delta, description), ``combined`` and ``combined_band`` where they exist.
     """
     blocks = [F.concat_ws("\n", F.lit(f"{title}:"), *[
         F.concat(F.lit(f"  - {label}: "), _shown(df, c, how, extra)) for label, c, how, extra in lines])
@@ -147,5 +147,9 @@ def narrative(df: DataFrame, name: str = "narrative") -> DataFrame:
         body = F.lit(empty)
         if c in df.columns:
             body = F.when(F.size(c) > 0, F.array_join(F.transform(c, items[c]), "\n")).otherwise(empty)
+        if c == "scenarios" and "combined" in df.columns:
+            before, between, after = map(F.lit, rules.NARRATIVE_COMBINED)
+            line = F.concat(F.lit("\n"), before, F.col("combined").cast("string"), between, F.coalesce("combined_band", F.lit("?")), after)
+            body = F.concat(body, F.coalesce(line, F.lit("")))
         blocks.append(F.concat(F.lit(f"{title}:\n"), body))
     return df.withColumn(name, F.concat_ws("\n\n", F.lit(rules.NARRATIVE_HEAD), *blocks, F.lit(rules.NARRATIVE_FOOT)))

@@ -151,11 +151,23 @@ def narrative(spark, sf_dir):
     return sc.narrative(sc.score(full(spark, sf_dir), scorer())).select("id", "narrative")
 
 
+def _told(spark, sf_dir):
+    """Narratives with factors, scenarios and the combined outcome; a record without scenarios has one too."""
+    sheets = full(spark, sf_dir)
+    df = ex.top_factors(ex.guardrail(ex.contributions_linear(sc.score(sheets, scorer()), LINE, MEANS, START)), k=3)
+    told = sc.what_if(sheets, scorer()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
+        "scenario_id", "title", "original", "modified", "delta", "description"))).alias("scenarios"))
+    together = sc.combined(sheets, scorer(), SCENARIOS).select("id", "combined", "combined_band")
+    return sc.narrative(df.join(told, "id", "left").join(together, "id", "left"))
+
+
 @query("f16_narrative_with_factors")
 def narrative_long(spark, sf_dir):
-    """Narrative with factors and scenarios of each record."""
-    df = sc.score(full(spark, sf_dir), scorer())
-    df = ex.top_factors(ex.guardrail(ex.contributions_linear(df, LINE, MEANS, START)), k=3)
-    told = sc.what_if(full(spark, sf_dir), scorer()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
-        "scenario_id", "title", "original", "modified", "delta", "description"))).alias("scenarios"))
-    return sc.narrative(df.join(told, "id")).select("id", "narrative")
+    return _told(spark, sf_dir).select("id", "narrative")
+
+
+@query("f16_combined_outcome", f"""{_FULL}, p AS (SELECT id, round({_BOTH}, 2) AS combined FROM s) SELECT id,
+  '  BEST COMBINED OUTCOME (all changes): HbA1c ' || combined || '% (' || {_BAND.format('combined')} || ')' AS line FROM p""")
+def combined_outcome(spark, sf_dir):
+    """The line of the combined outcome, read out of the narrative."""
+    return _told(spark, sf_dir).select("id", F.regexp_extract("narrative", r"(?m)^  BEST COMBINED .*$", 0).alias("line"))

@@ -424,6 +424,7 @@ NARRATIVE_LISTS = {
     "top": ("TOP CONTRIBUTING FACTORS (SHAP)", "  (None available)"),
     "scenarios": ("WHAT-IF SCENARIOS", "  (None generated)"),
 }
+NARRATIVE_COMBINED = ("  BEST COMBINED OUTCOME (all changes): HbA1c ", "% (", ")")
 
 # --------------------------------------------------------------------------
 # End of fixed values.
