@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..session import small_side
 
 ACCURACY = 20_000
+STRIPS = 1024
 
 
 def to_long(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
@@ -46,15 +47,25 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     met = long.join(small_side(sketch), same).select(*keys, "value", "n", F.explode("slots").alias("s"))
     zone = F.when(F.col("value") < F.col("s.low"), -1).when(F.col("value") > F.col("s.high"), 1).otherwise(0)
-    counted = (met.withColumn("zone", zone)
-               .groupBy(*keys, F.col("s.prob").alias("prob"), "n", "zone",
+    # the band is cut into strips, so that no task orders more than a strip of it
+    along = F.try_divide(F.col("value") - F.col("s.low"), F.col("s.high") - F.col("s.low"))
+    strip = F.when(F.col("zone") == 0, F.floor(F.coalesce(along, F.lit(0.0)) * STRIPS)).otherwise(F.col("zone") * (STRIPS + 1))
+    counted = (met.withColumn("zone", zone).withColumn("strip", strip)
+               .groupBy(*keys, F.col("s.prob").alias("prob"), "n", "zone", "strip",
                         F.when(F.col("zone") == 0, F.col("value")).alias("inside"))
                .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")))
     # the two outer zones are one row each; the value next to the bracket stands for them
     counted = counted.withColumn("value", F.when(F.col("zone") < 0, F.col("hi")).otherwise(F.col("lo")))
-    upto = F.sum("c").over(Window.partitionBy(*keys, "prob").orderBy("value")
+    strips = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("prob").alias("_prob"), F.col("strip").alias("_strip")).agg(
+        F.sum("c").alias("in_strip"))
+    before = F.sum("in_strip").over(Window.partitionBy(*[f"_{k}" for k in keys], "_prob").orderBy("_strip")
+                                    .rowsBetween(Window.unboundedPreceding, -1))
+    strips = strips.withColumn("before", F.coalesce(before, F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "prob", "strip"]]
+    upto = F.sum("c").over(Window.partitionBy(*keys, "prob", "strip").orderBy("value")
                            .rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counted.withColumn("last", upto).withColumn("first", F.col("last") - F.col("c") + 1)
+    ranks = counted.withColumn("upto", upto).join(strips, same).withColumn("last", F.col("before") + F.col("upto"))
+    ranks = ranks.withColumn("first", F.col("last") - F.col("c") + 1)
 
     def at(rank):
         return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("value")))
