@@ -25,40 +25,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .texts import Memo, importable, slices
+from .texts import importable, slices
+from .token_counts import Vocabulary
 
 SEQUENCE = 2048
 
-# The characters that the tokenizer's pattern takes for white space
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-# a run of white space and what follows: the tokenizer never joins text across the beginning of such a run
-RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+LONG = 5000  # runs of characters that are left to the slower library, whose time does not grow with their square
+BLANK_RUN = re.compile(r"\s{%d}" % LONG)
 
 
 class Tokens:
-    """Ids of whole texts by the ``tokenizers`` library, which gets each run of characters once."""
+    """Ids of whole texts as the ``tokenizers`` library has them for a byte-level BPE file.
+
+    The same vocabulary, read as ranks, is given to ``tiktoken``, which gives the same ids in a third of the time.
+    """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self.encode_runs)
+        self.library = Tokenizer.from_file(path)
+        vocabulary = Vocabulary(path)
+        merged = sorted((part[2], token) for token, part in vocabulary.parts.items())
+        if [token for _, token in merged] != sorted(token for _, token in merged):
+            raise ValueError("the ids of this vocabulary are not in the order of its merges")
+        special = {text: self.library.token_to_id(text) for text in vocabulary.special}
+        self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.id_of, special_tokens=special)
 
-    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, sizes = [], []
-        for run in runs:
-            got = self.tokenizer.encode(run, add_special_tokens=False).ids
-            ids += got
-            sizes.append(len(got))
-        return np.array(ids, np.int32), np.array(sizes, np.int64)
+    def ids(self, text: str) -> np.ndarray:
+        if len(text) > LONG and (max(map(len, text.split()), default=0) > LONG or BLANK_RUN.search(text)):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, ``end`` behind each, and their sizes."""
-        found = [RUN.findall(t) for t in texts]
-        ids, size = self.memo.lookup([run for runs in found for run in runs])
-        of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
-        count = np.bincount(of, size, len(texts)).astype(np.int64)
-        return np.insert(ids, np.cumsum(count), end), count + 1
+        last = np.array([end], np.uint32)
+        parts = [part for text in texts for part in (self.ids(text), last)]
+        return np.concatenate(parts), np.array([len(part) + 1 for part in parts[::2]], np.int64)
 
 
 _ready: dict[str, Tokens] = {}
