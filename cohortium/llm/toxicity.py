@@ -20,7 +20,7 @@ from .texts import importable, slices
 BITS = 22  # buckets of features
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning that are features beside the word
 POSITIVES, UNLABELLED = 2000, 5000  # most rows that a fit sees
-LEAST_TEXTS, LEAST_SHARE, LEAST_TOXIC = 4, 0.004, 0.4  # what a feature needs: texts, a difference of shares, a toxic share
+LEAST_TEXTS, LEAST_SHARE, LEAST_TOXIC = 4, 0.02, 0.4  # what a feature needs: texts, a difference of shares, a toxic share
 PRIME = 0x9E3779B97F4A7C15
 
 _powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -114,14 +114,14 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     rows = positive + unlabelled
     n_p, n_u = len(positive), len(unlabelled)
     row = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
-    bucket = np.concatenate(rows).astype(np.int64)
-    in_positive = np.bincount(bucket[row < n_p], minlength=1 << BITS)
-    in_unlabelled = np.bincount(bucket[row >= n_p], minlength=1 << BITS)
+    present, bucket = np.unique(np.concatenate(rows), return_inverse=True)
+    in_positive = np.bincount(bucket[row < n_p], minlength=len(present))
+    in_unlabelled = np.bincount(bucket[row >= n_p], minlength=len(present))
     p, u = in_positive / n_p, in_unlabelled / n_u
     error = np.sqrt(np.maximum(p, u) * (1 / n_p + 1 / n_u) + 1e-12)
     used = (in_positive + in_unlabelled >= LEAST_TEXTS) & (p - u > np.maximum(noise * error, LEAST_SHARE))
     used &= prior * p >= LEAST_TOXIC * (u + 1 / n_u)  # the share of toxic texts among those that have the feature
-    every = np.flatnonzero(used)
+    every = present[used].astype(np.int64)
     number = np.cumsum(used) - 1
     kept = used[bucket]
     row, column = row[kept], number[bucket[kept]]
