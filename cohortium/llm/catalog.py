@@ -25,7 +25,7 @@ def op1_sentencepiece(spark, sf_dir):
     """Ids of every text and the text they decode to, as digests."""
     path = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece.decode(sentencepiece.encode(docs, path), path).select("doc_id", "ids", "decoded")
+    both = sentencepiece.encode_and_decode(docs, path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -228,6 +228,26 @@ def codec(path: str) -> Codec:
     return _ready[path]
 
 
+def ids_of(column: pa.Array, path: str, end: bool) -> pa.ListArray:
+    ready = codec(path)
+    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for run in slices([t or "" for t in column.to_pylist()]):
+        got, count = ready.encode(run, end)
+        flat.append(got.astype(np.int32))
+        counts.append(count)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+
+
+def texts_of(column: pa.ListArray, path: str) -> pa.Array:
+    ready, flat = codec(path), column.flatten().to_numpy(zero_copy_only=False)
+    out, at = [], 0
+    for n in column.value_lengths().to_pylist():
+        out.append(None if n is None else ready.decode(flat[at:at + n]))
+        at += n or 0
+    return pa.array(out, pa.string())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", end: bool = True) -> DataFrame:
     """``df`` with the column ``to``: ids of the whole text, with the end id. Null counts as empty. No shuffle.
 
@@ -237,14 +257,7 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", end: b
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
-        ready = codec(path)
-        flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for run in slices([t or "" for t in column.to_pylist()]):
-            got, count = ready.encode(run, end)
-            flat.append(got.astype(np.int32))
-            counts.append(count)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
+        return ids_of(column, path, end)
 
     return df.withColumn(to, ids(F.col(text)))
 
@@ -255,13 +268,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        ready = codec(path)
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        sizes = [None if n is None else n for n in column.value_lengths().to_pylist()]
-        out, at = [], 0
-        for n in sizes:
-            out.append(None if n is None else ready.decode(flat[at:at + n]))
-            at += n or 0
-        return pa.array(out, pa.string())
+        return texts_of(column, path)
 
     return df.withColumn(to, texts(F.col(ids)))
+
+
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+                      end: bool = True) -> DataFrame:
+    """``df`` with both columns, as ``decode(encode(df))`` gives them, but each text encoded once."""
+    importable(df)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(column: pa.Array) -> pa.Array:
+        found = ids_of(column, path, end)
+        return pa.StructArray.from_arrays([found, texts_of(found, path)], ["ids", "decoded"])
+
+    out = df.withColumn("_both", both(F.col(text)))
+    return out.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")

@@ -46,22 +46,29 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Memo:
     """Ids of words met before. ``encode`` gets new distinct words and gives their flat ids and sizes.
 
-    Beyond ``limit`` words it starts anew, which changes no result.
+    Beyond ``limit`` words it forgets those met in one run of texts only, and all if they are still too many; that changes
+    no result.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
-        self.clear()
+        self.keep([], np.zeros(0, np.int64))
 
-    def clear(self):
-        self.number: dict[str, int] = {}
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+    def keep(self, words: list[str], at: np.ndarray) -> None:
+        """Only ``words``, whose numbers so far are ``at``, stay."""
+        ids, size = (self.ids[spread(self.begin[at], self.size[at])], self.size[at]) if len(at) else (np.zeros(0, np.int32), at)
+        self.number = dict(zip(words, range(len(words))))
+        self.begin, self.size, self.met = np.cumsum(size) - size, size, np.zeros(len(size), np.int64)
+        self.used = len(ids)
+        self.ids = np.concatenate([ids, np.zeros(max(1 << 16, len(ids)), np.int32)]).astype(np.int32)
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all ``words`` and the number of ids of each."""
         if len(self.number) > self.limit:
-            self.clear()
+            again = np.flatnonzero(self.met > 1)
+            again = again if len(again) <= self.limit // 2 else again[:0]
+            held = set(again.tolist())
+            self.keep([word for word, i in self.number.items() if i in held], again)
         new = list(set(words).difference(self.number))
         if new:
             ids, size = self.encode(new)
@@ -70,7 +77,9 @@ class Memo:
             self.ids[self.used:self.used + len(ids)] = ids
             self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
             self.used += len(ids)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.met[np.unique(at)] += 1
         return self.ids[spread(self.begin[at], self.size[at])], self.size[at]
