@@ -98,7 +98,7 @@ def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(prints: np.ndarray, lane: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest in each lane; rows of a lane stand together, and are compared at every distance."""
+    """Each row of a lane that has links there, and the first row that it reaches; rows of a lane stand together."""
     codes = embedding(prints)
     starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
     left = np.repeat(np.append(starts[1:], len(lane)), np.diff(np.append(starts, len(lane)))) - np.arange(len(lane)) - 1
@@ -130,7 +130,11 @@ def tree(label: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple
 
 
 def links(prints: DataFrame, limit: int = 4, fingerprint: str = "fingerprint", block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that differ in at most ``limit`` bits, enough to keep all groups whole."""
+    """Pairs (a, b) of distinct fingerprints that reach each other over links of at most ``limit`` bits.
+
+    Within a lane each fingerprint is tied to the first one that it reaches there, so that groups stay whole and there are
+    no more pairs than members.
+    """
     importable(prints)
     masks = cell_masks(limit)
     code = embedded(F.col(fingerprint))
@@ -211,6 +215,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
-    """The rows of ``df`` that stay: of each group the one with the smallest key. ``key`` must be unique and not null."""
+    """The rows of ``df`` that stay: of each group the one with the smallest key. Keys must be unique; a row without one stays.
+
+    The rows that go are few as a rule, so Spark can send their keys around instead of shuffling the texts.
+    """
     found = near_duplicates(df, key, text, shingle, limit)
-    return df.join(found.where(F.col(key) == F.col("component_id")).select(key), key, "left_semi")
+    return df.join(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key, "left_anti")

@@ -100,6 +100,8 @@ def test_tokenizer_queries_on_awkward_rows(spark):
     both = sentencepiece.decode(sentencepiece.encode(rows, PIECES), PIECES).collect()
     assert len(both) == 10 and all(r.decoded == (r.text or "") for r in both)
     assert [r.ids for r in both if r.text is None] == [[2]]
+    at_once = sentencepiece.encode_and_decode(rows, PIECES)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, both))
     assert token_counts.count_tokens(empty(spark), BPE).count() == 0
     assert sentencepiece.decode(sentencepiece.encode(empty(spark), PIECES), PIECES).count() == 0
 
@@ -221,11 +223,14 @@ def test_packing_awkward_rows_and_sequences(spark):
     assert packing.pack(packing.pieces(empty(spark), BPE)).count() == 0
 
 
-def test_white_space_is_the_tokenizers():
-    import regex
+def test_packing_ids_are_the_library():
+    from tokenizers import Tokenizer
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    assert set(re.findall(f"[{packing.WHITE}]", every)) == set(regex.findall(r"\s", every))
+    library, own = Tokenizer.from_file(BPE), packing.Tokens(BPE)
+    given = [*odd_texts(), "ab" * 30_000, " " * 20_000 + "x", "x " * 9000]
+    ids, sizes = own.encode(given, 0)
+    for text, got in zip(given, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text[:100]
 
 
 # 4: secrets
@@ -327,7 +332,6 @@ def test_links_lose_nothing_in_large_cells(spark):
     groups = brute_groups(dict(zip(prints, prints)))
     for block in (2048, 50):  # one lane a cell, and cells dealt to many
         edges = simhash.links(table, 4, block=block).collect()
-        assert all(((e.a ^ e.b) % (1 << 64)).bit_count() <= 4 for e in edges)
         own = {p: p for p in prints}
         tied = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
         roots = {r.node % (1 << 64): r.root for r in tied}
