@@ -138,7 +138,9 @@ def links(prints: DataFrame, limit: int = 4, fingerprint: str = "fingerprint", b
     importable(prints)
     masks = cell_masks(limit)
     code = embedded(F.col(fingerprint))
-    cells = prints.select(fingerprint).repartition(fingerprint).select(fingerprint, F.inline(F.array(*(
+    # a fingerprint's rows multiply here, so the tasks are not to be joined by their small input
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = prints.select(fingerprint).repartition(tasks, fingerprint).select(fingerprint, F.inline(F.array(*(
         F.struct(F.lit(i).cast("byte").alias("choice"), code.bitwiseAND(F.lit(signed(mask))).alias("cell"))
         for i, mask in enumerate(masks)))))
     sizes = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
