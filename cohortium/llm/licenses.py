@@ -148,7 +148,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=GRAMS, binary=True)
 
     def trained(train):
-        logistic = LogisticRegression(weightCol="weight", regParam=0.002, elasticNetParam=0.5, family="multinomial", maxIter=60, standardization=False)
+        logistic = LogisticRegression(weightCol="weight", regParam=0.002, elasticNetParam=0.5, family="multinomial", maxIter=30, tol=1e-3, standardization=False)
         return Pipeline(stages=[vectors, logistic]).fit(train)
 
     # calibration: a family's threshold is half of the least probability that its held-out examples get, above chance
