@@ -26,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-BARE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+BARE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(r"(?ai:https?://)[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[!-~]*)?|[a-z0-9.-]+\.amazonaws\.com(?::[0-9]+)?")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 

@@ -270,6 +270,18 @@ def test_linked_parts():
     assert "secret" in kinds(f"{key} {'x ' * 300}{bare}", reach=1000)
 
 
+@pytest.mark.parametrize("form", ["AWS_ACCESS_KEY_ID={0}\nAWS_SECRET_ACCESS_KEY={1}", "export AWS_SECRET_ACCESS_KEY={1} AWS_ACCESS_KEY_ID={0}",
+                                  "[default]\naws_access_key_id={0}\naws_secret_access_key={1}\n", "AccessKeyId={0};SecretAccessKey={1};",
+                                  '{{"AccessKeyId":"{0}","SecretAccessKey":"{1}"}}', "access: {0}\nvalue: {1}\n", "access: '{0}'\nvalue: '{1}'\n"])
+def test_named_parts_are_linked_and_masked(form):
+    key, bare = "AKIA" + "B2" * 8, "q/" + "W8+" * 12 + "zZ"
+    text = form.format(key, bare)
+    at = text.index(bare)
+    found = secrets.secret_spans(text)
+    assert (at, at + 40, "secret") in found and "pair" in [k for _, _, k in found]
+    assert bare not in secrets.redact(text, found) and key not in secrets.redact(text, found)
+
+
 def test_near_is_the_join():
     rng = np.random.default_rng(4)
     for _ in range(200):
