@@ -1,9 +1,10 @@
 """Secrets in texts: base patterns, and parts of credentials that only count together.
 
 Base patterns (assignments, access identifiers, long hex runs) are reported as they are. Weak candidates, a bare secret of
-an access key's shape or a service endpoint, are reported only when complementary parts lie near them: parts of a scope (a
-block between blank lines) are joined as intervals, within ``REACH`` code points, by binary search over their sorted
-starts. Everything happens inside the row's text, so no row is shuffled and memory follows the longest text.
+an access key's shape or a service endpoint, are reported only when complementary parts lie in their scope (a block between
+blank lines): the parts are joined as intervals by binary search over their sorted starts. The operators let the scope alone
+bound the join; a ``reach`` in code points narrows it. Everything happens inside the row's text, so no row is shuffled and
+memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .texts import importable
 
-REACH = 400
+REACH = 400  # of ``secret_spans`` called by itself; the operators have no reach unless one is given
 
 # The patterns of the base kinds, in the order of the kinds
 KINDS = ("assign", "access", "hex", "secret", "endpoint", "pair")
@@ -28,6 +29,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 BARE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 ENDPOINT = re.compile(r"(?ai:https?://)[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[!-~]*)?|[a-z0-9.-]+\.amazonaws\.com(?::[0-9]+)?")
+ENDS_URL = re.compile(r"""["'`<>,;{}|\\]""")  # what ends an address inside a run that the endpoint's pattern takes whole
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -56,64 +58,75 @@ def near(starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarr
     return (at > 0) & (right[np.maximum(at - 1, 0)] >= starts - reach)
 
 
-def linked_spans(text: str, base: list, reach: int = REACH) -> list[tuple[int, int, str]]:
-    """Weak candidates with their complements: secrets and endpoints near access identifiers, and the pairs they make.
+def linked_spans(text: str, base: list, reach: int | None = None) -> list[tuple[int, int, str]]:
+    """Weak candidates with their complements: secrets and endpoints near their other parts, and the pairs they make.
 
-    A bare secret needs an access identifier in its scope; an endpoint needs an access identifier, an assignment or a
-    confirmed secret. A pair spans an access identifier and its nearest secret (bare or assigned) in the scope.
+    A bare secret needs an access identifier or an endpoint in its scope, and is no secret of an endpoint whose address it
+    lies in; an endpoint needs an access identifier, an assignment or a confirmed secret. A pair spans an access identifier
+    and a secret (bare or assigned) of the scope: each identifier with its nearest secret, each secret with its nearest
+    identifier. Without ``reach`` the scope alone bounds all this.
     """
-    if not base:  # every complement of a weak candidate begins with a base span
-        return []
     inside = [v for _, _, kind, v in base if kind in ("hex", "access")]
     bare = [m.span() for m in BARE.finditer(text) if not any(a <= m.start() and m.end() <= b for a, b in inside)]
-    endpoints = [m.span() for m in ENDPOINT.finditer(text)]
+    if not base and not bare:  # nothing that an endpoint could complement
+        return []
+    reach = len(text) if reach is None else reach
+    endpoints = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text or "amazonaws" in text else []
     edges = np.array([m.end() for m in BLANK.finditer(text)], np.int64)
 
     def columns(spans):
         table = np.array(spans, np.int64).reshape(-1, 2)
         return table[:, 0], table[:, 1], np.searchsorted(edges, table[:, 0], side="right")
 
+    def of(part, scope):
+        first, last = np.searchsorted(part[2], [scope, scope + 1])
+        return [x[first:last] for x in part[:2]]
+
     out: list[tuple[int, int, str]] = []
     access = columns([v for _, _, kind, v in base if kind == "access"])
     assigned = columns([v for _, _, kind, v in base if kind == "assign"])
     weak, service = columns(bare), columns(endpoints)
-    for scope in np.unique(np.concatenate([access[2], assigned[2]])).tolist():
-        a, s, w, e = ([x[part[2] == scope] for x in part[:2]] for part in (access, assigned, weak, service))
-        sure = near(*w, *a, reach)
+    address_ends = np.array([m.start() if (m := ENDS_URL.search(text, i, j)) else j for i, j in endpoints], np.int64)
+    at = np.searchsorted(service[0], weak[0], side="right")
+    within = (at > 0) & (address_ends[at - 1] > weak[0]) if len(endpoints) else np.zeros(len(bare), bool)
+    for scope in np.unique(np.concatenate([access[2], assigned[2], weak[2]])).tolist():
+        a, s, w, e = (of(part, scope) for part in (access, assigned, weak, service))
+        sure = near(*w, *a, reach) | (near(*w, *e, reach) & ~of((within, within, weak[2]), scope)[0])
         w = [x[sure] for x in w]
         out += [(i, j, "secret") for i, j in zip(*(x.tolist() for x in w))]
         parts = [np.concatenate(x) for x in zip(a, s, w)]
         kept = near(*e, *parts, reach)
         out += [(i, j, "endpoint") for i, j in zip(*(x[kept].tolist() for x in e))]
-        out += pairs(a, [np.concatenate(x) for x in zip(s, w)], reach)
+        secret = [np.concatenate(x) for x in zip(s, w)]
+        out += pairs(a, secret, reach) + pairs(secret, a, reach)
     return out
 
 
-def pairs(access: list[np.ndarray], secret: list[np.ndarray], reach: int) -> list[tuple[int, int, str]]:
-    """The span over each access identifier and its nearest secret within ``reach``; the earlier one of two as near."""
-    if not len(access[0]) or not len(secret[0]):
+def pairs(own: list[np.ndarray], other: list[np.ndarray], reach: int) -> list[tuple[int, int, str]]:
+    """The span over each of ``own`` and its nearest of ``other`` within ``reach``; the earlier one of two as near."""
+    if not len(own[0]) or not len(other[0]):
         return []
-    order = np.argsort(secret[0], kind="stable")
-    left, right = secret[0][order], secret[1][order]
-    at = np.searchsorted(left, access[0])
+    order = np.argsort(other[0], kind="stable")
+    left, right = other[0][order], other[1][order]
+    at = np.searchsorted(left, own[0])
     before, behind = np.maximum(at - 1, 0), np.minimum(at, len(left) - 1)
     far = np.iinfo(np.int64).max
-    gap_before = np.where(at > 0, np.maximum(access[0] - right[before], 0), far)
-    gap_behind = np.where(at < len(left), np.maximum(left[behind] - access[1], 0), far)
+    gap_before = np.where(at > 0, np.maximum(own[0] - right[before], 0), far)
+    gap_behind = np.where(at < len(left), np.maximum(left[behind] - own[1], 0), far)
     pick, gap = np.where(gap_before <= gap_behind, before, behind), np.minimum(gap_before, gap_behind)
     good = gap <= reach
-    begin, end = np.minimum(access[0], left[pick])[good], np.maximum(access[1], right[pick])[good]
+    begin, end = np.minimum(own[0], left[pick])[good], np.maximum(own[1], right[pick])[good]
     return [(i, j, "pair") for i, j in zip(begin.tolist(), end.tolist())]
 
 
-def secret_spans(text: str, reach: int = REACH) -> list[tuple[int, int, str]]:
+def secret_spans(text: str, reach: int | None = REACH) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text in code points, by start, then by kind in the order of ``KINDS``."""
     base = base_spans(text)
     found = [(start, end, kind) for start, end, kind, _ in base] + linked_spans(text, base, reach)
     return sorted(set(found), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def find_secrets(df: DataFrame, text: str = "text", to: str = "secrets", reach: int = REACH) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", to: str = "secrets", reach: int | None = None) -> DataFrame:
     """``df`` with the column ``to``: array of (kind, start, end) by start, then kind. Null counts as empty. No shuffle.
 
     Offsets are code points, ends exclusive. An existing column ``to`` is replaced.
@@ -129,7 +142,7 @@ def find_secrets(df: DataFrame, text: str = "text", to: str = "secrets", reach:
     return df.withColumn(to, spans(F.col(text)))
 
 
-def without_secrets(df: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+def without_secrets(df: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
     """``df`` with every secret of ``text`` replaced by ``[kind]``; all rows and columns stay, null stays null.
 
     Of overlapping spans the union is replaced, under the kind that begins first.
