@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates; DataFrame functions only.
 
-Paragraphs are lines. A sparse logistic regression over word 1- to 3-grams scores every paragraph for each licence family
+Paragraphs are lines, and blocks of several lines between lines without letters or digits, as statements are often wrapped.
+A sparse logistic regression over word 1- to 3-grams scores every paragraph for each licence family
 and for the class of anything else; its scores are calibrated on held-out examples, and what stays below the threshold of
 its family is unknown. A prediction counts when the paragraph also contains most word pairs of one of the family's templates.
 
@@ -110,6 +111,26 @@ def has_any(text: Column, anchors: list[str]) -> Column:
     return found
 
 
+def newlines(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n")))
+
+
+def blocks(df: DataFrame, text: str, anchors: list[str]) -> DataFrame:
+    """``df`` without ``text``, with paragraph (number of the first line), last (of the last one) and body of every block of
+    several lines that has an anchor. Line breaks are blanks; comment marks are no words.
+    """
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=\n)(?=[^\p{L}\p{N}\n]*\n)")
+    rest = [c for c in df.columns if c != text]
+    numbered = df.withColumn("_parts", parts).select(*rest, "_parts", F.explode(F.filter(
+        F.transform("_parts", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: has_any(x["p"], anchors))).alias("_x"))
+    first = F.aggregate(F.slice("_parts", 1, F.col("_x.i")), F.lit(0), lambda n, p: n + newlines(p)) + newlines(
+        F.regexp_extract("_x.p", r"^[^\p{L}\p{N}]*", 0))
+    body = F.regexp_replace("_x.p", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    made = numbered.select(*rest, first.alias("paragraph"), body.alias("body"))
+    made = made.select(*rest, "paragraph", (F.col("paragraph") + newlines(F.col("body"))).alias("last"), "body")
+    return made.where("last > paragraph").withColumn("body", F.translate("body", "\r\n", "  "))
+
+
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, paragraph (number), start (code point) and body of every line of ``text`` that is not blank."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
@@ -169,17 +190,22 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
 def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per licence paragraph: ``key``, paragraph, family, probability, similarity, n_words.
 
+    A paragraph's number is that of its line, or of its first line where it is a block of several. A block counts only where
+    none of its lines gives the same family, and as unknown only where none of its lines gives any.
     The family is ``unknown`` where the calibrated threshold is not reached although a template is contained. Paragraphs
     that no template of the predicted family confirms are left out. Null and empty texts have no paragraphs. Rows that
     share a key are scanned each, and have equal numbers.
     """
-    found = paragraphs(df.where(has_any(F.col(text), model.anchors)), key, text).where(has_any(F.col("body"), model.anchors))
+    docs = df.where(has_any(F.col(text), model.anchors)).select(key, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc"))
+    line = F.filter(F.transform(F.split("_text", "\n"), lambda b, i: F.struct(
+        i.alias("paragraph"), F.lit(None).cast("int").alias("last"), b.alias("body"))), lambda x: has_any(x["body"], model.anchors))
+    found = docs.select(key, "_doc", F.inline(line)).unionByName(blocks(docs, "_text", model.anchors))
     found = found.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words(F.col("body"))).drop("body")
     classes = [UNKNOWN, *model.families]
     table = model.weights.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("_w"))
     scored = found.select("*", F.explode(all_grams(F.col("_words"))).alias("gram")).join(F.broadcast(table), "gram")
     sums = [F.sum(F.coalesce(F.element_at("_w", c), F.lit(0.0))).alias(f"_z{i}") for i, c in enumerate(classes)]
-    scored = scored.groupBy(key, "paragraph", "_row", "_words").agg(*sums)
+    scored = scored.groupBy(key, "_doc", "paragraph", "last", "_row", "_words").agg(*sums)
     z = F.array(*(F.col(f"_z{i}") + b for i, b in enumerate(model.biases)))
     scored = scored.withColumn("_z", z).withColumn("_top", F.array_max(F.slice("_z", 2, len(classes))))
     scored = scored.withColumn("_class", F.array_position(F.slice("_z", 2, len(classes)), F.col("_top")).cast("int"))
@@ -193,5 +219,13 @@ def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     contained = F.array_max(F.transform("_templates", lambda t: F.size(F.array_intersect(t, F.col("_pairs"))) / F.size(t)))
     compared = compared.withColumn("similarity", contained).where(F.col("similarity") >= CONTAINED)
     family = F.when(F.col("probability") >= F.col("_least"), F.col("_family")).otherwise(F.lit(UNKNOWN))
-    return compared.select(key, "paragraph", family.alias("family"), F.round("probability", 6).alias("probability"),
-                           F.round("similarity", 6).alias("similarity"), F.size("_words").alias("n_words"))
+    made = compared.select(key, "_doc", F.struct("paragraph", family.alias("family"), F.round("probability", 6).alias("probability"),
+                           F.round("similarity", 6).alias("similarity"), F.size("_words").alias("n_words"), "last").alias("_p"))
+    made = made.groupBy(key, "_doc").agg(F.collect_list("_p").alias("_all"))
+
+    def told(block):
+        return F.exists("_all", lambda x: x["last"].isNull() & x["paragraph"].between(block["paragraph"], block["last"])
+                        & ((x["family"] == block["family"]) | (block["family"] == UNKNOWN)))
+
+    whole = made.select(key, F.inline(F.filter("_all", lambda p: p["last"].isNull() | ~told(p))))
+    return whole.drop("last")

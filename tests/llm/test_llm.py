@@ -134,6 +134,19 @@ def test_licences_unseen_wording_and_unknown(spark, licence_model):
     assert licenses.fit(empty(spark)).families == licence_model.families
 
 
+def test_wrapped_licences(spark, licence_model):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files "
+           "(the \"Software\"), to deal\nin the Software without restriction")
+    bsd = ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\n"
+           "# conditions are met:")
+    gpl = (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as "
+           "published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.")
+    rows = spark.createDataFrame([(1, mit), (2, f"#!/bin/sh\n#\n{bsd}\n#\n"), (3, f"/*\n * File of it\n *\n{gpl}\n */\nint x;"),
+                                  (4, "Some words.\nLicensed under CC BY-SA 4.0.\nMore words.")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.licence_scan(rows, licence_model).collect())
+    assert got == [(1, 0, "MIT"), (2, 2, "BSD"), (3, 3, "GPL"), (4, 1, "CC-BY-SA")]
+
+
 # 3: packing
 
 def fewest(histogram, length):
