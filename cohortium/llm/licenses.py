@@ -3,10 +3,11 @@
 Paragraphs are lines, and blocks of several lines between lines without letters or digits, as statements are often wrapped.
 A sparse logistic regression over word 1- to 3-grams scores every paragraph for each licence family
 and for the class of anything else; its scores are calibrated on held-out examples, and what stays below the threshold of
-its family is unknown. A prediction counts when the paragraph also contains most word pairs of one of the family's templates.
+its family is unknown. A family is confirmed where the paragraph contains most word pairs of one of its templates, or one of
+its names behind a word that licenses, as SPDX identifier or alone. What is predicted but not confirmed is unknown.
 
-Anchors are words chosen so that a paragraph without any of them shares too few word pairs with every template to be
-confirmed. Texts and paragraphs without an anchor are therefore set aside first, which loses nothing.
+Anchors are words chosen so that a paragraph without any of them shares too few word pairs with every template and has no
+name to be confirmed. Texts and paragraphs without an anchor are therefore set aside first, which loses nothing.
 """
 
 from __future__ import annotations
@@ -28,23 +29,57 @@ GRAMS = 8192  # most features
 
 # Short public licence statements by family
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License 2.0", "Distributed under the Apache 2.0 license.",
                    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
                    "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.",
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Distributed under the MIT license.",
+            "This project is licensed under the terms of the MIT license.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
             "SPDX-License-Identifier: MIT"],
-    "BSD": ["Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.",
+    "BSD": ["Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "Distributed under the BSD license.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-            "SPDX-License-Identifier: BSD-3-Clause"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.",
+            "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL version 2 or later.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-            "SPDX-License-Identifier: GPL-3.0-only"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+            "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "LGPL": ["This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the LGPL version 2.1 or later.",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+             "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "AGPL": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL version 3.",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+             "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.",
+                "SPDX-License-Identifier: MPL-2.0"],
+    "ISC": ["Licensed under the ISC license.", "Released under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "SPDX-License-Identifier: ISC"],
+    "CC0-1.0": ["Released under CC0 1.0.", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+                "SPDX-License-Identifier: CC0-1.0"],
+    "Unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+              "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+                 "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+                 "SPDX-License-Identifier: CC-BY-NC-4.0"],
 }
+# Names of families, in words as ``words`` makes them, and what has to stand before them
+NAMES = {
+    "Apache-2.0": r"apache(?: software)? licen[sc]e(?! (?:version )?v?1)|apache (?:version )?v?2(?:_0)?", "MIT": r"mit(?: x11| expat)? licen[sc]e",
+    "BSD": r"bsd(?: (?:\d|style|like|clause|new|revised|simplified))* licen[sc]e", "GPL": r"gnu general public licen[sc]e|gpl(?:v?\d\S*)?",
+    "LGPL": r"gnu (?:lesser|library) general public licen[sc]e|lgpl(?:v?\d\S*)?", "AGPL": r"gnu affero general public licen[sc]e|agpl(?:v?\d\S*)?",
+    "MPL-2.0": r"mozilla public licen[sc]e(?! (?:version |v )?v?1)|mpl (?:v )?v?2_0", "ISC": r"isc licen[sc]e", "CC0-1.0": r"cc0|creative commons zero",
+    "Unlicense": r"unlicen[sc]e", "CC-BY": r"creative commons attribution(?: \d\S*)?(?: international| generic| unported| licen[sc]e)|cc by(?= v?\d| licen[sc]e|$)",
+    "CC-BY-SA": r"creative commons attribution share ?alike|cc by sa",
+    "CC-BY-NC": r"creative commons attribution non ?commercial(?! (?:share|no))|cc by nc(?! (?:sa|nd))"}
+BARE_NAMES = {"MIT": "mit", "BSD": "bsd", "ISC": "isc"}  # that need more care, as they are words elsewhere
+LICENSING = r"under|licensed|licen[sc]e identifier|governed by|subject to|terms of|released|distributed|available"
+NAMED = r"licen[sc]|apache|gpl|cc0|cc[ -]by|creative\s+commons|mpl|under[^\p{L}\p{N}]+(?:the[^\p{L}\p{N}]+)?(?:mit|bsd|isc)\b"  # in every text with a name
+# Lines that speak of licences and give none
+SPOKEN = ["a license plate", "this text speaks of a license", "you need a license to drive", "the license plate of the car", "a fishing license costs more",
+          "a license fee must be paid", "with permission of the author", "the software is free of charge", "this version of the software",
+          "the general public is free to use it", "the foundation was published by a person", "a copy of the documentation", "creative work in common form",
+          "the conditions of the source are met", "the driver lost his license", "public domain name of the project", "poetic license"]
 # Words that templates share with any text
 COMMON = {"a", "an", "and", "any", "are", "as", "by", "can", "except", "following", "form", "forms", "free", "in", "is", "it", "may", "met",
           "not", "of", "or", "person", "provided", "that", "the", "this", "to", "under", "use", "with", "without", "work", "you"}
@@ -108,7 +143,17 @@ def has_any(text: Column, anchors: list[str]) -> Column:
     lowered, found = F.lower(text), F.lit(False)
     for anchor in anchors:
         found = found | F.contains(lowered, F.lit(anchor))
-    return found
+    return found | F.rlike(lowered, F.lit(NAMED))
+
+
+def named(body: Column, family: str) -> Column:
+    """Whether words joined by blanks license by one of the family's names, or consist of it and its version."""
+    own = NAMES.get(family)
+    if own is None:
+        return F.lit(False)
+    short = f"|(?:under|licen[sc]e identifier)(?: the)? {BARE_NAMES[family]}" if family in BARE_NAMES else ""
+    return F.rlike(body, F.lit(rf"(?:^| )(?:(?:{LICENSING})(?: \S+){{0,12}}? (?:{own}){short})(?: |$)"
+                               rf"|^(?:the )?(?:{own})(?: (?:version|v?\d\S*|mit|only|or|later|international|generic|unported))*$"))
 
 
 def newlines(text: Column) -> Column:
@@ -157,7 +202,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     lines = paragraphs(df.where(F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // others))) == 0), key, text)
     lines = lines.where(~has_any(F.col("body"), anchors)).withColumn("words", words(F.col("body")))
     lines = lines.orderBy(F.xxhash64("body"), key, "paragraph").limit(others)
-    plain = [(UNKNOWN, ["the", word]) for word in sorted(COMMON)]
+    plain = [(UNKNOWN, ["the", word]) for word in sorted(COMMON)] + [(UNKNOWN, line.split(" ")) for line in SPOKEN]
     examples = (examples.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), "words"))
                 .unionByName(local(spark, plain, "family string, words array<string>")))
     classes = [UNKNOWN, *families]
@@ -191,9 +236,11 @@ def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     """One row per licence paragraph: ``key``, paragraph, family, probability, similarity, n_words.
 
     A paragraph's number is that of its line, or of its first line where it is a block of several. A block counts only where
-    none of its lines gives the same family, and as unknown only where none of its lines gives any.
-    The family is ``unknown`` where the calibrated threshold is not reached although a template is contained. Paragraphs
-    that no template of the predicted family confirms are left out. Null and empty texts have no paragraphs. Rows that
+    none of its lines gives the same family as well, and as unknown only where none of its lines gives any; lines that say less
+    than their block, unknown ones or those with a name where the block has a template, give way to it.
+    Of the confirmed families the most probable counts, else the most probable of all. It is ``unknown`` where it is confirmed
+    without reaching its calibrated threshold, or unconfirmed but more probably a licence than anything else; what is neither
+    is left out. Null and empty texts have no paragraphs. Rows that
     share a key are scanned each, and have equal numbers.
     """
     docs = df.where(has_any(F.col(text), model.anchors)).select(key, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc"))
@@ -207,25 +254,39 @@ def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     sums = [F.sum(F.coalesce(F.element_at("_w", c), F.lit(0.0))).alias(f"_z{i}") for i, c in enumerate(classes)]
     scored = scored.groupBy(key, "_doc", "paragraph", "last", "_row", "_words").agg(*sums)
     z = F.array(*(F.col(f"_z{i}") + b for i, b in enumerate(model.biases)))
-    scored = scored.withColumn("_z", z).withColumn("_top", F.array_max(F.slice("_z", 2, len(classes))))
-    scored = scored.withColumn("_class", F.array_position(F.slice("_z", 2, len(classes)), F.col("_top")).cast("int"))
+    scored = scored.withColumn("_z", z).withColumn("_body", F.array_join("_words", " ")).withColumn("_pairs", F.array_distinct(grams(F.col("_words"), 2)))
     total = F.aggregate("_z", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(F.col("_z"))))
-    scored = scored.withColumn("probability", F.exp(F.col("_top") - F.array_max("_z")) / total)
-    names, least = (F.array(*map(F.lit, x)) for x in (model.families, model.thresholds))
-    scored = scored.withColumn("_family", names[F.col("_class") - 1]).withColumn("_least", least[F.col("_class") - 1])
-    own = model.templates.groupBy("family").agg(F.collect_list("pairs").alias("_templates"))
-    pairs = F.array_distinct(grams(F.col("_words"), 2))
-    compared = scored.join(F.broadcast(own), F.col("_family") == F.col("family")).withColumn("_pairs", pairs)
-    contained = F.array_max(F.transform("_templates", lambda t: F.size(F.array_intersect(t, F.col("_pairs"))) / F.size(t)))
-    compared = compared.withColumn("similarity", contained).where(F.col("similarity") >= CONTAINED)
-    family = F.when(F.col("probability") >= F.col("_least"), F.col("_family")).otherwise(F.lit(UNKNOWN))
+    own = model.templates.groupBy("family").agg(F.collect_list("pairs").alias("_own"))
+    own = own.agg(F.map_from_entries(F.collect_list(F.struct("family", "_own"))).alias("_templates"))
+    compared = scored.withColumn("_total", total).crossJoin(F.broadcast(own))
+
+    def judged(i, family):
+        shares = F.transform(F.element_at("_templates", family), lambda t: F.size(F.array_intersect(t, F.col("_pairs"))) / F.size(t))
+        return F.struct(((F.array_max(shares) >= CONTAINED) | named(F.col("_body"), family)).alias("confirmed"),
+                        F.col("_z")[i + 1].alias("z"), F.array_max(shares).alias("similarity"), F.lit(family).alias("family"),
+                        F.lit(model.thresholds[i]).alias("least"))
+
+    compared = compared.withColumn("_best", F.array_max(F.array(*(judged(i, f) for i, f in enumerate(model.families)))))
+    compared = compared.withColumn("similarity", F.col("_best.similarity"))
+    compared = compared.withColumn("probability", F.exp(F.col("_best.z") - F.array_max("_z")) / F.col("_total"))
+    sure = F.col("probability") >= F.col("_best.least")
+    plain = F.exp(F.col("_z")[0] - F.array_max("_z")) / F.col("_total")
+    compared = compared.where(F.col("_best.confirmed") | (plain < 0.5))
+    family = F.when(F.col("_best.confirmed") & sure, F.col("_best.family")).otherwise(F.lit(UNKNOWN))
     made = compared.select(key, "_doc", F.struct("paragraph", family.alias("family"), F.round("probability", 6).alias("probability"),
                            F.round("similarity", 6).alias("similarity"), F.size("_words").alias("n_words"), "last").alias("_p"))
     made = made.groupBy(key, "_doc").agg(F.collect_list("_p").alias("_all"))
 
+    def covers(line, block):
+        return line["last"].isNull() & block["last"].isNotNull() & line["paragraph"].between(block["paragraph"], block["last"])
+
+    def less(line, block):
+        return (block["family"] != UNKNOWN) & ((line["family"] == UNKNOWN) | ((line["family"] == block["family"])
+                & (line["similarity"] < CONTAINED) & (block["similarity"] >= CONTAINED)))
+
     def told(block):
-        return F.exists("_all", lambda x: x["last"].isNull() & x["paragraph"].between(block["paragraph"], block["last"])
-                        & ((x["family"] == block["family"]) | (block["family"] == UNKNOWN)))
+        return F.exists("_all", lambda x: covers(x, block) & ~less(x, block) & ((x["family"] == block["family"]) | (block["family"] == UNKNOWN)))
 
-    whole = made.select(key, F.inline(F.filter("_all", lambda p: p["last"].isNull() | ~told(p))))
+    made = made.withColumn("_all", F.filter("_all", lambda p: p["last"].isNull() | ~told(p)))
+    whole = made.select(key, F.inline(F.filter("_all", lambda p: ~F.exists("_all", lambda x: covers(p, x) & less(p, x)))))
     return whole.drop("last")

@@ -147,6 +147,19 @@ def test_wrapped_licences(spark, licence_model):
     assert got == [(1, 0, "MIT"), (2, 2, "BSD"), (3, 3, "GPL"), (4, 1, "CC-BY-SA")]
 
 
+def test_licences_in_wordings_of_no_template(spark, licence_model):
+    want = {"Source is made available under the Apache License 2.0 by its authors": "Apache-2.0", "Code in this folder is distributed under the MIT license, see below.": "MIT",
+            "This program is licensed under the GNU General Public License, version 2 or later.": "GPL",
+            "The library may be used under the terms of the GNU Lesser General Public License 2.1": "LGPL",
+            "Server parts are covered by and released under the GNU Affero General Public License v3": "AGPL",
+            "All scripts are available under the ISC license": "ISC", "The data are released under CC0": "CC0-1.0",
+            "This is free and unencumbered software released into the public domain, by us.": "Unlicense", "This text speaks of a license plate.": None,
+            "The driver shows a license and drives on.": None, "Licensed under the Sample Vendor License, version 7.": "unknown"}
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licenses.licence_scan(rows, licence_model).collect()}
+    assert [got.get(i) for i in range(len(want))] == list(want.values())
+
+
 # 3: packing
 
 def fewest(histogram, length):
