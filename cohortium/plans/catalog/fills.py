@@ -189,17 +189,24 @@ _HOLED = f"""SELECT p_partkey, CAST(p_size AS DOUBLE) AS t1, p_retailprice AS t2
   CASE WHEN {_M2} <> 0 THEN p_retailprice END AS c2 FROM part WHERE p_partkey % 9 <> 2 AND p_partkey % 8 <> 3"""
 
 
+def _holed(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k, F.when(F.pmod(k, F.lit(9)) != 2, F.col("p_size")).cast("double").alias("size"),
+        F.when(F.pmod(k, F.lit(8)) != 3, F.col("p_retailprice")).alias("price"))
+
+
 @query("i2_full_tournament", f"""WITH m AS ({_HOLED}), {_chained_sql('m', 'chained', 1)}, s AS (
   {_scored('mean', 0, '(SELECT avg(c1) FROM m)', '(SELECT avg(c2) FROM m)')} UNION ALL
   {_scored('median', 1, '(SELECT median(c1) FROM m)', '(SELECT median(c2) FROM m)')} UNION ALL
   {_scored('chained', 2, 'g1', 'g2', 'chained')} UNION ALL {_scored('zero', 3, '0', '0')})
   SELECT *, 0::BIGINT AS nulls_left, (SELECT count(*) FROM part) AS rows_kept FROM s""")
 def full_tournament(spark, sf_dir):
-    """Strategies scored on the complete rows, the winner fitted on the whole table."""
-    k = F.col("p_partkey")
-    df = table(spark, sf_dir, "part").select(
-        k, F.when(F.pmod(k, F.lit(9)) != 2, F.col("p_size")).cast("double").alias("size"),
-        F.when(F.pmod(k, F.lit(8)) != 3, F.col("p_retailprice")).alias("price"))
+    """Strategies scored on the complete rows, the winner fitted on the whole table.
+
+    Without knn, by lines and in one round; ``i2_full_tournament_knn`` has all strategies, ``i2_full_tournament_forest`` the forest.
+    """
+    df = _holed(spark, sf_dir)
     scores, filled = tm.fill_tournament(df, ["size", "price"], "p_partkey", ("mean", "median", "chained", "zero"), rounds=1,
                                         learner="ridge", hashed=False)
     left = filled.agg(F.count_if(F.col("size").isNull() | F.col("price").isNull()).alias("nulls_left"), F.count(F.lit(1)).alias("rows_kept")).first()
@@ -207,6 +214,38 @@ def full_tournament(spark, sf_dir):
                             F.lit(left[1]).cast("bigint").alias("rows_kept")), "rmse", places=4)
 
 
+@query("i2_full_tournament_knn", f"""WITH m AS ({_HOLED}), {_chained_sql('m', 'chained', 1)},
+  n1 AS ({_knn_sql('m', 'p_partkey', 'c1', ['c2'], 5)}), n2 AS ({_knn_sql('m', 'p_partkey', 'c2', ['c1'], 5)}),
+  k AS (SELECT m.*, n1.guess AS g1, n2.guess AS g2 FROM m LEFT JOIN n1 USING (p_partkey) LEFT JOIN n2 USING (p_partkey)), s AS (
+  {_scored('mean', 0, '(SELECT avg(c1) FROM m)', '(SELECT avg(c2) FROM m)')} UNION ALL
+  {_scored('median', 1, '(SELECT median(c1) FROM m)', '(SELECT median(c2) FROM m)')} UNION ALL
+  {_scored('knn', 2, 'coalesce(g1, (SELECT avg(c1) FROM m))', 'coalesce(g2, (SELECT avg(c2) FROM m))', 'k')} UNION ALL
+  {_scored('chained', 3, 'g1', 'g2', 'chained')} UNION ALL {_scored('zero', 4, '0', '0')})
+  SELECT *, 0::BIGINT AS nulls_left, (SELECT count(*) FROM part) AS rows_kept FROM s""")
+def full_tournament_knn(spark, sf_dir):
+    """All five strategies scored on the complete rows, the winner fitted on the whole table."""
+    scores, filled = tm.fill_tournament(_holed(spark, sf_dir), ["size", "price"], "p_partkey", rounds=1, learner="ridge", hashed=False)
+    left = filled.agg(F.count_if(F.col("size").isNull() | F.col("price").isNull()).alias("nulls_left"), F.count(F.lit(1)).alias("rows_kept")).first()
+    return r6(scores.select("strategy", "ordinal", "cells", "rmse", F.lit(left[0]).cast("bigint").alias("nulls_left"),
+                            F.lit(left[1]).cast("bigint").alias("rows_kept")), "rmse", places=4)
+
+
+@query("i2_full_tournament_forest", f"""WITH m AS ({_HOLED}), n AS (SELECT (count(*) FILTER (WHERE c1 IS NULL) +
+  count(*) FILTER (WHERE c2 IS NULL))::BIGINT AS cells FROM m)
+  SELECT strategy, ordinal, cells, true AS scored, 0::BIGINT AS nulls_left, 0::BIGINT AS observed_changed,
+  (SELECT count(*) FROM part) AS rows_kept
+  FROM n, (VALUES ('mean', 0), ('median', 1), ('knn', 2), ('chained', 3), ('zero', 4)) t(strategy, ordinal)""")
+def full_tournament_forest(spark, sf_dir):
+    """The tournament as it is by default, with the forest and its rounds: what must hold for any learner."""
+    df = _holed(spark, sf_dir)
+    scores, filled = tm.fill_tournament(df, ["size", "price"], "p_partkey", hashed=False)
+    both = filled.join(df.select("p_partkey", F.col("size").alias("size0"), F.col("price").alias("price0")), "p_partkey")
+    changed = (F.col("size") != F.col("size0")) | (F.col("price") != F.col("price0"))
+    left = both.agg(F.count_if(F.col("size").isNull() | F.col("price").isNull()), F.count_if(changed), F.count(F.lit(1))).first()
+    return scores.select("strategy", "ordinal", "cells", F.col("rmse").isNotNull().alias("scored"), *(
+        F.lit(n).cast("bigint").alias(name) for name, n in zip(("nulls_left", "observed_changed", "rows_kept"), left)))
+
+
 _LINE = """WITH g AS (SELECT id, b, CASE WHEN id % 10 <> 4 THEN y END AS y FROM (""" + PLANTED_SQL + "))"
 
 
