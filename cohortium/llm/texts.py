@@ -6,7 +6,8 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_CHARS = 1_000_000
 
@@ -23,6 +24,11 @@ def importable(df: DataFrame) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
 
 
+def whole_row(df: DataFrame, names: list[str] | None = None, to: str = "row") -> Column:
+    """Columns of ``df`` (all by default) as one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names))).alias(to)
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Runs of whole texts with about ``limit`` characters, at least one text each."""
     run, size = [], 0

@@ -1,0 +1,261 @@
+"""Context trees, the filter audit and periodic runs against plain versions."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortium.llm import catalog, context_trees, filter_audit, periodic_runs
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+# --- context trees
+
+def coded(text):
+    return "".join(w + " " for w in WORDS.findall(lowered(text))).encode() + b"\n"
+
+
+def plain_trees(train, texts, depth=context_trees.DEPTH):
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def decisions(text):
+        data = b"\n" * depth + coded(text)
+        for i in range(depth, len(data)):
+            bits = f"{data[i]:08b}"
+            for k in range(8):
+                yield [data[i - d:i] for d in range(depth + 1)], bits[:k], int(bits[k])
+
+    for text in train:
+        for contexts, node, bit in decisions(text):
+            for d, context in enumerate(contexts):
+                counts[context, node][bit] += 1
+                if d < depth:
+                    kids[context, node].add(contexts[d + 1])
+    known = {}
+
+    def log_pe(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def log_pw(context, node):
+        if (context, node) not in known:
+            own = log_pe(*counts[context, node])
+            if len(context) < depth:
+                below = sum(log_pw(kid, node) for kid in kids[context, node])
+                own = np.logaddexp(math.log(0.5) + own, math.log(0.5) + below)
+            known[context, node] = own
+        return known[context, node]
+
+    def score(text):
+        total = 0.0
+        for contexts, node, bit in decisions(text):
+            p = None
+            for context in reversed(contexts):
+                seen = counts.get((context, node))
+                if not seen:
+                    continue
+                own = (seen[bit] + 0.5) / (sum(seen) + 1)
+                if p is None:
+                    p = own
+                else:
+                    w = math.exp(math.log(0.5) + log_pe(*seen) - log_pw(context, node))
+                    p = w * own + (1 - w) * p
+            total += math.log10(0.5 if p is None else p)
+        return total
+
+    return [score(t) for t in texts]
+
+
+def test_context_trees_equal_the_plain_recursion(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["the", "sea", "is", "Deep", "éa", "x" * 9]) for _ in range(rnd.randint(0, 12))) for _ in range(30)]
+    texts += [None, "", "  \t ", "never-met words", texts[3], texts[3]]
+    rows = [(i, t, i % 4 != 1, "own") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean, block string")
+    made = {r["doc_id"]: r for r in context_trees.language_scores(df, F.col("learn")).collect()}
+    assert len(made) == len(texts)
+    train = [t for _, t, learn, _ in rows if learn]
+    tokens = [w for t in train for w in WORDS.findall(lowered(t)) + [""]]
+    for i, expected in enumerate(plain_trees(train, texts)):
+        own = WORDS.findall(lowered(texts[i])) + [""]
+        assert made[i]["score"] == pytest.approx(expected, abs=1e-4)
+        assert (made[i]["n_tokens"], made[i]["train_tokens"]) == (len(own), len(tokens))
+        assert made[i]["n_known"] == sum(w in tokens for w in own)
+        base = sum(math.log10((tokens.count(w) + 1) / (len(tokens) + len(set(tokens)) + 1)) for w in own)
+        assert made[i]["base_score"] == pytest.approx(base, abs=1e-9)
+        assert made[i]["bits_per_byte"] == pytest.approx(-expected * math.log2(10) / len(coded(texts[i])), abs=1e-4)
+
+
+def test_context_trees_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert context_trees.language_scores(df, F.lit(True)).count() == 0
+    alone = spark.createDataFrame([(1, "ab"), (None, None)], "doc_id long, text string")
+    made = {r["doc_id"]: r["score"] for r in context_trees.language_scores(alone, F.lit(None).cast("boolean")).collect()}
+    assert made[1] == pytest.approx(-32 * math.log10(2)) and made[None] == pytest.approx(-8 * math.log10(2))
+
+
+def test_long_texts_are_coded_alike_in_slices(monkeypatch):
+    rnd = random.Random(2)
+    texts = [" ".join("w%d" % rnd.randrange(40) for _ in range(n)).encode() for n in (0, 500, 3, 2000)] + [None, b"  \n", b"end "]
+    learns = np.array([True, False, True, True, True, False, True])
+    whole = context_trees.counted(texts, learns)
+    values = np.log1p(whole[1].astype(float))
+    before = context_trees.scored(texts, whole[0], values)
+    monkeypatch.setattr(context_trees, "SLICE_BYTES", 100)
+    cut = context_trees.counted(texts, learns)
+    assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+    for a, b in zip(before, context_trees.scored(texts, whole[0], values)):
+        assert np.allclose(a, b)
+
+
+def test_probabilities_of_a_byte_sum_to_one():
+    keys, counts = context_trees.counted([b"abracadabra abra cad", b"arb"], np.array([True, True]))
+    strings = keys < context_trees.WORD
+    context = keys[strings][0] >> np.uint64(8)
+    every = np.unique(np.concatenate([keys[strings], context << np.uint64(8) | np.arange(256, dtype=np.uint64)]))
+    n = np.zeros(len(every), np.int64)
+    n[np.searchsorted(every, keys[strings])] = counts[strings]
+    bits, top = context_trees.subtree(every, n)
+    below = defaultdict(float)
+    for bit in range(8):
+        first = top.keys[top.first[bit]]
+        for pair, value in zip(zip((first >> np.uint64(16)).tolist(), context_trees.bit_nodes(first, bit).tolist()), top.log_pw[bit]):
+            below[pair] += value
+    short = (every >> np.uint64(8 * (context_trees.DEPTH - context_trees.UPPER + 2)) << np.uint64(8)) | (every & np.uint64(255))
+    kinds, at = np.unique(short, return_inverse=True)
+    above = context_trees.Upper(kinds, np.bincount(at, n).astype(np.int64), below)
+    own = every >> np.uint64(8) == context
+    assert np.exp(above.finish(every, bits.T)[own]).sum() == pytest.approx(1.0)
+
+
+# --- filter audit
+
+def plain_audit(rows, labels):
+    sets = defaultdict(lambda: [0, 0, 0])
+    for key, text, part in rows:
+        text, words = text or "", WORDS.findall(text or "")
+        fails = [len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+                 bool(re.search(r"[#$%&*|]", text)), any(k is not None and key is not None and k < key and (t or "") == text for k, t, _ in rows)]
+        own = [r for r in labels if r[0] == key and key is not None]
+        for at, value in enumerate((1, any(r[1] == 1 for r in own), any(r[2] == 1 for r in own))):
+            sets[part or "", tuple(fails)][at] += int(value)
+    out = []
+    for part in {p for p, _ in sets}:
+        own = {fails: n for (p, fails), n in sets.items() if p == part}
+        for order in itertools.permutations(range(5)):
+            for step, f in enumerate(order):
+                before = order[:step]
+                first = [n for fails, n in own.items() if fails[f] and not any(fails[b] for b in before)]
+                shapley = sum(n[0] * sum(all(not fails[b] for b in o[:o.index(f)]) for o in itertools.permutations(range(5)))
+                              for fails, n in own.items() if fails[f])
+                out.append((part, "".join("ABCDE"[x] for x in order), step + 1,
+                            sum(n[0] for fails, n in own.items() if not any(fails[b] for b in order[:step + 1])), sum(n[0] for n in first),
+                            sum(n[0] for fails, n in own.items() if fails[f] and any(fails[b] for b in before)),
+                            sum(n[0] for fails, n in own.items() if fails[f] and sum(fails) == 1),
+                            sum(n[1] for n in first), sum(n[2] for n in first), shapley))
+    return sorted(out)
+
+
+def audited(spark, path, labels, batches=filter_audit.BATCHES):
+    made = filter_audit.interactions(filter_audit.part_counters(spark, path, labels, batches=batches))
+    return sorted(tuple(r) for r in made.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost",
+                                                "toxic_lost", "shapley").collect())
+
+
+def test_counters_are_retracted_when_smaller_ids_arrive(spark, tmp_path):
+    plain = " ".join(f"w{i}" for i in range(60))
+    texts = [plain, plain + " Z$", "a " * 70, "SHOUT " * 60, None, "", "short", plain]
+    rows = [(100 - i if i % 9 else None, texts[i % len(texts)], [None, "", "x", "y"][i % 4]) for i in range(60)]
+    rows += [(3, plain, "x"), (3, plain, "x"), (3, plain, "y"), (2, "short", "y")]
+    labels = [(3, 1, 0), (3, 0, 1), (2, 0, 1), (95, 1, 1), (None, 1, 1), (70, None, None)]
+    path = str(tmp_path / "docs")
+    schema = "doc_id long, text string, source string, mask string, id string"
+    for start in range(0, len(rows), 8):  # one file after the other, ids falling
+        spark.createDataFrame([(*r, "own", "own") for r in rows[start:start + 8]], schema).coalesce(1).write.mode("append").parquet(path)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    expected = plain_audit(rows, labels)
+    assert audited(spark, path, table, batches=8) == expected
+    assert audited(spark, path, table, batches=1) == expected
+    one = next((tmp_path / "docs").glob("part-*.parquet"))
+    own = [tuple(r) for r in spark.read.parquet(str(one)).select("doc_id", "text", "source").collect()]
+    assert audited(spark, str(one), table) == plain_audit(own, labels)
+
+
+def test_audit_of_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(path)
+    assert audited(spark, path, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == []
+
+
+# --- periodic runs
+
+def plain_runs(words, least=24, exponent=3):
+    found = {}
+    for lag in range(1, len(words) // exponent + 1):
+        i = 0
+        while i < len(words) - lag:
+            j = i
+            while j < len(words) - lag and words[j] == words[j + lag]:
+                j += 1
+            if j - i + lag >= max(least, exponent * lag):
+                found.setdefault((i, j - i + lag), lag)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_equal_the_comparison_of_all_lags():
+    rnd = random.Random(1)
+    for _ in range(400):
+        kinds = rnd.choice([1, 2, 3, 5, 20, 200])
+        words = [b"%d" % rnd.randrange(kinds) for _ in range(rnd.randint(0, 150))]
+        for _ in range(rnd.randint(0, 3)):
+            at, period = rnd.randint(0, len(words)), [b"%d" % rnd.randrange(kinds) for _ in range(rnd.randint(1, 12))]
+            words[at:at] = [period[i % len(period)] for i in range(rnd.randint(0, 80))]
+        assert periodic_runs.runs_of([words, [], words[::-1]]) == [plain_runs(words), [], plain_runs(words[::-1])]
+        numbers = np.unique(np.array(words, object), return_inverse=True)[1] if words else np.zeros(0, np.int64)
+        assert periodic_runs.plain_scan(numbers, 24, 3) == plain_runs(words)
+
+
+def test_long_runs_take_no_quadratic_time():
+    same = periodic_runs.runs_of([[b"a"] * 200_000, [b"%d" % (i % 1000 % 7) for i in range(100_000)]])
+    assert same[0] == [(0, 200_000, 1)] and (0, 100_000, 1000) in same[1] and len(same[1]) == 101
+
+
+def test_query_of_periodic_runs(spark, tmp_path):
+    rnd = random.Random(4)
+    texts = {i: " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randrange(90))) for i in range(150)}
+    texts |= {200: None, 201: "", 202: " \t\n", 203: "a\x0bb " * 30, 204: ("x y  z " * 9 + "end. ") * 4, None: "q " * 30}
+    spark.createDataFrame([(k, t, "own", {"m": 1}) for k, t in texts.items()], "doc_id long, text string, row string, runs map<string,int>") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    made = {r["doc_id"]: r for r in catalog.QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect()}
+    assert len(made) == len(texts)
+    for key, text in texts.items():
+        words = WORDS.findall(text or "")
+        h, n = zlib.crc32(str(key).encode()), len(words)
+        if key is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        runs = plain_runs(words)
+        best = max(runs, key=lambda r: (r[1] * math.prod(x[2] for x in runs) // r[2], -r[0], -r[2]), default=(None,) * 3)
+        gone = {i for s, size, q in runs for i in range(s + q, s + size)}
+        row = made[key]
+        assert (row["n_runs"], row["start"], row["length"], row["period"]) == (len(runs), *best)
+        assert row["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+        assert row["runs_sha256"] == hashlib.sha256("".join(f"{s},{size},{q}\n" for s, size, q in runs).encode()).hexdigest()
+        assert row["collapsed_sha256"] == hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()
+    whole = periodic_runs.periodic_runs(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert whole.columns == ["doc_id", "text", "row", "runs", "collapsed"] and whole.where("row = 'own'").count() == len(texts)
+    assert periodic_runs.periodic_runs(spark.createDataFrame([], "text string")).count() == 0
