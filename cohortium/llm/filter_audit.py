@@ -2,9 +2,10 @@
 
 Four filters look at a text alone. The fifth drops texts of which the table has a smaller id, wherever that row stands, so it
 is settled only when all files are read. The table's files are read as a stream of micro-batches, all that are available and
-then no more. A state per text, keyed by its digest, holds the smallest id so far. Rows with larger ids fail the filter; where
+then no more. Keyed state holds, for each text's digest, the smallest id so far. Rows with larger ids fail the filter; where
 a smaller id arrives, the count that its forerunner had without the failure is taken back (-1) and made anew with it (+1). The
-sums of all such changes are the counters, whatever the order of the files.
+sums of all such changes are the counters, whatever the order of the files. A state entry is a cell of about ``CELL`` digests,
+as a call of Python for each text alone costs milliseconds; the number of cells follows the number of rows.
 
 Copies of one text are combined inside each task before they are sent to the state, so that a text with any share of the rows
 sends one candidate per task. A batch writes the sums of its changes under its own number, which a repeated batch
@@ -14,6 +15,7 @@ shared folder.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 from collections.abc import Iterator
@@ -29,24 +31,36 @@ from .texts import importable
 FILTERS = "ABCDE"
 COPY = 16  # the bit of the fifth filter
 WORDS, DISTINCT, CAPITALS = 50, 65, 5  # least words, distinct ones in 100, most capitals in 100
-MARKS = "[#$%&*|]"
+MARKS, CAPITAL, INNER = b"#$%&*|", bytes(range(65, 91)), bytes(range(128, 192))  # INNER: bytes of a character after its first
 LAST = (1 << 63) - 1  # stands for the key of rows that take no part in the comparison
+CELL = 1024  # texts in a state entry, about
 BATCHES = 4  # micro-batches that a table is read in, fewer where it has fewer files
 FOUND = "digest binary, id long, part string, flags int, mask int, n long, settled boolean"
+TOLD = "struct<digest:binary,mask:int>"
 CHANGES = "part string, flags int, mask int, n long"
-STATE = "id long, mask int, parts array<string>, flags array<int>, n array<long>"
+CHANGED, HELD = ["part", "flags", "mask", "n"], ["digest", "id", "part", "flags", "mask", "n"]
+STATE = "held binary"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def text_mask(text: Column) -> Column:
+def fails(text: bytes) -> int:
     """The filters A to D that a text fails, as bits 1, 2, 4, 8."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    capitals = F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    counts = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("kinds")))[0]
-    few = lambda c: (c["n"] < WORDS).cast("int") + 2 * (100 * c["kinds"] < DISTINCT * c["n"]).cast("int")
-    return (F.transform(F.array(counts), few)[0] + 4 * (100 * capitals > CAPITALS * F.char_length(text)).cast("int")
-            + 8 * F.rlike(text, F.lit(MARKS)).cast("int"))
+    words = text.split()
+    characters = len(text.translate(None, INNER))
+    capitals = len(text) - len(text.translate(None, CAPITAL))
+    return ((len(words) < WORDS) + 2 * (100 * len(set(words)) < DISTINCT * len(words)) + 4 * (100 * capitals > CAPITALS * characters)
+            + 8 * (len(text.translate(None, MARKS)) < len(text)))
+
+
+def told(texts: pa.Array) -> pa.Array:
+    """Digest and failed filters of each text."""
+    digests, masks = [], []
+    for text in texts:
+        own = text.as_py() or b""
+        digests.append(hashlib.sha256(own).digest())
+        masks.append(fails(own))
+    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(masks, pa.int32())], ["digest", "mask"])
 
 
 def combined(rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,29 +97,23 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def retracting(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by a text's new rows, and its state: smallest id, mask, and the rows that have this id."""
+    """Changes of the counters by a cell's new rows. Its state is a table of the rows that have the smallest id of their text."""
     rows = pd.concat(list(frames))
-    changes = rows[rows["settled"]][["part", "flags", "mask", "n"]].values.tolist()
-    rows = rows[~rows["settled"]]
-    if len(rows):
-        mask = int(rows["mask"].iloc[0])
-        least, held = None, {}
-        if state.exists:
-            least, _, parts, flags, n = state.get
-            held = dict(zip(zip(parts, flags), n))
-        new = min(x for x in (least, int(rows["id"].min())) if x is not None)
-        if least is not None and new < least:
-            for (part, flags), n in held.items():
-                changes += [[part, flags, mask, -n], [part, flags, mask | COPY, n]]
-            held = {}
-        for number, part, flags, n in rows[["id", "part", "flags", "n"]].itertuples(index=False):
-            if number == new:
-                changes.append([part, flags, mask, n])
-                held[part, flags] = held.get((part, flags), 0) + n
-            else:
-                changes.append([part, flags, mask | COPY, n])
-        state.update((new, mask, [p for p, _ in held], [int(f) for _, f in held], [int(n) for n in held.values()]))
-    yield pd.DataFrame(changes, columns=["part", "flags", "mask", "n"])
+    settled, new = rows[rows["settled"]], rows[~rows["settled"]]
+    changes = [settled[CHANGED]]
+    if len(new):
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new[HELD].iloc[:0]
+        both = pd.concat([held.assign(old=True), new[HELD].assign(old=False)], ignore_index=True)
+        least = both["id"] == both.groupby("digest")["id"].transform("min")
+        stays, late, gone = both[~both["old"] & least], both[~both["old"] & ~least], both[both["old"] & ~least]
+        late, again = late.assign(mask=late["mask"] | COPY), gone.assign(mask=gone["mask"] | COPY)
+        changes += [part[CHANGED] for part in (stays, late, gone.assign(n=-gone["n"]), again)]
+        kept = both[least].groupby(HELD[:-1], sort=False, as_index=False)["n"].sum()
+        table, sink = pa.Table.from_pandas(kept, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+    yield pd.concat(changes).groupby(CHANGED[:-1], sort=False, as_index=False)["n"].sum()[CHANGED]
 
 
 def stream_of(spark: SparkSession, path: str, batches: int) -> DataFrame:
@@ -130,15 +138,17 @@ def part_counters(spark: SparkSession, path: str, labels: DataFrame, key: str =
     an empty result. Other columns are not read.
     """
     importable(labels)
-    columns = [F.coalesce(F.col(c), F.lit("")).alias(to) for c, to in ((part, "part"), (text, "text"))]
-    docs = stream_of(spark, path, batches).select(F.col(key).cast("long").alias("id"), *columns)
-    docs = docs.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), text_mask(F.col("text")).alias("mask"))
+    docs = stream_of(spark, path, batches).select(
+        F.col(key).cast("long").alias("id"), F.coalesce(F.col(part), F.lit("")).alias("part"), F.arrow_udf(told, TOLD)(F.col(text).cast("binary")).alias("told"))
+    docs = docs.select("id", "part", "told.digest", "told.mask")
     known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(
         F.max((F.col(good) == 1).cast("int") + 0).alias("good"), F.max((F.col(toxic) == 1).cast("int") + 0).alias("toxic"))
     docs = docs.join(known, "id", "left").select(
         "digest", F.coalesce("id", F.lit(0)).alias("id"), "part", (F.coalesce("good", F.lit(0)) + 2 * F.coalesce("toxic", F.lit(0))).alias("flags"),
         "mask", F.lit(1).cast("long").alias("n"), F.col("id").isNull().alias("settled"))
-    changes = docs.mapInArrow(combine, FOUND).groupBy("digest").applyInPandasWithState(retracting, CHANGES, STATE, "update", "NoTimeout")
+    cells = max(1, spark.read.parquet(path).count() // CELL)
+    dealt = docs.mapInArrow(combine, FOUND).withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)))
+    changes = dealt.groupBy("cell").applyInPandasWithState(retracting, CHANGES, STATE, "update", "NoTimeout")
 
     out, progress = fresh_path(spark, "audit-changes"), fresh_path(spark, "audit-progress")
 
@@ -177,16 +187,16 @@ def interactions(counters: DataFrame) -> DataFrame:
     def total(of, condition) -> Column:
         return F.aggregate("sets", F.lit(0).cast("long"), lambda s, x: s + F.when(condition(x["mask"]), of(x)).otherwise(0))
 
-    def fails(mask):
+    def hits(mask):
         return mask.bitwiseAND(F.col("bit")) != 0
 
     def first(mask):
-        return fails(mask) & (mask.bitwiseAND(F.col("before")) == 0)
+        return hits(mask) & (mask.bitwiseAND(F.col("before")) == 0)
 
     n = lambda x: x["n"]
     shared = lambda x: F.expr("120") * x["n"] / F.bit_count(x["mask"])
     return rows.select(
         "part", "filter_order", "step", total(n, lambda m: m.bitwiseAND(F.col("before").bitwiseOR(F.col("bit"))) == 0).alias("kept"),
-        total(n, first).alias("removed"), total(n, lambda m: fails(m) & (m.bitwiseAND(F.col("before")) != 0)).alias("redundant"),
+        total(n, first).alias("removed"), total(n, lambda m: hits(m) & (m.bitwiseAND(F.col("before")) != 0)).alias("redundant"),
         total(n, lambda m: m == F.col("bit")).alias("unique_fails"), total(lambda x: x["n_good"], first).alias("good_lost"),
-        total(lambda x: x["n_toxic"], first).alias("toxic_lost"), total(lambda x: shared(x).cast("long"), fails).alias("shapley"))
+        total(lambda x: x["n_toxic"], first).alias("toxic_lost"), total(lambda x: shared(x).cast("long"), hits).alias("shapley"))
