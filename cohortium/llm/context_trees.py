@@ -31,7 +31,7 @@ from .texts import importable
 DEPTH = 5  # context bytes; a string of DEPTH + 1 bytes has 48 bits
 UPPER = 3  # context bytes by which subtrees are dealt
 BLOCK_BYTES = 32 << 20  # text of a block
-SLICE_BYTES = 4 << 20  # text that is in work at a time
+SLICE_BYTES = 2 << 20  # text that is in work at a time
 SLICE_DOCS = 1 << 15
 SPACE, END = 32, 10
 WORD = 1 << 62  # marks keys of words; strings are below 1 << 48
@@ -189,8 +189,8 @@ class Upper:
 class Slices:
     """Coded texts of a block in slices of bounded size: ``keys`` and ``words`` with the text that each belongs to."""
 
-    def __init__(self, texts: list[bytes | None]):
-        self.texts = texts
+    def __init__(self, texts: list[bytes | None] | pa.ChunkedArray):
+        self.texts = texts if isinstance(texts, list) else (text.as_py() for chunk in texts.chunks for text in chunk)
 
     def __iter__(self) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
         """(number of the first text, strings, text of each string, words, text of each word); an end is the empty word."""
@@ -250,7 +250,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def counted(texts: list[bytes | None], learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted(texts: list[bytes | None] | pa.ChunkedArray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of strings and words of a block, and how often its texts that learn have each (0: others only)."""
     found, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, keys, owner, words, word_owner in Slices(texts):
@@ -268,7 +268,7 @@ def counted(texts: list[bytes | None], learns: np.ndarray) -> tuple[np.ndarray,
     return summed(np.concatenate(found), np.concatenate(sums))
 
 
-def scored(texts: list[bytes | None], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+def scored(texts: list[bytes | None] | pa.ChunkedArray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per text: words with the end, known ones, sum of log10(count + 1) of words, natural logarithm of the coded text, bytes.
 
     ``keys`` sorted; ``values``: logarithms of strings, counts of words.
@@ -363,7 +363,7 @@ def language_scores(df: DataFrame, learns: Column, key: str = "doc_id", text: st
     docs = blocked(df, learns, key, text)
 
     def count_block(block: tuple, rows: pa.Table) -> pa.Table:
-        keys, counts = counted(rows["text"].to_pylist(), rows["learns"].to_numpy())
+        keys, counts = counted(rows["text"], rows["learns"].to_numpy())
         return pa.table({"block": pa.array(np.full(len(keys), block[0].as_py(), np.int32)), "key": keys.astype(np.int64), "n": counts})
 
     found = stage(docs.select("block", "text", "learns").groupBy("block").applyInArrow(count_block, "block int, key long, n long"), "lm-found")
@@ -387,7 +387,7 @@ def language_scores(df: DataFrame, learns: Column, key: str = "doc_id", text: st
     def score_block(rows: pa.Table, known_keys: pa.Table) -> pa.Table:
         keys, values = known_keys["string"].to_numpy().astype(np.uint64), known_keys["value"].to_numpy()
         order = np.argsort(keys)
-        tokens, known, base, score, size = scored(rows["text"].to_pylist(), keys[order], values[order])
+        tokens, known, base, score, size = scored(rows["text"], keys[order], values[order])
         return pa.table({"key": rows["key"], "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), trained),
                          "base_score": base - tokens * less, "score": score / np.log(10), "n_bytes": size, "bits_per_byte": -score / np.log(2) / size})
 
