@@ -9,8 +9,9 @@ as a call of Python for each text alone costs milliseconds; the number of cells
 
 Copies of one text are combined inside each task before they are sent to the state, so that a text with any share of the rows
 sends one candidate per task. A batch writes the sums of its changes under its own number, which a repeated batch
-overwrites: a restart from the checkpoint counts nothing twice. The state lives in RocksDB and is checkpointed to the
-shared folder.
+overwrites: a restart from the checkpoint counts nothing twice. The state is checkpointed to the shared folder. Where a
+partition of it would outgrow what an instance of RocksDB takes anyway, it lives in RocksDB on disk, else in memory, unless the
+session names a store; the counters are the same.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ COPY = 16  # the bit of the fifth filter
 WORDS, DISTINCT, CAPITALS = 50, 65, 5  # least words, distinct ones in 100, most capitals in 100
 MARKS, CAPITAL, INNER = b"#$%&*|", bytes(range(65, 91)), bytes(range(128, 192))  # INNER: bytes of a character after its first
 LAST = (1 << 63) - 1  # stands for the key of rows that take no part in the comparison
+STORE_ROWS = 50_000  # rows of a state partition from which it lives in RocksDB
 CELL = 1024  # texts in a state entry, about
 BATCHES = 4  # micro-batches that a table is read in, fewer where it has fewer files
 FOUND = "digest binary, id long, part string, flags int, mask int, n long, settled boolean"
@@ -146,7 +148,8 @@ def part_counters(spark: SparkSession, path: str, labels: DataFrame, key: str =
     docs = docs.join(known, "id", "left").select(
         "digest", F.coalesce("id", F.lit(0)).alias("id"), "part", (F.coalesce("good", F.lit(0)) + 2 * F.coalesce("toxic", F.lit(0))).alias("flags"),
         "mask", F.lit(1).cast("long").alias("n"), F.col("id").isNull().alias("settled"))
-    cells = max(1, spark.read.parquet(path).count() // CELL)
+    rows = spark.read.parquet(path).count()
+    cells = max(1, rows // CELL)
     dealt = docs.mapInArrow(combine, FOUND).withColumn("cell", F.pmod(F.xxhash64("digest"), F.lit(cells)))
     changes = dealt.groupBy("cell").applyInPandasWithState(retracting, CHANGES, STATE, "update", "NoTimeout")
 
@@ -155,12 +158,14 @@ def part_counters(spark: SparkSession, path: str, labels: DataFrame, key: str =
     def keep(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "flags", "mask").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    store = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    own_store = spark.conf.get(STORE, None) is None and rows > STORE_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if own_store:
+        spark.conf.set(STORE, ROCKS)
     try:
         changes.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(STORE, store) if store else spark.conf.unset(STORE)
+        if own_store:
+            spark.conf.unset(STORE)
     spark.createDataFrame([], CHANGES).write.parquet(f"{out}/batch=-1")  # so that a table without files has counters too
     sums = spark.read.schema(CHANGES).parquet(out).groupBy("part", "mask").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("flags").bitwiseAND(1) > 0, F.col("n")).otherwise(0)).alias("n_good"),

@@ -173,7 +173,7 @@ def audited(spark, path, labels, batches=filter_audit.BATCHES):
                                                 "toxic_lost", "shapley").collect())
 
 
-def test_counters_are_retracted_when_smaller_ids_arrive(spark, tmp_path):
+def test_counters_are_retracted_when_smaller_ids_arrive(spark, tmp_path, monkeypatch):
     plain = " ".join(f"w{i}" for i in range(60))
     texts = [plain, plain + " Z$", "a " * 70, "SHOUT " * 60, None, "", "short", plain]
     rows = [(100 - i if i % 9 else None, texts[i % len(texts)], [None, "", "x", "y"][i % 4]) for i in range(60)]
@@ -187,6 +187,8 @@ def test_counters_are_retracted_when_smaller_ids_arrive(spark, tmp_path):
     expected = plain_audit(rows, labels)
     assert audited(spark, path, table, batches=8) == expected
     assert audited(spark, path, table, batches=1) == expected
+    monkeypatch.setattr(filter_audit, "STORE_ROWS", 0)
+    assert audited(spark, path, table) == expected and spark.conf.get(filter_audit.STORE, None) is None
     one = next((tmp_path / "docs").glob("part-*.parquet"))
     own = [tuple(r) for r in spark.read.parquet(str(one)).select("doc_id", "text", "source").collect()]
     assert audited(spark, str(one), table) == plain_audit(own, labels)
