@@ -30,8 +30,8 @@ from .texts import importable
 
 DEPTH = 5  # context bytes; a string of DEPTH + 1 bytes has 48 bits
 UPPER = 3  # context bytes by which subtrees are dealt
-BLOCK_BYTES = 32 << 20  # text of a block
-SLICE_BYTES = 2 << 20  # text that is in work at a time
+BLOCK_BYTES = 24 << 20  # text of a block
+SLICE_BYTES = 1 << 20  # text that is in work at a time
 SLICE_DOCS = 1 << 15
 SPACE, END = 32, 10
 WORD = 1 << 62  # marks keys of words; strings are below 1 << 48
@@ -242,30 +242,30 @@ def word_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (pd.util.hash_array(distinct, categorize=False) >> np.uint64(2)) | np.uint64(WORD), codes
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ``keys`` with their counts, and ``more`` sorted distinct ones added."""
+    at = np.searchsorted(keys, more)
+    met = keys[np.minimum(at, len(keys) - 1)] == more if len(keys) else np.zeros(len(more), bool)
+    counts[at[met]] += times[met]
+    return np.insert(keys, at[~met], more[~met]), np.insert(counts, at[~met], times[~met])
 
 
 def counted(texts: list[bytes | None] | pa.ChunkedArray, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of strings and words of a block, and how often its texts that learn have each (0: others only)."""
-    found, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, keys, owner, words, word_owner in Slices(texts):
-        both = np.sort(keys << np.uint64(1) | learns[owner].astype(np.uint64))
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(both)))
-        found.append(both[first] >> np.uint64(1))
-        sums.append(np.where(both[first] & np.uint64(1), times, 0))
-        own, codes = word_keys(words)
-        found.append(own)
-        sums.append(np.bincount(codes, learns[word_owner], len(own)).astype(np.int64))
-        if len(found) > 8:
-            merged = summed(np.concatenate(found), np.concatenate(sums))
-            found, sums = [merged[0]], [merged[1]]
-    return summed(np.concatenate(found), np.concatenate(sums))
+    strings, words = ((np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2))
+    for _, keys, owner, own_words, word_owner in Slices(texts):
+        if len(keys):
+            both = np.sort(keys << np.uint64(1) | learns[owner].astype(np.uint64))
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            times = np.where(both[first] & np.uint64(1), np.diff(np.append(first, len(both))), 0)
+            found = both[first] >> np.uint64(1)
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            strings = merged(*strings, found[first], np.add.reduceat(times, first))
+        found, codes = word_keys(own_words)
+        times = np.bincount(codes, learns[word_owner], len(found)).astype(np.int64)
+        order = np.argsort(found)
+        words = merged(*words, found[order], times[order])
+    return np.concatenate([strings[0], words[0]]), np.concatenate([strings[1], words[1]])  # words' keys are larger
 
 
 def scored(texts: list[bytes | None] | pa.ChunkedArray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
