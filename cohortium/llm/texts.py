@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,12 @@ def importable(df: DataFrame) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
 
 
+def release_shuffles(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: its cleaner does so once the driver has collected its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def whole_row(df: DataFrame, names: list[str] | None = None, to: str = "row") -> Column:
     """Columns of ``df`` (all by default) as one struct, so that an operator's own columns clash with none of them."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names))).alias(to)
