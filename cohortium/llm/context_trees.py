@@ -30,7 +30,7 @@ from .texts import importable, release_shuffles
 
 DEPTH = 5  # context bytes; a string of DEPTH + 1 bytes has 48 bits
 UPPER = 3  # context bytes by which subtrees are dealt
-BLOCK_BYTES = 16 << 20  # text of a block
+BLOCK_BYTES = 20 << 20  # text of a block
 SLICE_BYTES = 1 << 20  # text that is in work at a time
 SLICE_DOCS = 1 << 15
 SPACE, END = 32, 10
