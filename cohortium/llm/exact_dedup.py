@@ -7,6 +7,8 @@ that Spark takes for them stays small; equal texts agree in both and meet in one
 A text with so many copies that its range would stand out does not enter the sort: its copies are combined where they are
 read, before any shuffle, and compared in full by the grouping. Such texts are found by counting hashes of all rows; since
 each has more than a fixed share of the rows there are at most ``8 * partitions`` of them, which bounds what is broadcast.
+
+A row travels as one struct, so that no column of the user's clashes with those made here, whatever its name or type.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .texts import whole_row
 
 LEAST_HOT = 64
 EDGE = 24  # characters of a text in its splitter key
@@ -30,56 +33,56 @@ def normalised(text: Column) -> Column:
 
 
 def hot_hashes(rows: DataFrame, partitions: int) -> DataFrame:
-    """Values of ``_hash`` that more than 1 / (8 * partitions) of the rows have, and over ``LEAST_HOT`` rows."""
+    """Values of ``hash`` that more than 1 / (8 * partitions) of the rows have, and over ``LEAST_HOT`` rows."""
     most = max(LEAST_HOT, rows.count() // (8 * partitions))
-    return rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select("_hash")
-
+    return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most).select("hash")
 
-def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
-    """``df`` with keep_id (key of the row that stays), group_size, kept and text_sha256 (of the normalised text).
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the smallest
-    (``keep="largest"``: largest) key stays; of rows that share this key too, one. A null key is smaller than any other.
-    Existing columns of the result's names are replaced. An empty table gives an empty result.
-    """
+def grouped(df: DataFrame, key: str, text: str, keep: str) -> DataFrame:
+    """``row`` (all columns of ``df``) with the columns of RESULT."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.drop(*RESULT)
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))  # coarser than equality, which decides nothing but the range
-    hashed = df.withColumn("_hash", F.xxhash64(lowered))
-    hot = stage(hot_hashes(hashed.select("_hash"), partitions), "hot-texts")
+    own_key, own_text = F.col("row")[key], F.col("row")[text]
+    lowered = F.lower(F.coalesce(own_text, F.lit("")))  # coarser than equality, which decides nothing but the range
+    hashed = df.select(whole_row(df)).withColumn("hash", F.xxhash64(lowered))
+    hot = stage(hot_hashes(hashed.select("hash"), partitions), "hot-texts")
     some_hot = not hot.isEmpty()
 
-    cool = hashed.join(F.broadcast(hot), "_hash", "left_anti") if some_hot else hashed
-    cool = cool.withColumn("_edge", F.substring(lowered, 1, EDGE)).repartitionByRange(F.col("_edge"), F.col("_hash"))
-    equal = Window.partitionBy("_edge", "_hash", "_text").orderBy(
-        F.asc_nulls_first(key) if keep == "smallest" else F.desc_nulls_last(key))
+    cool = hashed.join(F.broadcast(hot), "hash", "left_anti") if some_hot else hashed
+    cool = cool.withColumn("edge", F.substring(lowered, 1, EDGE)).repartitionByRange(F.col("edge"), F.col("hash"))
+    equal = Window.partitionBy("edge", "hash", "content").orderBy(
+        F.asc_nulls_first("key") if keep == "smallest" else F.desc_nulls_last("key"))
     group = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = cool.withColumn("_text", normalised(F.col(text))).select(
-        *df.columns, F.first(key).over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"),
-        (F.row_number().over(equal) == 1).alias("kept"), F.sha2("_text", 256).alias("text_sha256"))
+    found = cool.withColumn("content", normalised(own_text)).withColumn("key", own_key).select(
+        "row", F.first("key").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"),
+        (F.row_number().over(equal) == 1).alias("kept"), F.sha2("content", 256).alias("text_sha256"))
     if not some_hot:
         return found
 
-    others = [c for c in df.columns if c != text]
-    many = (hashed.join(F.broadcast(hot), "_hash", "left_semi").withColumn("_text", normalised(F.col(text)))
-            .withColumn("_row", F.struct(F.col(key), F.xxhash64(*others, text).alias("tie"))))
-    best = F.min("_row") if keep == "smallest" else F.max("_row")
-    totals = many.groupBy("_hash", "_text").agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    totals = stage(totals.select(F.sha2("_text", 256).alias("text_sha256"), "_best", "group_size"), "hot-totals")
-    many = many.withColumn("text_sha256", F.sha2("_text", 256)).join(F.broadcast(totals), "text_sha256")
-    many = many.withColumn("keep_id", F.col(f"_best.{key}")).withColumn("kept", F.col("_row").eqNullSafe(F.col("_best")))
-    columns = [*df.columns, *RESULT]
-    # rows alike in every column: one of them stays
-    first = many.where("kept").select(columns).groupBy(columns).agg(F.count(F.lit(1)).alias("_n"))
-    first = first.select(*df.columns, *RESULT[:2], F.posexplode(F.sequence(F.lit(1), F.col("_n"))), "text_sha256")
-    first = first.withColumn("kept", F.col("pos") == 0)
-    return found.unionByName(first.select(columns)).unionByName(many.where("NOT kept").select(columns))
+    # written once, so that the number that tells rows of equal key apart is the same at every read
+    many = stage(hashed.join(F.broadcast(hot), "hash", "left_semi").withColumn("number", F.monotonically_increasing_id()), "hot-rows")
+    many = many.withColumn("content", normalised(own_text))
+    place = F.struct(own_key.alias("key"), (F.col("number") if keep == "smallest" else -F.col("number")).alias("number"))
+    totals = many.groupBy("hash", "content").agg(
+        (F.min(place) if keep == "smallest" else F.max(place)).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    totals = stage(totals.select(F.sha2("content", 256).alias("text_sha256"), "best", "group_size"), "hot-totals")
+    many = many.withColumn("text_sha256", F.sha2("content", 256)).withColumn("place", place).join(F.broadcast(totals), "text_sha256")
+    return found.unionByName(many.select(
+        "row", F.col("best")["key"].alias("keep_id"), "group_size", F.col("place").eqNullSafe(F.col("best")).alias("kept"), "text_sha256"))
+
+
+def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
+    """``df`` with keep_id (key of the row that stays), group_size, kept and text_sha256 (of the normalised text).
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the smallest
+    (``keep="largest"``: largest) key stays; of rows that share this key too, one. A null key is smaller than any other.
+    Existing columns of the result's names are replaced, all others stay as they are. An empty table gives an empty result.
+    """
+    found = grouped(df, key, text, keep)
+    return found.select(*(F.col("row")[c].alias(c) for c in df.columns if c not in RESULT), *RESULT)
 
 
 def drop_exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``df`` that stay, whole and unchanged: one of each group of equal texts."""
-    held = {c: f"_own_{c}" for c in RESULT if c in df.columns}
-    found = exact_duplicates(df.withColumnsRenamed(held), key, text, keep).where("kept").drop(*RESULT)
-    return found.withColumnsRenamed({b: a for a, b in held.items()}).select(df.columns)
+    return grouped(df, key, text, keep).where("kept").select(*(F.col("row")[c].alias(c) for c in df.columns))

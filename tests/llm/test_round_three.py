@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortium.llm import catalog, context_trees, filter_audit, periodic_runs
+from cohortium.llm import catalog, context_trees, exact_dedup, filter_audit, periodic_runs
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -261,3 +261,29 @@ def test_query_of_periodic_runs(spark, tmp_path):
     whole = periodic_runs.periodic_runs(spark.read.parquet(str(tmp_path / "documents.parquet")))
     assert whole.columns == ["doc_id", "text", "row", "runs", "collapsed"] and whole.where("row = 'own'").count() == len(texts)
     assert periodic_runs.periodic_runs(spark.createDataFrame([], "text string")).count() == 0
+
+
+# --- exact duplicates: the user's columns
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("copies", [3, 300])
+def test_columns_of_any_name_pass_exact_dedup(spark, copies, keep):
+    names = ["_hash", "_text", "_edge", "pos", "_n", "_row", "_best", "_score", "row", "hash", "edge", "content", "key", "number", "best", "place"]
+    rows = [(i, "Same Text" if i % 2 else "same text") for i in range(copies)] + [(7, "same text")] * 2 + [(None, "SAME text"), (None, None), (9999, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    df = df.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("a b", F.array("doc_id")).withColumn("kept", F.lit("own"))
+    kept = exact_dedup.drop_exact_duplicates(df, keep=keep)
+    assert kept.columns == df.columns and kept.schema.simpleString() == df.schema.simpleString()
+    found = {(r["doc_id"], r["text"]): r.asDict() for r in kept.collect()}
+    least = keep == "smallest"
+    assert set(found) == ({(None, "SAME text"), (None, None)} if least else {(max(copies - 1, 7), found_text(rows, max(copies - 1, 7))), (9999, "")})
+    for (key, _), row in found.items():
+        assert all(row[n] == (None if key is None else f"{n}{key}") for n in names) and row["m"] == {"a": key} and row["kept"] == "own"
+    whole = exact_dedup.exact_duplicates(df, keep=keep)
+    assert whole.count() == len(rows) and whole.where("kept").count() == 2
+    assert {(r["group_size"]) for r in whole.collect()} == {len(rows) - 2, 2}
+    assert whole.where("`_hash` <=> concat('_hash', cast(doc_id as string))").count() == len(rows)
+
+
+def found_text(rows, key):
+    return next(text for k, text in rows if k == key)
