@@ -3,7 +3,12 @@
 A linear classifier over hashed words and word beginnings learns from confirmed toxic texts and from texts of unknown
 class. With the share of toxic texts (the class prior) the risk on clean texts follows from the unlabelled ones:
 ``R = prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``. Where the second part falls below zero the model has begun to
-learn the sample by heart, and the step goes the other way. The loss is the logistic one.
+learn the sample by heart, and the step goes the other way. The loss is the logistic one. The risk is divided by the prior, so that a
+rare class is learnt from as fast as a common one.
+
+Which features get a weight does not depend on the prior: those that are significantly more frequent in toxic texts than in
+the whole corpus, whose document frequencies are counted over all rows that are not held out. What a feature is worth is left
+to the risk and the ridge.
 """
 
 from __future__ import annotations
@@ -15,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage, unstage
 from .texts import importable, slices
 
 BITS = 22  # buckets of features
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning that are features beside the word
 POSITIVES, UNLABELLED = 2000, 5000  # most rows that a fit sees
-LEAST_TEXTS, LEAST_SHARE, LEAST_TOXIC = 4, 0.02, 0.4  # what a feature needs: texts, a difference of shares, a toxic share
+LEAST_TEXTS, SURPRISE = 3, 12.0  # what a feature needs: toxic texts that have it, and the G statistic of their number
 PRIME = 0x9E3779B97F4A7C15
 
 _powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -92,57 +98,67 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def unlike(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """``rows`` without near copies of earlier ones, which would pass for many texts: equal minima under four hashes."""
-    odd = [(PRIME + 2 * i * 0xC2B2AE3D27D4EB4F) % (1 << 64) for i in range(4)]
-    marks = [tuple(int(((row.astype(np.uint64) + np.uint64(1)) * np.uint64(o) >> np.uint64(20)).min(initial=1 << 44)) for o in odd) for row in rows]
-    return list({mark: row for mark, row in zip(reversed(marks), reversed(rows))}.values())
+ODDS = [(PRIME + 2 * i * 0xC2B2AE3D27D4EB4F) % (1 << 64) for i in range(4)]
+
+
+def marks(buckets: np.ndarray) -> list[int]:
+    """Minima of four hashes, which near copies share."""
+    spread = buckets.astype(np.uint64) + np.uint64(1)
+    return [int((spread * np.uint64(odd) >> np.uint64(20)).min(initial=1 << 44)) for odd in ODDS]
+
+
+def telling(in_toxic: np.ndarray, toxic: int, in_all: np.ndarray, rows: int) -> np.ndarray:
+    """Which features more toxic texts have than their share among all rows lets expect, by a likelihood ratio (G) test."""
+    expected = np.maximum(in_all, 1) / max(rows, 1) * toxic
+    seen = np.maximum(in_toxic, 1)
+    surprise = 2 * (seen * np.log(seen / expected) - seen + expected)
+    return (in_toxic >= LEAST_TEXTS) & (in_toxic > expected) & (surprise > SURPRISE)
+
+
+def risk(z: np.ndarray, n_p: int, prior: float) -> tuple[float, float, np.ndarray]:
+    """Both parts of the risk over the prior, and the slope of the step at each text; positive texts come first in ``z``."""
+    s = 1 / (1 + np.exp(-z))
+    n_u = len(z) - n_p
+    on_toxic = np.logaddexp(0, -z[:n_p]).mean()
+    if_clean = np.logaddexp(0, z)
+    on_clean = if_clean[n_p:].mean() / prior - if_clean[:n_p].mean()
+    of_toxic = np.concatenate([(s[:n_p] - 1) / n_p, np.zeros(n_u)])
+    of_clean = np.concatenate([-s[:n_p] / n_p, s[n_p:] / n_u / prior])
+    return on_toxic, on_clean, of_toxic + of_clean if on_clean >= 0 else -of_clean
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300,
-             rate: float = 0.05, ridge: float = 1e-4, noise: float = 2.5) -> Classifier:
+             rate: float = 0.05, ridge: float = 1e-3, told: bool = False) -> Classifier:
     """Fit on arrays of distinct buckets, one per text, by full steps of Adam.
 
-    Only features get a weight that are more frequent in positive texts by ``noise`` standard errors, and that few clean
-    texts have.
+    Buckets get a weight that pass ``telling`` on the two samples; all that occur, where they are ``told`` ones already.
     """
-    prior = min(max(prior, 1e-4), 0.999)
+    prior = min(max(prior, 1e-6), 0.999)
     start = float(np.log(prior / (1 - prior)))
-    positive, unlabelled = unlike(positive), unlike(unlabelled)
     if not positive or not unlabelled:
         return Classifier(start, np.zeros(0, np.int64), np.zeros(0, np.float32))
     rows = positive + unlabelled
-    n_p, n_u = len(positive), len(unlabelled)
+    n_p = len(positive)
     row = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
-    present, bucket = np.unique(np.concatenate(rows), return_inverse=True)
-    in_positive = np.bincount(bucket[row < n_p], minlength=len(present))
-    in_unlabelled = np.bincount(bucket[row >= n_p], minlength=len(present))
-    p, u = in_positive / n_p, in_unlabelled / n_u
-    error = np.sqrt(np.maximum(p, u) * (1 / n_p + 1 / n_u) + 1e-12)
-    used = (in_positive + in_unlabelled >= LEAST_TEXTS) & (p - u > np.maximum(noise * error, LEAST_SHARE))
-    used &= prior * p >= LEAST_TOXIC * (u + 1 / n_u)  # the share of toxic texts among those that have the feature
-    every = present[used].astype(np.int64)
-    number = np.cumsum(used) - 1
-    kept = used[bucket]
-    row, column = row[kept], number[bucket[kept]]
+    every, column = np.unique(np.concatenate(rows), return_inverse=True)
+    if not told:
+        used = telling(np.bincount(column[row < n_p], minlength=len(every)), n_p,
+                       np.bincount(column[row >= n_p], minlength=len(every)), len(unlabelled))
+        kept = used[column]
+        row, column, every = row[kept], (np.cumsum(used) - 1)[column[kept]], every[used]
     n = len(every)
     weight, bias = np.zeros(n), start
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
         z = np.clip(bias + np.bincount(row, weight[column], len(rows)), -60, 60)
-        s = 1 / (1 + np.exp(-z))
-        loss_if_clean = np.logaddexp(0, z)
-        clean_risk = loss_if_clean[n_p:].mean() - prior * loss_if_clean[:n_p].mean()
-        of_positive = np.concatenate([prior / n_p * (s[:n_p] - 1), np.zeros(n_u)])
-        of_clean = np.concatenate([-prior / n_p * s[:n_p], s[n_p:] / n_u])
-        by_row = of_positive + of_clean if clean_risk >= 0 else -of_clean
+        _, _, by_row = risk(z, n_p, prior)
         gradient = np.append(np.bincount(column, by_row[row], n) + ridge * weight, by_row.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient ** 2
         move = rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-6)
         weight -= move[:-1]
         bias -= move[-1]
-    return Classifier(float(bias), every, weight.astype(np.float32))
+    return Classifier(float(bias), every.astype(np.int64), weight.astype(np.float32))
 
 
 def held_out(key: Column) -> Column:
@@ -154,32 +170,71 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
     """Classifier from at most ``positives`` confirmed toxic and ``unlabelled`` texts of rows that are not held out.
 
-    Both samples are the rows with the smallest hashes of their keys. The prior is the share of toxic rows among all
-    labelled rows that are not held out; other labels are not used. Without positive rows every score is the prior.
+    Both samples are the rows with the smallest hashes of their keys, without near copies. Document frequencies of the
+    features of the toxic sample are counted over all rows that are not held out. The prior is the share of toxic rows among
+    all labelled rows that are not held out; other labels are not used. Without positive rows every score is the prior.
     """
     own = labels.where(F.col(key).isNotNull() & ~held_out(F.col(key)))
     share = own.agg(F.count(F.lit(1)), F.sum((F.col(label) == 1).cast("int"))).first()
     if not share[0]:
         return fit_nnpu([], [], 0.0)
+    prior = int(share[1] or 0) / int(share[0])
     order = F.xxhash64(F.col(key), F.lit(3))
-    chosen = own.where(F.col(label) == 1).select(key).distinct().orderBy(order, key).limit(positives).withColumn("_side", F.lit(0))
-    some = df.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(key).orderBy(order, key).limit(unlabelled)
-    chosen = chosen.unionByName(some.withColumn("_side", F.lit(1)))
+    docs = df.select(F.col(key).alias(key), F.col(text).alias("text")).where(F.col(key).isNotNull() & ~held_out(F.col(key)))
+    chosen = own.where(F.col(label) == 1).select(key).distinct().orderBy(order, key).limit(positives).withColumn("side", F.lit(0))
+    chosen = chosen.unionByName(docs.select(key).orderBy(order, key).limit(unlabelled).withColumn("side", F.lit(1)))
 
     importable(df)
 
-    @F.arrow_udf("array<int>")
-    def buckets(column: pa.Array) -> pa.Array:
-        return pa.array([np.unique(features([t.as_py() or ""])[1]).astype(np.int32) for t in column], pa.list_(pa.int32()))
+    @F.arrow_udf("struct<buckets:array<int>,marks:array<long>>")
+    def told(column: pa.Array) -> pa.Array:
+        found = [np.unique(features([t.as_py() or ""])[1]) for t in column]
+        return pa.StructArray.from_arrays([pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())),
+                                           pa.array([marks(f) for f in found], pa.list_(pa.int64()))], ["buckets", "marks"])
+
+    wanted = docs.join(F.broadcast(chosen), key).select("side", order.alias("order"), told(F.col("text")).alias("told"))
+    sample = stage(wanted.groupBy("side", "told.marks").agg(F.min_by("told.buckets", "order").alias("buckets"), F.min("order").alias("order")), "toxic-sample")
+    toxic = sample.where("side = 0")
+    counts = toxic.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") >= LEAST_TEXTS).orderBy("bucket").toArrow()
+    candidates, in_toxic = counts["bucket"].to_numpy(), counts["n"].to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(candidates)  # bounded by the toxic sample
+
+    def occur(batches):
+        own, times, rows = np.full(1 << BITS, -1, np.int32), np.zeros(len(sent.value) + 1, np.int64), 0
+        own[sent.value] = np.arange(len(sent.value))
+        for batch in batches:
+            for run in slices([t or "" for t in batch["text"].to_pylist()]):
+                of, bucket = features(run)
+                met = own[bucket]
+                once = np.unique(of[met >= 0] * len(times) + met[met >= 0])
+                times += np.bincount(once % len(times), minlength=len(times))
+                rows += len(run)
+        times[-1] = rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(times))), pa.array(times)], ["number", "n"])
+
+    totals = docs.select("text").mapInArrow(occur, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).orderBy("number").toArrow()
+    in_all = totals["n"].to_numpy() if totals.num_rows else np.zeros(len(candidates) + 1, np.int64)
+    used = candidates[telling(in_toxic, toxic.count(), in_all[:-1], int(in_all[-1]))]
+    table = sample.select("side", "order", F.array_intersect("buckets", F.lit(used.tolist()).cast("array<int>")).alias("buckets")).toArrow()
+    table = table.sort_by([("order", "ascending"), ("side", "ascending")])
+    unstage(sample)
+    by_side = [[np.array(row, np.int64) for row, side in zip(table["buckets"].to_pylist(), table["side"].to_pylist()) if side == wanted_side]
+               for wanted_side in (0, 1)]
+    return fit_nnpu(*by_side, prior=prior, told=True)
+
+
+def scorer(df: DataFrame, model: Classifier):
+    """A function from a text column of ``df`` to its score."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    importable(df)
 
-    wanted = df.select(key, text).join(F.broadcast(chosen), key)
-    table = wanted.select("_side", buckets(F.col(text)).alias("buckets"), order.alias("_order")).toArrow()
-    table = table.sort_by([("_order", "ascending"), ("_side", "ascending")])
-    sides, sizes = table.column("_side").to_numpy(), table.column("buckets").combine_chunks().value_lengths().to_numpy()
-    flat = table.column("buckets").combine_chunks().flatten().to_numpy()
-    rows = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-    by_side = [[row for row, side in zip(rows, sides) if side == wanted_side] for wanted_side in (0, 1)]
-    return fit_nnpu(*by_side, prior=int(share[1] or 0) / int(share[0]))
+    @F.arrow_udf("double")
+    def scores(column: pa.Array) -> pa.Array:
+        found = [sent.value.scores(run) for run in slices([t or "" for t in column.to_pylist()])]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return scores
 
 
 def score(df: DataFrame, model: Classifier, text: str = "text", to: str = "score") -> DataFrame:
@@ -187,13 +242,9 @@ def score(df: DataFrame, model: Classifier, text: str = "text", to: str = "score
 
     The model's size is bounded by its sample. An existing column ``to`` is replaced.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    importable(df)
+    return df.withColumn(to, scorer(df, model)(F.col(text)))
 
-    @F.arrow_udf("double")
-    def scores(column: pa.Array) -> pa.Array:
-        found = [sent.value.scores(run) for run in slices([t or "" for t in column.to_pylist()])]
-        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return df.withColumn(to, scores(F.col(text)))
+def drop_toxic(df: DataFrame, model: Classifier, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` with a score below ``least``, whole and unchanged."""
+    return df.where(scorer(df, model)(F.col(text)) < least)

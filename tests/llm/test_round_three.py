@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortium.llm import catalog, context_trees, exact_dedup, filter_audit, periodic_runs
+from cohortium.llm import catalog, context_trees, exact_dedup, filter_audit, periodic_runs, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -287,3 +287,45 @@ def test_columns_of_any_name_pass_exact_dedup(spark, copies, keep):
 
 def found_text(rows, key):
     return next(text for k, text in rows if k == key)
+
+
+# --- toxicity: risk, rare classes, the user's columns
+
+def test_risk_and_its_slope_are_those_of_the_formula():
+    rng = np.random.default_rng(3)
+    z, n_p = rng.normal(size=40), 12
+    for prior in (0.001, 0.1, 0.6):
+        for shift in (-3.0, 0.0, 3.0):
+            at = z + shift
+            on_toxic, on_clean, slope = toxicity.risk(at, n_p, prior)
+            loss = lambda x, y: math.log(1 + math.exp(-y * x))
+            plain_toxic = sum(loss(x, 1) for x in at[:n_p]) / n_p
+            plain_clean = sum(loss(x, -1) for x in at[n_p:]) / (len(z) - n_p) / prior - sum(loss(x, -1) for x in at[:n_p]) / n_p
+            assert (on_toxic, on_clean) == (pytest.approx(plain_toxic), pytest.approx(plain_clean))
+            for i in (0, n_p - 1, n_p, len(z) - 1):
+                moved = at.copy()
+                moved[i] += 1e-6
+                a, b, _ = toxicity.risk(moved, n_p, prior)
+                change = (a + b - on_toxic - on_clean) if on_clean >= 0 else on_clean - b
+                assert slope[i] == pytest.approx(change / 1e-6, abs=1e-4)
+
+
+def test_a_rare_class_keeps_its_words(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i:03d}" for i in range(600)]
+    bad = ["zonkface", "grubling", "snarfing", "bleckish"]
+    rows, labels = [], []
+    for i in range(40_000):
+        words = rnd.choices(vocabulary, k=15)
+        toxic = i % 1000 == 7
+        if toxic:
+            words[2:4] = rnd.sample(bad, 2)
+        rows.append((i, " ".join(words), float(i)))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, known)
+    kept = toxicity.drop_toxic(df, model, 0.7)
+    assert kept.columns == df.columns
+    assert {i for i, _ in labels} - {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, toxic in labels if toxic}
+    assert kept.where("score = doc_id").count() == kept.count()
