@@ -2,9 +2,10 @@
 
 Paragraphs are lines, and blocks of several lines between lines without letters or digits, as statements are often wrapped.
 A sparse logistic regression over word 1- to 3-grams scores every paragraph for each licence family
-and for the class of anything else; its scores are calibrated on held-out examples, and what stays below the threshold of
-its family is unknown. A family is confirmed where the paragraph contains most word pairs of one of its templates, or one of
-its names behind a word that licenses, as SPDX identifier or alone. What is predicted but not confirmed is unknown.
+and for the class of anything else; its scores are calibrated on held-out examples of both sides, and what stays below the
+threshold of its family is unknown. The most probable family alone is then confirmed: where the paragraph contains most word
+pairs of one of its templates, or one of its names behind a word that licenses, as SPDX identifier or alone. What is predicted
+but not confirmed is unknown, whatever other families' names it has.
 
 Anchors are words chosen so that a paragraph without any of them shares too few word pairs with every template and has no
 name to be confirmed. Texts and paragraphs without an anchor are therefore set aside first, which loses nothing.
@@ -12,6 +13,7 @@ name to be confirmed. Texts and paragraphs without an anchor are therefore set a
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass
 
@@ -74,7 +76,8 @@ NAMES = {
     "CC-BY-NC": r"creative commons attribution non ?commercial(?! (?:share|no))|cc by nc(?! (?:sa|nd))"}
 BARE_NAMES = {"MIT": "mit", "BSD": "bsd", "ISC": "isc"}  # that need more care, as they are words elsewhere
 LICENSING = r"under|licensed|licen[sc]e identifier|governed by|subject to|terms of|released|distributed|available"
-NAMED = r"licen[sc]|apache|gpl|cc0|cc[ -]by|creative\s+commons|mpl|under[^\p{L}\p{N}]+(?:the[^\p{L}\p{N}]+)?(?:mit|bsd|isc)\b"  # in every text with a name
+# What every text with a name has; of the last ones, behind "under" or "under the"
+NAMED, PAIRED, UNDER = ["licens", "licenc", "apache", "gpl", "cc0", "cc by", "cc-by", "mpl"], ["creative", "commons"], ["mit", "bsd", "isc"]
 # Lines that speak of licences and give none
 SPOKEN = ["a license plate", "this text speaks of a license", "you need a license to drive", "the license plate of the car", "a fishing license costs more",
           "a license fee must be paid", "with permission of the author", "the software is free of charge", "this version of the software",
@@ -97,6 +100,15 @@ def grams(of: Column, n: int) -> Column:
         F.slice(of, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def pairs_of(of: Column) -> Column:
+    return F.array_distinct(grams(of, 2))
+
+
+def contained(template: Column, pairs: Column) -> Column:
+    """The share of a template's word pairs among ``pairs``."""
+    return F.size(F.array_intersect(template, pairs)) / F.size(template)
+
+
 def all_grams(of: Column) -> Column:
     return F.array_distinct(F.concat(grams(of, 1), grams(of, 2), grams(of, 3)))
 
@@ -113,7 +125,7 @@ def templates(spark: SparkSession, texts: dict[str, list[str]] | None = None) ->
     """(family, template (number), words, pairs) of every template, and the anchors of all."""
     rows = [(family, i, text) for family, own in (texts or TEMPLATES).items() for i, text in enumerate(own)]
     table = local(spark, rows, "family string, template int, text string")
-    table = table.withColumn("words", words(F.col("text"))).withColumn("pairs", F.array_distinct(grams(F.col("words"), 2))).drop("text")
+    table = table.withColumn("words", words(F.col("text"))).withColumn("pairs", pairs_of(F.col("words"))).drop("text")
     found: list[str] = []
     for _, _, own, pairs in table.orderBy("family", "template").collect():
         # words in use already first, then the longest; a version's parts may be written apart, so no word with a number
@@ -139,11 +151,16 @@ class LicenceModel:
 
 
 def has_any(text: Column, anchors: list[str]) -> Column:
-    """Whether the lower-cased text contains one of the anchors."""
-    lowered, found = F.lower(text), F.lit(False)
-    for anchor in anchors:
-        found = found | F.contains(lowered, F.lit(anchor))
-    return found | F.rlike(lowered, F.lit(NAMED))
+    """Whether the text, lower-cased once, contains one of the anchors or what every name needs."""
+    def told(lowered):
+        has = lambda word: F.contains(lowered, F.lit(word))
+        found = has(PAIRED[0]) & has(PAIRED[1])
+        for word in [*anchors, *NAMED]:
+            found = found | has(word)
+        short = has(UNDER[0]) | has(UNDER[1]) | has(UNDER[2])
+        behind = rf"under[^\p{{L}}\p{{N}}]+(?:the[^\p{{L}}\p{{N}}]+)?(?:{'|'.join(UNDER)})\b"
+        return found | (has("under") & short & F.rlike(lowered, F.lit(behind)))
+    return F.exists(F.array(F.lower(text)), told)
 
 
 def named(body: Column, family: str) -> Column:
@@ -160,20 +177,28 @@ def newlines(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n")))
 
 
-def blocks(df: DataFrame, text: str, anchors: list[str]) -> DataFrame:
-    """``df`` without ``text``, with paragraph (number of the first line), last (of the last one) and body of every block of
-    several lines that has an anchor. Line breaks are blanks; comment marks are no words.
+def lines(text: Column, anchors: list[str]) -> Column:
+    """(paragraph, last, body) of every line that has an anchor; ``last`` is null."""
+    made = F.transform(F.split(text, "\n"), lambda b, i: F.struct(i.alias("paragraph"), F.lit(None).cast("int").alias("last"), b.alias("body")))
+    return F.filter(made, lambda x: has_any(x["body"], anchors))
+
+
+def blocks(text: Column, anchors: list[str]) -> Column:
+    """paragraph (number of the first line), last (of the last one) and body of every block of several lines that has an anchor.
+
+    Line breaks are blanks; comment marks are no words.
     """
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=\n)(?=[^\p{L}\p{N}\n]*\n)")
-    rest = [c for c in df.columns if c != text]
-    numbered = df.withColumn("_parts", parts).select(*rest, "_parts", F.explode(F.filter(
-        F.transform("_parts", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: has_any(x["p"], anchors))).alias("_x"))
-    first = F.aggregate(F.slice("_parts", 1, F.col("_x.i")), F.lit(0), lambda n, p: n + newlines(p)) + newlines(
-        F.regexp_extract("_x.p", r"^[^\p{L}\p{N}]*", 0))
-    body = F.regexp_replace("_x.p", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    made = numbered.select(*rest, first.alias("paragraph"), body.alias("body"))
-    made = made.select(*rest, "paragraph", (F.col("paragraph") + newlines(F.col("body"))).alias("last"), "body")
-    return made.where("last > paragraph").withColumn("body", F.translate("body", "\r\n", "  "))
+    def block(parts, part, i):
+        first = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + newlines(p)) + newlines(
+            F.regexp_extract(part, r"^[^\p{L}\p{N}]*", 0))
+        body = F.regexp_replace(part, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+        return F.struct(first.alias("paragraph"), (first + newlines(body)).alias("last"), F.translate(body, "\r\n", "  ").alias("body"))
+
+    def made(parts):
+        told = F.transform(parts, lambda part, i: F.when(has_any(part, anchors), block(parts, part, i)))
+        return F.filter(told, lambda x: x["last"] > x["paragraph"])
+
+    return F.transform(F.array(F.split(text, r"(?<=\n)(?=[^\p{L}\p{N}\n]*\n)")), made)[0]
 
 
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -187,7 +212,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     """Model from the templates, shortened copies of them, and at most ``others`` lines of the corpus as anything else.
 
     Those lines are the ones with the smallest hashes among the rows whose key's hash falls in a share that the row count
-    sets; lines with an anchor are left out. An empty table gives a model of the templates alone.
+    sets; lines that some family's templates or names would confirm are left out. At most ``GRAMS`` word n-grams, the most
+    frequent ones of the examples, are features. An empty table gives a model of the templates alone.
     """
     spark = df.sparkSession
     known, anchors = templates(spark, texts)
@@ -199,12 +225,15 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     examples = known.select("family", "words", cut.alias("cut")).where(n - F.col("cut.from") - F.col("cut.less") >= F.greatest(F.lit(2), n * 0.7))
     body = F.slice("words", F.col("cut.from") + 1, n - F.col("cut.from") - F.col("cut.less"))
     examples = examples.select("family", F.when(F.col("cut.pad") == "", body).otherwise(F.concat(F.split("cut.pad", " "), body)).alias("words"))
-    lines = paragraphs(df.where(F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // others))) == 0), key, text)
-    lines = lines.where(~has_any(F.col("body"), anchors)).withColumn("words", words(F.col("body")))
-    lines = lines.orderBy(F.xxhash64("body"), key, "paragraph").limit(others)
-    plain = [(UNKNOWN, ["the", word]) for word in sorted(COMMON)] + [(UNKNOWN, line.split(" ")) for line in SPOKEN]
-    examples = (examples.unionByName(lines.select(F.lit(UNKNOWN).alias("family"), "words"))
-                .unionByName(local(spark, plain, "family string, words array<string>")))
+    plain = paragraphs(df.where(F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // others))) == 0), key, text)
+    plain = plain.orderBy(F.xxhash64("body"), key, "paragraph").limit(others).withColumn("words", words(F.col("body")))
+    own = known.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "family", "template"), "pairs"))).alias("own"))
+    plain = plain.join(F.broadcast(own)).withColumn("near", F.exists(F.map_values("own"), lambda t: contained(t, pairs_of(F.col("words"))) >= CONTAINED))
+    written = F.array_join("words", " ")
+    plain = plain.where(~F.col("near") & ~functools.reduce(lambda a, b: a | b, (named(written, family) for family in families)))
+    spoken = [(UNKNOWN, ["the", word]) for word in sorted(COMMON)] + [(UNKNOWN, line.split(" ")) for line in SPOKEN]
+    examples = (examples.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "words"))
+                .unionByName(local(spark, spoken, "family string, words array<string>")))
     classes = [UNKNOWN, *families]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
     rows = examples.coalesce(1).select(label.alias("label"), all_grams(F.col("words")).alias("grams"),
@@ -214,14 +243,16 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=GRAMS, binary=True)
 
     def trained(train):
-        logistic = LogisticRegression(weightCol="weight", regParam=0.002, elasticNetParam=0.5, family="multinomial", maxIter=30, tol=1e-3, standardization=False)
+        logistic = LogisticRegression(weightCol="weight", regParam=0.002, elasticNetParam=0.5, family="multinomial", maxIter=200, tol=1e-6, standardization=False)
         return Pipeline(stages=[vectors, logistic]).fit(train)
 
-    # calibration: a family's threshold is half of the least probability that its held-out examples get, above chance
-    tried = trained(weighed.where("fold <> 0")).transform(rows.where("fold = 0 AND label > 0"))
-    own = vector_to_array("probability")[F.col("label").cast("int")]
-    least = {int(r[0]): r[1] for r in tried.groupBy("label").agg(F.min(own)).collect()}
-    thresholds = [min(0.5, max(1.5 / len(classes), 0.5 * least.get(i + 1, 1.0))) for i in range(len(families))]
+    # calibration: a family's threshold lies between the least probability of its held-out examples and the most that held-out
+    # examples of anything else get, above chance
+    tried = trained(weighed.where("fold <> 0")).transform(rows.where("fold = 0")).select("label", vector_to_array("probability").alias("p"))
+    own = F.col("p")[F.col("label").cast("int")]
+    least = {int(r[0]): r[1] for r in tried.where("label > 0").groupBy("label").agg(F.min(own)).collect()}
+    most = tried.where("label = 0").agg(*(F.max(F.col("p")[i + 1]) for i in range(len(families)))).first()
+    thresholds = [min(0.5, max(1.5 / len(classes), 0.5 * (least.get(i + 1, 1.0) + (most[i] or 0.0)))) for i in range(len(families))]
     final = trained(weighed)
     counted, logistic = final.stages
     matrix = logistic.coefficientMatrix.toArray()
@@ -238,44 +269,38 @@ def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
     A paragraph's number is that of its line, or of its first line where it is a block of several. A block counts only where
     none of its lines gives the same family as well, and as unknown only where none of its lines gives any; lines that say less
     than their block, unknown ones or those with a name where the block has a template, give way to it.
-    Of the confirmed families the most probable counts, else the most probable of all. It is ``unknown`` where it is confirmed
-    without reaching its calibrated threshold, or unconfirmed but more probably a licence than anything else; what is neither
-    is left out. Null and empty texts have no paragraphs. Rows that
-    share a key are scanned each, and have equal numbers.
+    The most probable family counts where it is confirmed and reaches its calibrated threshold. The paragraph is ``unknown``
+    where it is confirmed below the threshold, or unconfirmed but more probably a licence than anything else; what is neither
+    is left out. Null and empty texts have no paragraphs. Rows that share a key are scanned each, and have equal numbers.
     """
-    docs = df.where(has_any(F.col(text), model.anchors)).select(key, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc"))
-    line = F.filter(F.transform(F.split("_text", "\n"), lambda b, i: F.struct(
-        i.alias("paragraph"), F.lit(None).cast("int").alias("last"), b.alias("body"))), lambda x: has_any(x["body"], model.anchors))
-    found = docs.select(key, "_doc", F.inline(line)).unionByName(blocks(docs, "_text", model.anchors))
+    docs = df.where(has_any(F.col(text), model.anchors)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc"))
+    found = docs.select("_key", "_doc", F.inline(F.concat(lines(F.col("_text"), model.anchors), blocks(F.col("_text"), model.anchors))))
     found = found.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words(F.col("body"))).drop("body")
     classes = [UNKNOWN, *model.families]
     table = model.weights.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("_w"))
     scored = found.select("*", F.explode(all_grams(F.col("_words"))).alias("gram")).join(F.broadcast(table), "gram")
     sums = [F.sum(F.coalesce(F.element_at("_w", c), F.lit(0.0))).alias(f"_z{i}") for i, c in enumerate(classes)]
-    scored = scored.groupBy(key, "_doc", "paragraph", "last", "_row", "_words").agg(*sums)
-    z = F.array(*(F.col(f"_z{i}") + b for i, b in enumerate(model.biases)))
-    scored = scored.withColumn("_z", z).withColumn("_body", F.array_join("_words", " ")).withColumn("_pairs", F.array_distinct(grams(F.col("_words"), 2)))
-    total = F.aggregate("_z", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(F.col("_z"))))
+    scored = scored.groupBy("_key", "_doc", "paragraph", "last", "_row", "_words").agg(*sums)
+    z = [F.col(f"_z{i}") + b for i, b in enumerate(model.biases)]
+    top = F.greatest(*z)
+    odds = functools.reduce(lambda a, b: a + b, (F.exp(x - top) for x in z))
+    best = F.array_max(F.array(*(F.struct(z[i + 1].alias("z"), F.lit(-i).alias("place")) for i in range(len(model.families)))))
+    judged = scored.select("_key", "_doc", "paragraph", "last", "_words", (F.exp(z[0] - top) / odds).alias("_plain"),
+                           (F.exp(best["z"] - top) / odds).alias("probability"), (-best["place"]).alias("_place"))
     own = model.templates.groupBy("family").agg(F.collect_list("pairs").alias("_own"))
-    own = own.agg(F.map_from_entries(F.collect_list(F.struct("family", "_own"))).alias("_templates"))
-    compared = scored.withColumn("_total", total).crossJoin(F.broadcast(own))
-
-    def judged(i, family):
-        shares = F.transform(F.element_at("_templates", family), lambda t: F.size(F.array_intersect(t, F.col("_pairs"))) / F.size(t))
-        return F.struct(((F.array_max(shares) >= CONTAINED) | named(F.col("_body"), family)).alias("confirmed"),
-                        F.col("_z")[i + 1].alias("z"), F.array_max(shares).alias("similarity"), F.lit(family).alias("family"),
-                        F.lit(model.thresholds[i]).alias("least"))
-
-    compared = compared.withColumn("_best", F.array_max(F.array(*(judged(i, f) for i, f in enumerate(model.families)))))
-    compared = compared.withColumn("similarity", F.col("_best.similarity"))
-    compared = compared.withColumn("probability", F.exp(F.col("_best.z") - F.array_max("_z")) / F.col("_total"))
-    sure = F.col("probability") >= F.col("_best.least")
-    plain = F.exp(F.col("_z")[0] - F.array_max("_z")) / F.col("_total")
-    compared = compared.where(F.col("_best.confirmed") | (plain < 0.5))
-    family = F.when(F.col("_best.confirmed") & sure, F.col("_best.family")).otherwise(F.lit(UNKNOWN))
-    made = compared.select(key, "_doc", F.struct("paragraph", family.alias("family"), F.round("probability", 6).alias("probability"),
-                           F.round("similarity", 6).alias("similarity"), F.size("_words").alias("n_words"), "last").alias("_p"))
-    made = made.groupBy(key, "_doc").agg(F.collect_list("_p").alias("_all"))
+    judged = judged.withColumn("_family", F.array(*map(F.lit, model.families))[F.col("_place")]).join(
+        F.broadcast(own.withColumnRenamed("family", "_family")), "_family")
+    written = F.array_join("_words", " ")
+    judged = judged.withColumn("similarity", F.transform(F.array(pairs_of(F.col("_words"))), lambda own_pairs: F.array_max(
+        F.transform("_own", lambda t: contained(t, own_pairs))))[0])
+    by_name = F.coalesce(*(F.when(F.col("_family") == family, named(written, family)) for family in model.families))
+    judged = judged.withColumn("_confirmed", (F.col("similarity") >= CONTAINED) | by_name)
+    sure = F.col("probability") >= F.array(*map(F.lit, model.thresholds))[F.col("_place")]
+    judged = judged.where(F.col("_confirmed") | (F.col("_plain") < 0.5))
+    family = F.when(F.col("_confirmed") & sure, F.col("_family")).otherwise(F.lit(UNKNOWN))
+    made = judged.select("_key", "_doc", F.struct("paragraph", family.alias("family"), F.round("probability", 6).alias("probability"),
+                         F.round("similarity", 6).alias("similarity"), F.size("_words").alias("n_words"), "last").alias("_p"))
+    made = made.groupBy("_key", "_doc").agg(F.collect_list("_p").alias("_all"))
 
     def covers(line, block):
         return line["last"].isNull() & block["last"].isNotNull() & line["paragraph"].between(block["paragraph"], block["last"])
@@ -288,5 +313,5 @@ def licence_scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text:
         return F.exists("_all", lambda x: covers(x, block) & ~less(x, block) & ((x["family"] == block["family"]) | (block["family"] == UNKNOWN)))
 
     made = made.withColumn("_all", F.filter("_all", lambda p: p["last"].isNull() | ~told(p)))
-    whole = made.select(key, F.inline(F.filter("_all", lambda p: ~F.exists("_all", lambda x: covers(p, x) & less(p, x)))))
+    whole = made.select(F.col("_key").alias(key), F.inline(F.filter("_all", lambda p: ~F.exists("_all", lambda x: covers(p, x) & less(p, x)))))
     return whole.drop("last")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortium.llm import catalog, context_trees, exact_dedup, filter_audit, periodic_runs, toxicity
+from cohortium.llm import catalog, context_trees, exact_dedup, filter_audit, licenses, periodic_runs, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -329,3 +329,57 @@ def test_a_rare_class_keeps_its_words(spark):
     assert kept.columns == df.columns
     assert {i for i, _ in labels} - {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, toxic in labels if toxic}
     assert kept.where("score = doc_id").count() == kept.count()
+
+
+# --- licences: the classifier chooses, templates and names confirm
+
+def plain_words(text):
+    return [w for w in re.split(r"[^\w]+", re.sub(r"(?<=\d)\.(?=\d)", "_", text.lower())) if w]
+
+
+def plain_licence(line, model, weights, templates):
+    words = plain_words(line)
+    grams = {" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    classes = [licenses.UNKNOWN, *model.families]
+    if not any(g in weights for g in grams):
+        return None
+    z = [b + sum(weights.get(g, {}).get(c, 0.0) for g in grams) for b, c in zip(model.biases, classes)]
+    p = np.exp(np.array(z) - max(z))
+    p /= p.sum()
+    k = int(np.argmax(z[1:]))
+    family, pairs = model.families[k], {" ".join(words[i:i + 2]) for i in range(len(words) - 1)}
+    similarity = max(len(set(t) & pairs) / len(t) for t in templates[family])
+    own, body = licenses.NAMES[family], " ".join(words)
+    short = f"|(?:under|licen[sc]e identifier)(?: the)? {licenses.BARE_NAMES[family]}" if family in licenses.BARE_NAMES else ""
+    named = re.search(rf"(?:^| )(?:(?:{licenses.LICENSING})(?: \S+){{0,12}}? (?:{own}){short})(?: |$)"
+                      rf"|^(?:the )?(?:{own})(?: (?:version|v?\d\S*|mit|only|or|later|international|generic|unported))*$", body)
+    confirmed = similarity >= licenses.CONTAINED or bool(named)
+    if not confirmed and p[0] >= 0.5:
+        return None
+    return family if confirmed and p[k + 1] >= model.thresholds[k] else licenses.UNKNOWN, round(float(p[k + 1]), 5)
+
+
+def test_licences_equal_a_plain_version(spark, sf_dir):
+    docs = catalog.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = licenses.fit(docs)
+    mixed = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+             "files, unlike code available under the ISC license")
+    given = [mixed, "Licensed under the MIT license", "mit", "Available under the Mozilla Public License 2.0", "GPLv3 only",
+             "We drink under the apache sun", "subject to the terms of the GNU General Public License", "license", "BSD-style license", "CC BY 4.0"]
+    given += [t for family in licenses.TEMPLATES.values() for t in family] + licenses.SPOKEN
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: (r.family, round(r.probability, 5)) for r in licenses.licence_scan(rows, model).collect()}
+    weights = defaultdict(dict)
+    for r in model.weights.collect():
+        weights[r.gram][r.family] = r.weight
+    templates = defaultdict(list)
+    for r in model.templates.collect():
+        templates[r.family].append(r.pairs)
+    for i, text in enumerate(given):
+        want = plain_licence(text, model, weights, templates)
+        anchored = any(a in text.lower() for a in [*model.anchors, *licenses.NAMED]) or re.search(r"under\W+(?:the\W+)?(?:mit|bsd|isc)\b", text.lower())
+        if not anchored:
+            want = None
+        assert (got.get(i) or (None,))[0] == (want or (None,))[0], text
+        assert want is None or got[i][1] == pytest.approx(want[1], abs=2e-5)
+    assert got[0][0] == "MIT", "the name of another family does not outvote the prediction"
