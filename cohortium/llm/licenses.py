@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .texts import release_shuffles
+
 UNKNOWN = "unknown"
 CONTAINED = 0.8
 OTHERS = 2000  # most paragraphs of the corpus that a fit sees as anything else
@@ -243,7 +245,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=GRAMS, binary=True)
 
     def trained(train):
-        logistic = LogisticRegression(weightCol="weight", regParam=0.002, elasticNetParam=0.5, family="multinomial", maxIter=200, tol=1e-6, standardization=False)
+        logistic = LogisticRegression(weightCol="weight", regParam=0.002, elasticNetParam=0.5, family="multinomial", maxIter=200, tol=1e-5, standardization=False)
         return Pipeline(stages=[vectors, logistic]).fit(train)
 
     # calibration: a family's threshold lies between the least probability of its held-out examples and the most that held-out
@@ -253,12 +255,14 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     least = {int(r[0]): r[1] for r in tried.where("label > 0").groupBy("label").agg(F.min(own)).collect()}
     most = tried.where("label = 0").agg(*(F.max(F.col("p")[i + 1]) for i in range(len(families)))).first()
     thresholds = [min(0.5, max(1.5 / len(classes), 0.5 * (least.get(i + 1, 1.0) + (most[i] or 0.0)))) for i in range(len(families))]
+    release_shuffles(df)  # the jobs of the first fit leave much behind on the driver
     final = trained(weighed)
     counted, logistic = final.stages
     matrix = logistic.coefficientMatrix.toArray()
     weights = [(gram, classes[k], float(matrix[k, i])) for i, gram in enumerate(counted.vocabulary)
                for k in range(len(classes)) if abs(matrix[k, i]) > 1e-6]
     rows.unpersist()
+    release_shuffles(df)
     return LicenceModel(local(spark, weights, "gram string, family string, weight double"), families,
                         [float(b) for b in logistic.interceptVector.toArray()], thresholds, known, anchors)
 
