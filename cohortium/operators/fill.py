@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage, unstage
+from .moments import centred, moment_groups
 from .frequency import category_index, most_frequent, restore_labels
 from .quality import completion, missing_total
 from .quantiles import exact_quantiles
 
+MAX_MAP_VALUES = 2_000_000  # numbers in the maps of all missing patterns and rounds, 16 MB
+
 
 def fit_fill(df: DataFrame, cols: list[str], strategy: str, constant=0.0) -> dict:
     """Fill value per column: ``mean``, ``median``, ``mode`` or ``constant``. One or two passes for all columns."""
@@ -43,23 +46,72 @@ def fill(df: DataFrame, cols: list[str], strategy: str, constant=0.0) -> tuple[d
     return values, apply_fill(df, values)
 
 
+def _line(total: np.ndarray, at: int, alpha: float) -> tuple[np.ndarray, float]:
+    """Ridge coefficients (0 at ``at``) and constant of column ``at`` on all others, from a moment matrix."""
+    n, mean, spread = centred(total, 0.0)
+    others = [i for i in range(len(mean)) if i != at]
+    beta = np.zeros(len(mean))
+    beta[others] = np.linalg.lstsq(spread[np.ix_(others, others)] + alpha * np.eye(len(others)), spread[others, at], rcond=None)[0]
+    return beta, float(mean[at] - beta @ mean)
+
+
 def _ridge(df: DataFrame, target: str, predictors: list[str], miss: str, centre: dict, alpha: float) -> tuple:
     """Coefficients of target on predictors from one pass of sums over the rows that have the target."""
     names = [*predictors, target]
-    shifted = {c: F.col(c) - F.lit(centre[c]) for c in names}
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = df.where(~F.col(miss)).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(shifted[c]).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.sum(shifted[names[i]] * shifted[names[j]]).alias(f"p{i}_{j}") for i, j in pairs]).first()
-    n, k = sums["n"], len(predictors)
-    s = np.array([sums[f"s{i}"] for i in range(k + 1)])
-    moment = np.zeros((k + 1, k + 1))
-    for i, j in pairs:
-        moment[i, j] = moment[j, i] = sums[f"p{i}_{j}"]
-    spread = moment - np.outer(s, s) / n
-    beta = np.linalg.lstsq(spread[:k, :k] + alpha * np.eye(k), spread[:k, k], rcond=None)[0]
-    mean = s / n + np.array([centre[c] for c in names])
-    return beta, float(mean[k] - beta @ mean[:k])
+    shift = np.array([centre[c] for c in names])
+    total = moment_groups(df.where(~F.col(miss)), F.array(*names), shift)[()]
+    beta, constant = _line(total, len(predictors), alpha)
+    return beta[:-1], float(constant + shift[-1] - beta @ shift)
+
+
+def _dot(row, z):
+    return F.aggregate(F.zip_with(row, z, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def chained_lines(work: DataFrame, usable: list[str], incomplete: list[str], now: dict, miss: dict, mean: dict, rounds: int,
+                  alpha: float, tol: float, largest: float) -> DataFrame | None:
+    """All rounds of the linear chained fill from one pass of moments by missing pattern; none if the patterns are too many.
+
+    A cell that is filled is an affine function of its row's observed cells, the same for all rows with the same gaps. So a
+    round needs no data: with ``T`` the step that replaces a column, the moments ``M`` of a pattern become ``T M T'``. One more
+    pass takes the largest move of each round, to stop where the rounds would, and one fills.
+    """
+    k, at = len(usable), {c: i + 1 for i, c in enumerate(usable)}
+    pattern = F.concat(*(F.col(miss[c]).cast("int").cast("string") for c in incomplete))
+    most = MAX_MAP_VALUES // (rounds * len(incomplete) * (k + 1))
+    if work.select(pattern).distinct().limit(most + 1).count() > most:
+        return None
+    shift = np.array([float(mean[c]) for c in usable])
+    values = F.array(*(F.col(now[c]) for c in usable))
+    groups = {key[0]: m for key, m in moment_groups(work, values, shift, [pattern]).items()}
+    gone = {key: {c for c, mark in zip(incomplete, key) if mark == "1"} for key in groups}
+    maps = {key: [np.eye(k + 1)] for key in groups}  # after each round
+    for _ in range(rounds):
+        for key in maps:
+            maps[key].append(maps[key][-1])
+        for c in incomplete:
+            beta, constant = _line(sum(m for key, m in groups.items() if c not in gone[key]), at[c] - 1, alpha)
+            step = np.eye(k + 1)
+            step[at[c]] = [constant, *beta]
+            for key in groups:
+                if c in gone[key]:
+                    groups[key] = step @ groups[key] @ step.T
+                    maps[key][-1] = step @ maps[key][-1]
+    rows = [at[c] for c in incomplete]
+    z = F.concat(F.array(F.lit(1.0)), F.zip_with(values, F.array(*(F.lit(s) for s in shift.tolist())), lambda a, b: a - b))
+    marked = work.withColumns({"_pattern": pattern, "_z": z})
+
+    def table(of, kind: str) -> DataFrame:
+        return F.broadcast(work.sparkSession.createDataFrame([(key, of(own)) for key, own in maps.items()], f"_pattern string, _map {kind}"))
+
+    moves = table(lambda own: [(b - a)[rows].tolist() for a, b in zip(own, own[1:])], "array<array<array<double>>>")
+    moved = marked.join(moves, "_pattern").select(F.transform("_map", lambda r: F.array_max(F.transform(
+        r, lambda row: F.abs(_dot(row, F.col("_z")))))).alias("moved"))
+    steps = moved.agg(*(F.max(F.col("moved")[r]).alias(f"r{r}") for r in range(rounds))).first()
+    last = next((r for r in range(rounds) if (steps[r] or 0.0) < tol * largest), rounds - 1) + 1
+    filled = marked.join(table(lambda own: own[last][rows].tolist(), "array<array<double>>"), "_pattern")
+    return filled.withColumns({now[c]: F.when(F.col(miss[c]), F.lit(float(mean[c])) + _dot(F.col("_map")[i], F.col("_z"))).otherwise(F.col(now[c]))
+                               for i, c in enumerate(incomplete)}).drop("_map", "_z", "_pattern")
 
 
 def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str = "forest",
@@ -71,7 +123,8 @@ def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str
     ``categorical`` are indexed, filled as numbers, rounded to a valid index and labelled again.
     Each round is written to the shared folder, so lineage stays short and lost executors cost
     one round at most. The linear learner stops early when a round moves no cell by more than
-    ``tol`` times the largest absolute value.
+    ``tol`` times the largest absolute value; it needs no pass per round where the missing patterns are few enough for
+    ``chained_lines``, with the same result.
     """
     labels: dict[str, list[str]] = {}
     work = df
@@ -93,7 +146,12 @@ def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str
         **{now[c]: F.coalesce(F.col(c).cast("double"), F.lit(float(mean[c]))) for c in usable}})
     centre = {now[c]: float(mean[c]) for c in usable}
     held = None  # what the round before left
-    if incomplete and len(usable) > 1:
+    made = None
+    if incomplete and len(usable) > 1 and learner == "ridge" and rounds > 0:
+        made = chained_lines(work, usable, incomplete, now, miss, mean, rounds, alpha, tol, largest)
+    if made is not None:
+        work = made
+    elif incomplete and len(usable) > 1:
         for r in range(rounds):
             if learner == "ridge":
                 work = work.withColumns({f"_p{i}": F.col(now[c]) for i, c in enumerate(incomplete)})

@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .moments import centred, moment_groups
 from .transform import add_fold
 
 FITS_AT_ONCE = 4
@@ -26,34 +26,23 @@ FITS_AT_ONCE = 4
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def moments(df: DataFrame, features: str, label: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, means, centred products) of (features…, label): one distributed pass.
+def moments(df: DataFrame, features: str, label: str, by: list[str] = ()) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Per group of the columns ``by``: (moment matrix of (features…, label), its shift), in one distributed pass.
 
-    Each partition adds up its own rows, shifted by one row of the data so that large means cost no digits.
+    All are shifted by one row of the data, so that large means cost no digits.
     """
-    ready = df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
-    first = ready.where("y is not null").head()
+    ready = df.where(F.col(label).isNotNull())
+    values = F.concat(vector_to_array(features), F.array(F.col(label).cast("double")))
+    first = ready.select(values.alias("v")).head()
     if first is None:
         raise ValueError("no row has a label to fit to")
-    shift = np.array([*first["x"], first["y"]])
-    width = len(shift) + 1
-
-    def partial(batches):
-        total = np.zeros((width, width))
-        for batch in batches:
-            x = np.column_stack([np.array(batch["x"].tolist()).reshape(len(batch), width - 2), batch["y"]]) - shift
-            x = np.column_stack([np.ones(len(x)), x])
-            total += x.T @ x
-        i, j = np.triu_indices(width)
-        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
-
-    rows = (ready.where("y is not null").mapInPandas(partial, "i int, j int, s double")
-            .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
-    out = np.zeros((width, width))
-    for r in rows:
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["s"]
-    n, mean = int(out[0, 0]), out[0, 1:] / out[0, 0]
-    return n, mean + shift, out[1:, 1:] - n * np.outer(mean, mean)
+    shift = np.array(first["v"])
+    return {group: (matrix, shift) for group, matrix in moment_groups(ready, values, shift, [F.col(c) for c in by]).items()}
+
+
+def moments_of_all(df: DataFrame, features: str, label: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, centred products) of (features…, label) over all rows."""
+    return centred(*moments(df, features, label)[()])
 
 
 class FixedLine:
@@ -90,7 +79,10 @@ class LinearFamily:
         self.features, self.label, self.rounds, self.tol = features, label, rounds, tol
 
     def fit(self, df: DataFrame) -> FixedLine:
-        n, mean, spread = moments(df, self.features, self.label)
+        return self.solve(*moments_of_all(df, self.features, self.label))
+
+    def solve(self, n: int, mean: np.ndarray, spread: np.ndarray) -> FixedLine:
+        """The line for given rows, means and centred products."""
         scale = np.sqrt(np.diag(spread)[:-1] / n)
         scale[scale == 0] = 1.0
         xx, xy = spread[:-1, :-1] / np.outer(scale, scale), spread[:-1, -1] / scale
@@ -118,7 +110,10 @@ class BayesianLine:
         self.features, self.label, self.rounds, self.tol = features, label, rounds, tol
 
     def fit(self, df: DataFrame) -> FixedLine:
-        n, mean, spread = moments(df, self.features, self.label)
+        return self.solve(*moments_of_all(df, self.features, self.label))
+
+    def solve(self, n: int, mean: np.ndarray, spread: np.ndarray) -> FixedLine:
+        """The line for given rows, means and centred products."""
         xx, xy, yy = spread[:-1, :-1], spread[:-1, -1], spread[-1, -1]
         values, vectors = np.linalg.eigh(xx)
         values = np.clip(values, 0, None)
@@ -191,19 +186,44 @@ class Stack:
 
 
 def out_of_fold(df: DataFrame, bases: dict, key: str, folds: int = 5, hashed: bool = True) -> DataFrame:
-    """Each row once, with one prediction per base from models that never saw its fold."""
+    """Each row once, with one prediction per base from models that never saw its fold.
+
+    All folds of all linear bases come from one pass: a fold's training moments are those of all rows less its own.
+    """
     folded = stage(add_fold(df, key, folds, hashed), "folds")
     rest = [folded.where(F.col("fold") != f) for f in range(folds)]
-    fitted = fit_all([(base, rest[f]) for f in range(folds) for base in bases.values()])
+    fitted = fit_lines(folded, bases, folds)
+    work = [(name, f) for f in range(folds) for name in bases if (name, f) not in fitted]
+    fitted |= dict(zip(work, fit_all([(bases[name], rest[f]) for name, f in work])))
     parts = []
     for f in range(folds):
         held = folded.where(F.col("fold") == f)
-        for i, name in enumerate(bases):
-            held = _predict(fitted[f * len(bases) + i], held, f"base_{name}")
+        for name in bases:
+            held = _predict(fitted[name, f], held, f"base_{name}")
         parts.append(held)
     return reduce(DataFrame.unionByName, parts)
 
 
+def fit_lines(folded: DataFrame, bases: dict, folds: int) -> dict:
+    """Lines by (base, fold) that never saw the fold, and by (base, None) from all rows; one pass for bases of equal columns."""
+    fitted, read = {}, {}
+    for name, base in bases.items():
+        if not hasattr(base, "solve"):
+            continue
+        columns = base.features, base.label
+        if columns not in read:
+            read[columns] = moments(folded, *columns, by=["fold"])
+        groups = read[columns]
+        shift = next(iter(groups.values()))[1]
+        whole = sum(matrix for matrix, _ in groups.values())
+        for f in [None, *range(folds)]:
+            rest = whole - groups[f,][0] if (f,) in groups and f is not None else whole
+            if round(rest[0, 0]) < 1:
+                raise ValueError("a fold has all rows that have a label")
+            fitted[name, f] = base.solve(*centred(rest, shift))
+    return fitted
+
+
 def fit_all(work: list[tuple]) -> list:
     """Models of (estimator, frame) pairs, a few fits at a time: each alone seldom keeps a cluster busy."""
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
