@@ -151,6 +151,12 @@ def _oof(spark, sf_dir):
     return md.out_of_fold(df, {"line": md.LinearFamily("ridge", 0.0)}, "id", 5, hashed=False)
 
 
+@query("t7_out_of_fold_lines", f"{_FOLDED} SELECT id, CAST(fold AS INT) AS fold, round(yhat, 4) AS base_line FROM oof")
+def out_of_fold_lines(spark, sf_dir):
+    """The prediction of every row by the line of the other folds; all lines come from one pass of moments by fold."""
+    return r6(_oof(spark, sf_dir).select("id", "fold", "base_line"), "base_line", places=4)
+
+
 @query("t10_cv_metrics", f"""{_FOLDED} SELECT CAST(fold AS INT) AS fold, count(*) AS n, round(avg(abs(y - yhat)), 4) AS mae,
   round(sqrt(avg((y - yhat) * (y - yhat))), 4) AS rmse, round(1 - avg((y - yhat) * (y - yhat)) / var_pop(y), 4) AS r2
   FROM oof GROUP BY 1""")
