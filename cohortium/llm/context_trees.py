@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage, unstage
-from .texts import importable, release_shuffles
+from .texts import importable, lean_workers
 
 DEPTH = 5  # context bytes; a string of DEPTH + 1 bytes has 48 bits
 UPPER = 3  # context bytes by which subtrees are dealt
-BLOCK_BYTES = 20 << 20  # text of a block
+BLOCK_BYTES = 24 << 20  # text of a block
 SLICE_BYTES = 1 << 20  # text that is in work at a time
 SLICE_DOCS = 1 << 15
 SPACE, END = 32, 10
@@ -360,6 +360,7 @@ def language_scores(df: DataFrame, learns: Column, key: str = "doc_id", text: st
     table gives an empty result. Other columns are not read, whatever their names. The result is written to the shared folder.
     """
     importable(df)
+    lean_workers(df)
     docs = blocked(df, learns, key, text)
 
     def count_block(block: tuple, rows: pa.Table) -> pa.Table:
@@ -367,9 +368,7 @@ def language_scores(df: DataFrame, learns: Column, key: str = "doc_id", text: st
         return pa.table({"block": pa.array(np.full(len(keys), block[0].as_py(), np.int32)), "key": keys.astype(np.int64), "n": counts})
 
     found = stage(docs.select("block", "text", "learns").groupBy("block").applyInArrow(count_block, "block int, key long, n long"), "lm-found")
-    release_shuffles(df)
     counts = stage(found.groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
-    release_shuffles(df)
     strings, words = counts.where(F.col("key") < WORD), counts.where(F.col("key") >= WORD)
     trained, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
     subtrees = stage(weighed(strings), "lm-subtrees")

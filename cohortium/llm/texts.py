@@ -25,6 +25,12 @@ def importable(df: DataFrame) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
 
 
+def lean_workers(df: DataFrame) -> None:
+    """Lets Python workers that start from now on give large freed arrays back to the system at once, instead of keeping them."""
+    environment = df.sparkSession.sparkContext.environment
+    environment.update({"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"})
+
+
 def release_shuffles(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of finished jobs now: its cleaner does so once the driver has collected its garbage."""
     gc.collect()
