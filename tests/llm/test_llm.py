@@ -618,5 +618,5 @@ def test_pipeline_stages_on_awkward_rows(spark, sf_dir):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if re.match(r"op\d+_", q)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if re.match(r"op\d+_", q)} and "pipeline" in names
     assert set(catalog.ORACLES) <= set(names)
