@@ -28,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 BARE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"(?ai:https?://)[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[!-~]*)?|[a-z0-9.-]+\.amazonaws\.com(?::[0-9]+)?")
+ENDPOINT = re.compile(r"(?ai:https?://)[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[!-~]*)?|(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com(?::[0-9]+)?")
 ENDS_URL = re.compile(r"""["'`<>,;{}|\\]""")  # what ends an address inside a run that the endpoint's pattern takes whole
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -58,6 +58,17 @@ def near(starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarr
     return (at > 0) & (right[np.maximum(at - 1, 0)] >= starts - reach)
 
 
+def outside(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``spans`` that lie in none of ``others``, by binary search for the furthest end of what begins before."""
+    if not spans or not others:
+        return spans
+    left, right = np.array(sorted(others), np.int64).T
+    start, end = np.array(spans, np.int64).T
+    at = np.searchsorted(left, start, side="right")
+    within = (at > 0) & (np.maximum.accumulate(right)[np.maximum(at - 1, 0)] >= end)
+    return [span for span, hidden in zip(spans, within.tolist()) if not hidden]
+
+
 def linked_spans(text: str, base: list, reach: int | None = None) -> list[tuple[int, int, str]]:
     """Weak candidates with their complements: secrets and endpoints near their other parts, and the pairs they make.
 
@@ -66,8 +77,7 @@ def linked_spans(text: str, base: list, reach: int | None = None) -> list[tuple[
     and a secret (bare or assigned) of the scope: each identifier with its nearest secret, each secret with its nearest
     identifier. Without ``reach`` the scope alone bounds all this.
     """
-    inside = [v for _, _, kind, v in base if kind in ("hex", "access")]
-    bare = [m.span() for m in BARE.finditer(text) if not any(a <= m.start() and m.end() <= b for a, b in inside)]
+    bare = outside([m.span() for m in BARE.finditer(text)], [v for _, _, kind, v in base if kind in ("hex", "access")])
     if not base and not bare:  # nothing that an endpoint could complement
         return []
     reach = len(text) if reach is None else reach
