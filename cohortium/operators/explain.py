@@ -7,8 +7,8 @@ is narrow: array functions, no shuffle. Only statistics over records explode it.
 
 from __future__ import annotations
 
-import math
 import sys
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -60,58 +60,86 @@ def tree_table(model) -> tuple[list, list[float]]:
     return [trees[i] for i in sorted(trees)], weights
 
 
-def _leaves(tree: dict, weight: float) -> list[tuple]:
-    """(value, [(feature, share of rows, [(node, goes left)…])…]) per leaf."""
-    out, pending = [], [(0, {})]
+def _expected(tree: dict) -> float:
+    """Mean prediction of a tree over the rows it was trained on."""
+    total, pending = 0.0, [(0, 1.0)]
     while pending:
-        at, path = pending.pop()
-        left, right, value, count, feature, _, _ = tree[at]
+        at, share = pending.pop()
+        left, right, value, count, *_ = tree[at]
         if left < 0:
-            out.append((value * weight, [(f, share, tests) for f, (share, tests) in path.items()]))
-            continue
-        for child, goes_left in ((left, True), (right, False)):
-            share, tests = path.get(feature, (1.0, []))
-            pending.append((child, {**path, feature: (share * tree[child][3] / count, [*tests, (at, goes_left)])}))
-    return out
-
-
-def _shapley(x: np.ndarray, trees: list) -> np.ndarray:
-    """Path-dependent Shapley values for a batch. Per leaf, the subset sums are a polynomial product."""
-    phi = np.zeros_like(x)
-    for nodes, leaves in trees:
-        left = {}
-        for at, (child, _, _, _, feature, cut, arity) in nodes.items():
-            if child >= 0:
-                v = x[:, feature]
-                left[at] = v <= cut[0] if arity < 0 else np.isin(v, cut)
-        for value, path in leaves:
-            d = len(path)
-            met = [np.logical_and.reduce([left[a] if side else ~left[a] for a, side in tests]).astype(float)
-                   for _, _, tests in path]
-            for i, (feature, share, _) in enumerate(path):
-                poly = [np.ones(len(x))]
-                for j in range(d):
-                    if j != i:
-                        z, o = path[j][1], met[j]
-                        poly = [(poly[k] * z if k < len(poly) else 0) + (poly[k - 1] * o if k else 0)
-                                for k in range(len(poly) + 1)]
-                weight = sum(c * (math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d))
-                             for k, c in enumerate(poly))
-                phi[:, feature] += value * (met[i] - share) * weight
-    return phi
+            total += share * value
+        else:
+            pending += [(child, share * tree[child][3] / count) for child in (left, right)]
+    return total
+
+
+@cache
+def _gauss(points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights on [0, 1], as columns."""
+    at, weight = np.polynomial.legendre.leggauss(points)
+    return (at[:, None] + 1) / 2, weight[:, None] / 2
+
+
+def _leaf_terms(shares: list[float], codes: np.ndarray) -> list[np.ndarray]:
+    """What a leaf of value 1 adds to each feature of its path, for each code; bit j says that a row meets the j-th feature's tests.
+
+    A subset of k of the other d - 1 features weighs k! (d-1-k)! / d!, the integral of t^k (1-t)^(d-1-k) over [0, 1]. So the
+    sum over subsets is the integral of the product over the others of share (1-t) + met t, which half as many Gauss points
+    give exactly. The product of all features is made once; each feature's own factor is divided out again.
+    """
+    t, portions = _gauss(max(1, -(-len(shares) // 2)))
+    bits = [(codes >> j) & 1 for j in range(len(shares))]
+    factors = [np.hstack([share * (1 - t), share * (1 - t) + t]) for share in shares]
+    product = np.repeat(portions, len(codes), axis=1)
+    for factor, bit in zip(factors, bits):
+        product *= factor.take(bit, axis=1)
+    met = np.array([0.0, 1.0])
+    return [(((met - share) / factor).take(bit, axis=1) * product).sum(axis=0) for share, factor, bit in zip(shares, factors, bits)]
+
+
+def shapley_values(x: np.ndarray, trees: list[dict], weights: list[float]) -> np.ndarray:
+    """Path-dependent Shapley values of weighted trees, one row per row of ``x``.
+
+    The walk goes down node by node with one code per row (see ``_leaf_terms``). Rows of one code get the same terms from a
+    leaf, so terms are made for all codes, or for the rows where those are fewer: depth^2 per code, depth per row. Memory
+    is the depth times the rows, whatever the number of nodes.
+    """
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros_like(columns)
+
+    def walk(tree: dict, at: int, weight: float, path: dict[int, float], code: np.ndarray) -> None:
+        left, right, value, count, feature, cut, arity = tree[at]
+        if left < 0:
+            listed = np.arange(1 << len(path)) if 1 << len(path) < len(code) else None
+            terms = _leaf_terms(list(path.values()), code if listed is None else listed)
+            for f, term in zip(path, terms):
+                term *= value * weight
+                phi[f] += term if listed is None else term.take(code)
+            return
+        v = columns[feature]
+        goes_left = v <= cut[0] if arity < 0 else np.isin(v, cut)
+        bit = list(path).index(feature) if feature in path else len(path)
+        # a feature that is new to the path counts as met so far
+        code, share = (code, path[feature]) if feature in path else (code | (1 << bit), 1.0)
+        for child, goes in ((left, goes_left), (right, ~goes_left)):
+            walk(tree, child, weight, {**path, feature: share * tree[child][3] / count}, np.where(goes, code, code & ~(1 << bit)))
+
+    for tree, weight in zip(trees, weights):
+        walk(tree, 0, weight, {}, np.zeros(len(x), np.intp))
+    return phi.T
 
 
 def contributions_trees(df: DataFrame, model, names: list[str], columns: list[str] | None = None,
                         features: str = "features") -> DataFrame:
     """Adds ``base`` and ``factors`` for a forest or boosted model: base + sum of phi = prediction."""
     tables, weights = tree_table(model)
-    trees = [(t, _leaves(t, w)) for t, w in zip(tables, weights)]
-    base = sum(v * math.prod(share for _, share, _ in path) for _, leaves in trees for v, path in leaves)
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    base = sum(w * _expected(t) for t, w in zip(tables, weights))
+    shared = df.sparkSession.sparkContext.broadcast((tables, weights))
 
     @F.pandas_udf("array<double>")
     def phis(x: pd.Series) -> pd.Series:
-        return pd.Series(list(_shapley(np.array(x.tolist(), dtype=float), shared.value)))
+        rows = np.array(x.tolist(), dtype=float).reshape(len(x), len(names))
+        return pd.Series(list(shapley_values(rows, *shared.value)))
 
     source = source_columns(names, columns or names)
     labels = F.array(*[F.lit(n) for n in names])

@@ -74,13 +74,51 @@ def boosted(spark, sf_dir):
     return out.select("id", (F.abs(total - F.col("prediction")) < 1e-6).alias("adds_up"))
 
 
-@query("e3_explainable_base")
+# the contributions of a tree that asks u first and then v on both sides, from the means of rows alike in u, in v's answer and in both
+_ASKED = f"""WITH p AS (SELECT id, y, CAST(a > 1.5 AS DOUBLE) AS u, CAST(b > 1 AS DOUBLE) AS v FROM ({PLANTED_SQL})),
+  whole AS (SELECT avg(y) AS f0, count(*)::DOUBLE AS n FROM p), byu AS (SELECT u, avg(y) AS fu, count(*) AS nu FROM p GROUP BY 1),
+  cells AS (SELECT u, v, avg(y) AS fuv FROM p GROUP BY 1, 2),
+  byv AS (SELECT v, sum(fuv * nu / n) AS fv FROM cells JOIN byu USING (u), whole GROUP BY 1),
+  phi AS (SELECT id, f0, ((fu - f0) + (fuv - fv)) / 2 AS phi_u, ((fv - f0) + (fuv - fu)) / 2 AS phi_v
+    FROM p JOIN byu USING (u) JOIN byv USING (v) JOIN cells USING (u, v), whole)"""
+
+
+def _asked(spark, sf_dir, names=("u", "v"), depth=2):
+    """Two yes-or-no questions, of which the first tells more by the planted signal; a single tree sees all rows once."""
+    df = planted(spark, sf_dir).withColumns({"u": (F.col("a") > 1.5).cast("double"), "v": (F.col("b") > 1).cast("double")})
+    df = df.withColumn("features", md.as_vector(list(names))).withColumn("label", F.col("y"))
+    return df, md.forest(trees=1, depth=depth).setBootstrap(False).fit(df)
+
+
+@query("e1_depth_two_contributions", f"{_ASKED} SELECT id, round(f0, 6) AS base, round(phi_u, 6) AS phi_u, round(phi_v, 6) AS phi_v FROM phi")
+def depth_two(spark, sf_dir):
+    """Contributions of both questions of a tree of depth two."""
+    df, model = _asked(spark, sf_dir)
+    out = ex.contributions_trees(df, model, ["u", "v"])
+    return r6(out.select("id", "base", F.col("factors")[0]["phi"].alias("phi_u"), F.col("factors")[1]["phi"].alias("phi_v")),
+              "base", "phi_u", "phi_v")
+
+
+@query("e1_depth_one_contributions", f"""{_ASKED} SELECT id, round(f0, 6) AS base, round(fu - f0, 6) AS phi_u, 0.0::DOUBLE AS phi_v
+  FROM p JOIN byu USING (u), whole""")
+def depth_one(spark, sf_dir):
+    """A tree that asks one question: the other feature adds nothing."""
+    df, model = _asked(spark, sf_dir, depth=1)
+    out = ex.contributions_trees(df, model, ["u", "v"])
+    return r6(out.select("id", "base", F.col("factors")[0]["phi"].alias("phi_u"), F.col("factors")[1]["phi"].alias("phi_v")),
+              "base", "phi_u", "phi_v")
+
+
+@query("e3_explainable_base", f"""{_ASKED}, m AS (SELECT 'u' AS feature, avg(abs(phi_u)) AS mean_abs FROM phi UNION ALL
+  SELECT 'v', avg(abs(phi_v)) FROM phi) SELECT feature, round(mean_abs, 6) AS mean_abs,
+  CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INT) AS rank, 'forest' AS explained_model FROM m""")
 def explainable(spark, sf_dir):
     """Of a stack's bases the first tree model is explained."""
-    df, model = _forest(spark, sf_dir)
+    df, model = _asked(spark, sf_dir)
     line = md.LinearFamily("ridge", 1.0).fit(df)
     name, chosen = ex.explainable({"ridge": line, "forest": model})
-    return ex.importance(ex.contributions_trees(df, chosen, ["a", "b"])).withColumn("explained_model", F.lit(name))
+    out = ex.importance(ex.contributions_trees(df, chosen, ["u", "v"])).withColumn("explained_model", F.lit(name))
+    return r6(out, "mean_abs")
 
 
 _IMPORTANCE = f"{LONG_SQL}, imp AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM f GROUP BY 1), ranked AS (" \

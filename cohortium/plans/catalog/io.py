@@ -145,13 +145,14 @@ def prepare_files(spark, sf_dir):
     return report.drop("method")
 
 
-@query("explain_model_batch")
+@query("explain_model_batch", f"""SELECT model, count(*) AS records, 2 AS features, round(avg(y), 6) AS expected_value
+  FROM ({PLANTED_SQL}), (VALUES ('forest'), ('boosted')) m(model) GROUP BY 1""")
 def explain_batch(spark, sf_dir):
-    """Two models explained and exported; one summary line each."""
+    """Two models explained and exported; one summary line each. Trees fitted to all rows expect the mean."""
     df = planted(spark, sf_dir).withColumn("features", md.as_vector(["a", "b"])).withColumn("label", F.col("y"))
     runs = {name: (df, model.fit(df), ["a", "b"]) for name, model in (
-        ("forest", md.forest(trees=3, depth=3)), ("boosted", md.boosted(trees=3, depth=3, rate=0.5)))}
-    return explain_models(runs, fresh_path(spark, "explained"), "id", top=2)
+        ("forest", md.forest(trees=1, depth=3).setBootstrap(False)), ("boosted", md.boosted(trees=3, depth=3, rate=0.5)))}
+    return r6(explain_models(runs, fresh_path(spark, "explained"), "id", top=2), "expected_value")
 
 
 _STREAM_RULES = [("value", True, 1, 400), ("event_type", True, None, None)]
