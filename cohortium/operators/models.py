@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 from .moments import centred, moment_groups
 from .transform import add_fold
 
@@ -191,14 +192,23 @@ def out_of_fold(df: DataFrame, bases: dict, key: str, folds: int = 5, hashed: bo
     All folds of all linear bases come from one pass: a fold's training moments are those of all rows less its own.
     """
     folded = stage(add_fold(df, key, folds, hashed), "folds")
+    return fold_predictions(folded, bases, fold_models(folded, bases, folds), folds)
+
+
+def fold_models(folded: DataFrame, bases: dict, folds: int) -> dict:
+    """Models by (base, fold) that never saw the fold; linear ones also by (base, None), from all rows."""
     rest = [folded.where(F.col("fold") != f) for f in range(folds)]
     fitted = fit_lines(folded, bases, folds)
     work = [(name, f) for f in range(folds) for name in bases if (name, f) not in fitted]
-    fitted |= dict(zip(work, fit_all([(bases[name], rest[f]) for name, f in work])))
+    return fitted | dict(zip(work, fit_all([(bases[name], rest[f]) for name, f in work])))
+
+
+def fold_predictions(folded: DataFrame, names, fitted: dict, folds: int) -> DataFrame:
+    """Each row once, with ``base_<name>`` by the model that never saw its fold."""
     parts = []
     for f in range(folds):
         held = folded.where(F.col("fold") == f)
-        for name in bases:
+        for name in names:
             held = _predict(fitted[name, f], held, f"base_{name}")
         parts.append(held)
     return reduce(DataFrame.unionByName, parts)
@@ -257,6 +267,75 @@ def search(df: DataFrame, estimator: Estimator, grid: dict, key: str, folds: int
     return fitted.bestModel, board
 
 
+@dataclass
+class Race:
+    """The board (best first), the winner's name and its model, fitted to all rows."""
+    board: DataFrame
+    winner: str
+    model: object
+
+
+def race(df: DataFrame, families: dict[str, list], key: str, folds: int = 5, rounds: int = 5, tolerance: float = 0.001,
+         stack_of: int = 10, meta=None, label: str = "label", hashed: bool = True) -> Race:
+    """Families of estimators searched side by side by cross-validated mean absolute error, their stack on the same board.
+
+    ``families`` lists each family's estimators in the order to try. A round fits the next one of every family that is still
+    in the race, all folds at once; a family leaves it when its last ``rounds`` estimators did not lower its error by the
+    share ``tolerance``. The best of each family, ``stack_of`` at most, are stacked on the predictions that they made out of
+    fold; the stack wins only if it is strictly better. Lines are named family_number (from 1). A family without estimators
+    has no line; rows without a label take no part; folds and the table with them are written once.
+    """
+    folded = stage(add_fold(df.where(F.col(label).isNotNull()), key, folds, hashed), "folds")
+    tried: dict[str, list[float]] = {family: [] for family in families}
+    fitted, estimators = {}, {}
+
+    def errors(frame: DataFrame, columns: dict[str, str]) -> dict[str, float]:
+        """Mean over folds of each column's error, all of them in one pass."""
+        found = frame.groupBy("fold").agg(*[F.avg(F.abs(F.col(label) - F.col(c))).alias(c) for c in columns.values()]).collect()
+        return {name: sum(r[c] for r in found) / len(found) for name, c in columns.items()}
+
+    def in_race(family: str) -> bool:
+        past = tried[family]
+        stuck = len(past) > rounds and min(past[-rounds:]) > min(past[:-rounds]) * (1 - tolerance)
+        return len(past) < len(families[family]) and not stuck
+
+    while running := [family for family in families if in_race(family)]:
+        now = {f"{family}_{len(tried[family]) + 1}": families[family][len(tried[family])] for family in running}
+        made = fold_models(folded, now, folds)
+        found = errors(fold_predictions(folded, now, made, folds), {name: f"base_{name}" for name in now})
+        for family, (name, error) in zip(running, found.items()):
+            best_before = min(tried[family], default=float("inf"))
+            tried[family].append(error)
+            if error < best_before:  # only the best of a family is needed again
+                fitted = {at: model for at, model in fitted.items() if at[0].rpartition("_")[0] != family}
+                fitted |= {at: model for at, model in made.items() if at[0] == name}
+        estimators |= now
+    lines = [(family, f"{family}_{i + 1}", error) for family, past in tried.items() for i, error in enumerate(past)]
+    if not lines:
+        raise ValueError("no family has an estimator")
+    lead = {family: f"{family}_{past.index(min(past)) + 1}" for family, past in tried.items() if past}
+    bases = [lead[family] for family in sorted(lead, key=lambda f: min(tried[f]))][:stack_of]
+    if len(bases) > 1:
+        meta = meta or LinearFamily("ridge", 1.0, features="_meta", label=label)
+        oof = VectorAssembler(inputCols=[f"base_{n}" for n in bases], outputCol="_meta").transform(
+            fold_predictions(folded, bases, fitted, folds))
+        oof = stage(oof, "oof")
+        stacked = fold_predictions(oof, ["stack"], fold_models(oof, {"stack": meta}, folds), folds)
+        lines.append(("stack", "stack", errors(stacked, {"stack": "base_stack"})["stack"]))
+    places = sorted(range(len(lines)), key=lambda i: (lines[i][2], i))
+    rows = [(place + 1, *lines[i]) for place, i in enumerate(places)]
+    winner = rows[0][2]
+    if winner == "stack":
+        whole = dict(zip(bases, fit_all([(estimators[n], folded) for n in bases])))
+        model = Stack(whole, meta.fit(oof))
+        unstage(oof)
+    else:
+        model = estimators[winner].fit(folded)
+    unstage(folded)
+    board = df.sparkSession.createDataFrame(rows, "place int, family string, model string, cv_mae double")
+    return Race(board.orderBy("place"), winner, model)
+
+
 def best_bases(board: DataFrame, k: int = 10, score: str = "cv_mae") -> DataFrame:
     """Leading base models, ensembles left out."""
     return board.where(~F.lower("model").contains("stack")).orderBy(score, "model").limit(k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ...operators import ranking as rk
 from ...operators import transform as tr
@@ -51,6 +52,25 @@ def ranked(spark, sf_dir):
     return rk.rank_features(df, ["y", "z", "flat"], ["a", "b", "segment"], trees=10, depth=5)
 
 
+@query("x1_rank_shares", f"""{_BINNED}, share AS (SELECT target, feature, mi / sum(mi) OVER () AS mi FROM mi)
+  SELECT target, feature, round(mi, 6) AS mi, 1.0::DOUBLE AS importances, 0.0::DOUBLE AS off FROM share""")
+def rank_shares(spark, sf_dir):
+    """Shares of the information; the forest's importances sum to 1 and the score is the mean of both; a constant target is skipped."""
+    out = rk.rank_features(planted(spark, sf_dir).withColumn("flat", F.lit(1.0)), ["y", "flat"], ["a", "b", "segment"], trees=5, depth=4)
+    of_target = Window.partitionBy("target")
+    off = F.abs(F.col("score") - (F.col("mi") + F.col("importance")) / 2)
+    return r6(out.select("target", "feature", "mi", F.sum("importance").over(of_target).alias("importances"), off.alias("off")),
+              "mi", "importances", "off")
+
+
+@query("x3_single_cause", f"""WITH p AS ({PLANTED_SQL}) SELECT 'y' AS target, feature, CAST(var_pop(CASE feature WHEN 'u' THEN CAST(a > 1.5 AS INT)
+  ELSE 1 END) > 0 AS INT)::DOUBLE AS importance FROM p, (VALUES ('u'), ('flat')) n(feature) GROUP BY 2""")
+def single_cause(spark, sf_dir):
+    """Of a question that tells something and a constant, the question has all of the importance."""
+    df = planted(spark, sf_dir).withColumns({"u": (F.col("a") > 1.5).cast("double"), "flat": F.lit(1.0)})
+    return rk.forest_importance(df, ["u", "flat"], "y", trees=10, depth=3)
+
+
 @query("x3_forest_importance")
 def forest_importance(spark, sf_dir):
     df = planted(spark, sf_dir)

@@ -9,7 +9,7 @@ from ...operators import explain as ex
 from ...operators import models as md
 from ...operators import scoring as sc
 from ...operators.transform import fit_preprocessor
-from ..survey import planted, r6
+from ..survey import PLANTED_SQL, planted, r6
 from .explaining import LINE, MEANS, SHEET_SQL, START, sheet
 from .registry import query
 
@@ -53,6 +53,17 @@ def score_model(spark, sf_dir):
     return sc.score(df, sc.model_scorer(made, model)).select("id", "score", "risk_band", "confidence")
 
 
+@query("c1_score_line", f"""WITH p AS ({PLANTED_SQL}), l AS (SELECT regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM p),
+  v AS (SELECT id, i + s * a AS p FROM p, l) SELECT id, round(p, 2) AS score, {_BAND.format('p')} AS risk_band,
+  CASE WHEN p < 5.7 THEN 'High Confidence' WHEN p < 8.0 THEN 'Moderate Confidence' ELSE 'High Confidence' END AS confidence FROM v""")
+def score_line(spark, sf_dir):
+    """A fitted preprocessor and a line behind it: the z-score does not move the line's predictions."""
+    df = planted(spark, sf_dir)
+    made = fit_preprocessor(df, ["a"], [])
+    model = md.LinearFamily("ridge", 0.0, label="y").fit(made.transform(df))
+    return sc.score(df, sc.model_scorer(made, model)).select("id", "score", "risk_band", "confidence")
+
+
 _LINES = f"""{_FULL}, p AS (SELECT id, "PreBLHBA1C" AS pre, "PostBLAge" AS age, round({_line_sql()}, 2) AS post FROM s),
   d AS (SELECT *, round(pre - post, 2) AS delta, {_CAT.format('pre')} AS pre_category, {_CAT.format('post')} AS post_category,
     CASE WHEN ({_RANK.format('post')}) < ({_RANK.format('pre')}) THEN 'Regression' WHEN ({_RANK.format('post')}) = ({_RANK.format('pre')})

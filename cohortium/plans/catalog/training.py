@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -146,6 +147,48 @@ _FOLDED = f"""WITH p AS (SELECT *, {bucket_sql('id', 99, 5)} AS fold FROM ({PLAN
     ON p.fold <> f.fold GROUP BY 1), oof AS (SELECT p.*, i + s * a AS yhat FROM p JOIN lines USING (fold))"""
 
 
+_RACED = f"""WITH p AS (SELECT *, {bucket_sql('id', 99, 5)} AS fold FROM ({PLANTED_SQL})), folds AS (SELECT DISTINCT fold AS f FROM p),
+  lines AS (SELECT f, regr_slope(y, a) AS sa, regr_intercept(y, a) AS ia, regr_slope(y, b) AS sb, regr_intercept(y, b) AS ib
+    FROM p JOIN folds ON p.fold <> f GROUP BY 1),
+  oof AS (SELECT id, fold, y, ia + sa * a AS pa, ib + sb * b AS pb FROM p JOIN lines ON fold = f),
+  m AS (SELECT f, avg(pa) AS ma, avg(pb) AS mb, avg(y) AS my, var_pop(pa) AS aa, var_pop(pb) AS bb, covar_pop(pa, pb) AS ab,
+    covar_pop(pa, y) AS ay, covar_pop(pb, y) AS bty FROM oof JOIN folds ON fold <> f GROUP BY 1),
+  stacked AS (SELECT oof.*, my + ((ay * bb - bty * ab) * (pa - ma) + (bty * aa - ay * ab) * (pb - mb)) / (aa * bb - ab * ab) AS ps
+    FROM oof JOIN m ON fold = f),
+  e AS (SELECT fold, avg(abs(y - pa)) AS price, avg(abs(y - pb)) AS balance, avg(abs(y - ps)) AS stack FROM stacked GROUP BY 1),
+  board AS (SELECT 'price' AS family, avg(price) AS mae FROM e UNION ALL SELECT 'balance', avg(balance) FROM e
+    UNION ALL SELECT 'stack', avg(stack) FROM e)"""
+
+
+def _raced(spark, sf_dir):
+    """Two families of lines whose later members bring nothing: each leaves the race after two of them."""
+    df = _ready(spark, sf_dir).withColumns({"on_a": md.as_vector(["a"]), "on_b": md.as_vector(["b"])}).select("id", "on_a", "on_b", "label")
+    families = {name: [md.LinearFamily("ridge", 1e-9 * i, features=c) for i in range(5)] for name, c in (("price", "on_a"), ("balance", "on_b"))}
+    return df, md.race(df, families, "id", folds=5, rounds=2, meta=md.LinearFamily("ridge", 0.0, features="_meta"), hashed=False)
+
+
+@query("t9_race_board", f"""{_RACED} SELECT family, count(*) AS lines, round(min(mae), 4) AS cv_mae, family = (SELECT arg_min(family, mae) FROM board) AS won
+  FROM (SELECT * FROM board UNION ALL SELECT b.* FROM board b, range(2) WHERE family <> 'stack') GROUP BY 1""")
+def race_board(spark, sf_dir):
+    """Lines tried and least error of each family and of the stack of their best; two of five members are never fitted."""
+    _, raced = _raced(spark, sf_dir)
+    out = raced.board.groupBy("family").agg(F.count(F.lit(1)).alias("lines"), F.min("cv_mae").alias("cv_mae"))
+    return r6(out.withColumn("won", F.col("family") == raced.winner.rpartition("_")[0] if "_" in raced.winner else F.col("family") == raced.winner),
+              "cv_mae", places=4)
+
+
+@query("t8_race_winner", f"""{_RACED}, w AS (SELECT regr_slope(y, a) AS sa, regr_intercept(y, a) AS ia, regr_slope(y, b) AS sb,
+    regr_intercept(y, b) AS ib FROM p),
+  wm AS (SELECT avg(pa) AS ma, avg(pb) AS mb, avg(y) AS my, var_pop(pa) AS aa, var_pop(pb) AS bb, covar_pop(pa, pb) AS ab,
+    covar_pop(pa, y) AS ay, covar_pop(pb, y) AS bty FROM oof)
+  SELECT id, round(my + ((ay * bb - bty * ab) * (ia + sa * a - ma) + (bty * aa - ay * ab) * (ib + sb * b - mb)) / (aa * bb - ab * ab), 4) AS prediction
+  FROM p, w, wm""")
+def race_winner(spark, sf_dir):
+    """The stack is better than its bases, so it is kept: its meta line over bases fitted to all rows."""
+    df, raced = _raced(spark, sf_dir)
+    return r6(raced.model.transform(df).select("id", "prediction"), "prediction", places=4)
+
+
 def _oof(spark, sf_dir):
     df = _ready(spark, sf_dir, ["a"]).select("id", "features", "label")
     return md.out_of_fold(df, {"line": md.LinearFamily("ridge", 0.0)}, "id", 5, hashed=False)
@@ -276,6 +319,28 @@ def compare_sources(spark, sf_dir):
     return out.board.drop("train_minutes")
 
 
+_COMBINED = f"""WITH p AS (SELECT *, {split_sql('id')} AS split, {bucket_sql('id', 99, 2)} AS fold FROM ({PLANTED_SQL})),
+  c AS (SELECT * FROM (VALUES (0, 'F', ['F']), (1, 'O', ['O']), (2, 'P', ['P']), (3, 'F + O', ['F', 'O']), (4, 'F + P', ['F', 'P']),
+    (5, 'O + P', ['O', 'P']), (6, 'F + O + P', ['F', 'O', 'P'])) v(ordinal, dataset, members)),
+  q AS (SELECT ordinal, dataset, p.* FROM p JOIN c ON list_contains(members, source)),
+  cvl AS (SELECT dataset, f, regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM q, range(2) r(f) WHERE split = 'train' AND fold <> f GROUP BY 1, 2),
+  cv AS (SELECT dataset, avg(mae) AS cv_mae FROM (SELECT q.dataset, fold, avg(abs(y - i - s * a)) AS mae FROM q JOIN cvl
+    ON q.dataset = cvl.dataset AND fold = f WHERE split = 'train' GROUP BY 1, 2) GROUP BY 1),
+  l AS (SELECT dataset, regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM q WHERE split = 'train' GROUP BY 1),
+  t AS (SELECT ordinal, dataset, avg(abs(y - i - s * a)) AS mae, sqrt(avg((y - i - s * a) * (y - i - s * a))) AS rmse, var_pop(y) AS vy
+    FROM q JOIN l USING (dataset) WHERE split = 'test' GROUP BY 1, 2)"""
+
+
+@query("t14_compare_lines", f"""{_COMBINED} SELECT CAST(ordinal AS INT) AS ordinal, dataset, 'LinearRegressionModel' AS model_type, round(cv_mae, 4) AS cv_mae,
+  round(mae, 4) AS test_mae, round(rmse, 4) AS test_rmse, round(1 - rmse * rmse / vy, 4) AS test_r2, mae < 0.3 AS goal FROM t JOIN cv USING (dataset)""")
+def compare_lines(spark, sf_dir):
+    """The board of all sources and combinations of them, each with a line found by cross-validation."""
+    df = _ready(spark, sf_dir, ["a"]).select("id", "source", "features", "label")
+    line = LinearRegression(featuresCol="features", labelCol="label", solver="normal")
+    out = training.compare_sources(df, "source", ["F", "O", "P"], "id", line, {"regParam": [0.0]}, folds=2, goal=0.3, hashed=False)
+    return r6(out.board.drop("train_minutes"), "cv_mae", "test_mae", "test_rmse", "test_r2", places=4)
+
+
 @query("t13_second_strategies")
 def second_strategies(spark, sf_dir):
     """No model meets a hard goal, so the best source is tried again, transformed and stacked."""
