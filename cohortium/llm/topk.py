@@ -154,7 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(who), pa.array(found[good]), pa.array(score[good].astype(np.int64))], ["query_id", "id", "score"])
 
-        return (both.repartition(shards, "shard").sortWithinPartitions("shard", "side")
+        return (both.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "side")
                 .mapInArrow(run, "query_id long, id long, score long"))
 
     first = stage(searched(asked.select("*", home.alias("shard"), F.lit(None).cast("double").alias("floor"))), "first")
