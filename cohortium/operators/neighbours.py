@@ -1,10 +1,14 @@
 """Exact nearest donors without pairing every receiver with every donor.
 
-Donors are laid out in small boxes of feature space (a k-d split learnt from a sample). A receiver
+Donors are laid out in small boxes of feature space (k-d splits learnt from samples). A receiver
 first looks into its own box; its k-th distance then tells which other boxes could hold a nearer
-donor, and only those are visited. The sample shapes the boxes and nothing else: no donor is left
+donor, and only those are visited. The samples shape the boxes and nothing else: no donor is left
 out. Spark partitions and shuffles the boxes; numpy compares the rows inside one box.
 
+The split tree has two levels. The upper one, of a bounded number of top boxes, is learnt and kept on
+the driver; each top box is split further in a Spark group of its own, and its tree and outlines
+stay in a table that is joined by top box. What the driver holds does not grow with the donors.
+
 A distance is the missing-aware squared Euclidean one: over the features both rows have, scaled up
 by all / shared features. Equal distances are ordered by donor key.
 """
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import stage
+from ..session import small_side, stage, unstage
 
 SAMPLE_PER_BOX = 32
 
@@ -105,7 +109,7 @@ def _reachable(nodes: list[tuple], outlines: tuple, points: np.ndarray, home: np
     """
     low, high, filled, some, used = outlines
     width = points.shape[1]
-    out: list[list[int]] = [[] for _ in points]
+    met_rows, met_boxes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     known = ~np.isnan(points)
     pending = [(0, np.arange(len(points)))]
     while pending:
@@ -123,11 +127,15 @@ def _reachable(nodes: list[tuple], outlines: tuple, points: np.ndarray, home: np
             continue
         node = nodes[at]
         if len(node) == 1:
-            for i in rows[home[rows] != node[0]].tolist():
-                out[i].append(node[0])
+            away = rows[home[rows] != node[0]]
+            met_rows.append(away)
+            met_boxes.append(np.full(len(away), node[0]))
         else:
             pending += [(node[2], rows), (node[3], rows)]
-    return out
+    row, box = np.concatenate(met_rows), np.concatenate(met_boxes)
+    order = np.argsort(row, kind="stable")
+    ends = np.cumsum(np.bincount(row, minlength=len(points)))
+    return [part.tolist() for part in np.split(box[order], ends)[:len(points)]]
 
 
 def _k_nearest(r: np.ndarray, d: np.ndarray, k: int):
@@ -161,11 +169,61 @@ def _k_nearest(r: np.ndarray, d: np.ndarray, k: int):
     return [np.concatenate(x) for x in zip(*found)]
 
 
+def _block(x: pd.Series, width: int) -> np.ndarray:
+    return np.array(x.tolist(), dtype=float).reshape(-1, width)
+
+
+def _by_top(df: DataFrame, key: str, beside: DataFrame, rows: int):
+    """``df`` by (top, lane), cogrouped with ``beside``, which has one row for each top box.
+
+    A top box has as many lanes as keep a group near ``rows`` rows. One count per top box reaches the driver.
+    """
+    counts = df.groupBy("top").agg(F.count(F.lit(1)).alias("n")).collect()
+    lanes = F.broadcast(df.sparkSession.createDataFrame(
+        [(r["top"], math.ceil(r["n"] / rows)) for r in counts], "top int, lanes int"))
+    dealt = df.join(lanes, "top").withColumn("lane", F.pmod(F.xxhash64(key), F.col("lanes")).cast("int")).drop("lanes")
+    copies = (beside.join(lanes, "top").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+              .drop("lanes"))
+    return dealt.groupBy("top", "lane").cogroup(copies.groupBy("top", "lane"))
+
+
+def _sub_trees(donors: DataFrame, share: float, box_rows: int, width: int) -> DataFrame:
+    """(top, tree): the splits of each top box, learnt in its own group from some rows per box."""
+    sizes = donors.groupBy("top").agg(F.count(F.lit(1)).alias("size"))
+    some = donors.select("top", "x").sample(min(1.0, share), seed=11).join(F.broadcast(sizes), "top")
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = _learn_splits(_block(rows["x"], width), math.ceil(rows["size"].iat[0] / box_rows))
+        return pd.DataFrame({"top": rows["top"].iloc[:1].to_numpy(), "tree": [cloudpickle.dumps(nodes)]})
+
+    return some.groupBy("top").applyInPandas(learn, "top int, tree binary")
+
+
+def _with_box(df: DataFrame, key: str, trees: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df`` with its box: the top box and, below it, the box of that top box's tree. Without a tree, the top box is all."""
+    def place(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        below = np.zeros(len(points), np.int64)
+        if len(tree) and len(points):
+            below = _box_of(cloudpickle.loads(tree["tree"].iat[0]), _block(points["x"], width)).astype(np.int64)
+        return points.drop(columns="lane").assign(box=(points["top"].to_numpy(np.int64) << 32) + below)
+
+    fields = [*df.schema.fields, T.StructField("box", T.LongType())]
+    return _by_top(df, key, trees, rows).applyInPandas(place, T.StructType(fields))
+
+
+def _leaf_outlines(stats: pd.DataFrame, ids: np.ndarray, width: int) -> tuple:
+    """(ids, low, high, filled, some) of boxes from their statistics."""
+    side = lambda name: np.stack([stats[f"{name}{j}"].to_numpy(float) for j in range(width)], axis=1)
+    known, n = side("c"), stats["n"].to_numpy(float)[:, None]
+    return ids, side("lo"), side("hi"), known == n, known > 0
+
+
 def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str, features: list[str],
-                   k: int = 5, box_rows: int = 2048) -> DataFrame:
+                   k: int = 5, box_rows: int = 2048, top_boxes: int = 1024) -> DataFrame:
     """(key, nearest): for each receiver its k nearest donors as array of (distance, donor, value).
 
-    Runs small jobs to lay out the boxes; the result is lazy.
+    Runs small jobs to lay out the boxes; the result is lazy. The driver holds some 40 sampled donors and one outline for
+    each of at most ``top_boxes`` top boxes. Below them the boxes follow the donors, about ``box_rows`` in each.
     """
     spark = donors.sparkSession
     width = len(features)
@@ -177,64 +235,110 @@ def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str
     donors = stage(donors.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "donors")
 
     total = donors.count()
-    boxes = max(1, math.ceil(total / box_rows))
-    # some rows per box shape the boxes; their number follows the donors'
-    share = 1.2 * SAMPLE_PER_BOX * boxes / max(total, 1)
-    sample = donors.select("x").sample(min(1.0, share), seed=7).toPandas()["x"]
-    points = np.array(sample.tolist(), dtype=float).reshape(-1, width)
-    nodes = spark.sparkContext.broadcast(_learn_splits(points, boxes))
+    if not total:
+        return receivers.select(F.col("receiver").alias(key), F.array().cast(
+            "array<struct<d:double,donor:bigint,value:double>>").alias("nearest"))
+    boxes = math.ceil(total / box_rows)
+    tops = min(boxes, top_boxes)
+    per_box = 1.2 * SAMPLE_PER_BOX / total
+    sample = donors.select("x").sample(min(1.0, per_box * tops), seed=7).toPandas()["x"]
+    nodes = spark.sparkContext.broadcast(_learn_splits(_block(sample, width), tops))
 
     @F.pandas_udf("int")
-    def box_of(x: pd.Series) -> pd.Series:
-        return pd.Series(_box_of(nodes.value, np.array(x.tolist(), dtype=float).reshape(-1, width)))
+    def top_of(x: pd.Series) -> pd.Series:
+        return pd.Series(_box_of(nodes.value, _block(x, width)))
+
+    donors_in, receivers_in = donors.withColumn("top", top_of("x")), receivers.withColumn("top", top_of("x"))
+    deep = boxes > tops
+    if deep:
+        routed = stage(donors_in, "donors"), stage(receivers_in, "receivers")
+        donors_in, receivers_in = routed
+        trees = stage(_sub_trees(donors_in, per_box * boxes, box_rows, width), "trees")
+        lane = 16 * box_rows
+        donors_in = stage(_with_box(donors_in, "donor", trees, lane, width), "donors")
+        receivers_in = stage(_with_box(receivers_in, "receiver", trees, lane, width), "receivers")
+        unstage(donors, *routed)
+    else:
+        whole = F.shiftleft(F.col("top").cast("long"), 32)
+        donors_in, receivers_in = donors_in.withColumn("box", whole), stage(receivers_in.withColumn("box", whole), "receivers")
 
-    donors_in = donors.withColumn("box", box_of("x"))
     shape = [F.count(F.lit(1)).alias("n")]
     for j in range(width):
         v = F.when(~F.isnan(F.col("x")[j]), F.col("x")[j])
         shape += [F.min(v).alias(f"lo{j}"), F.max(v).alias(f"hi{j}"), F.count(v).alias(f"c{j}")]
-    stats = donors_in.groupBy("box").agg(*shape).toPandas().set_index("box").sort_index()  # one row per box
-    if stats.empty:
-        return receivers.select(F.col("receiver").alias(key), F.array().cast(
-            "array<struct<d:double,donor:bigint,value:double>>").alias("nearest"))
-    splits = {int(b): int(math.ceil(n / (2 * box_rows))) for b, n in stats["n"].items()}
+    stats = stage(donors_in.groupBy("top", "box").agg(*shape), "outlines")  # one row per box
 
-    receivers_in = stage(receivers.withColumn("box", box_of("x")), "receivers")
-    first = stage(_visit(receivers_in, donors_in, splits, k, box_rows), "visits")
+    first = stage(_visit(receivers_in, donors_in, stats, k, box_rows), "visits")
     if boxes == 1:
         return _best(first, k).select(F.col("receiver").alias(key), "nearest")
     # every receiver goes on, also one whose own box gave nothing
     met = receivers_in.join(_best(first, k), "receiver", "left")
     bound = F.when(F.size("nearest") >= k, F.element_at("nearest", -1)["d"]).otherwise(F.lit(float("inf")))
+    met = met.withColumn("bound", bound)
 
-    ids = stats.index.to_numpy(np.int32)
-    low = np.stack([stats[f"lo{j}"].to_numpy(float) for j in range(width)], axis=1)
-    high = np.stack([stats[f"hi{j}"].to_numpy(float) for j in range(width)], axis=1)
-    filled = np.stack([(stats[f"c{j}"] == stats["n"]).to_numpy() for j in range(width)], axis=1)
-    some = np.stack([(stats[f"c{j}"] > 0).to_numpy() for j in range(width)], axis=1)
-    outlines = spark.sparkContext.broadcast(_outlines(nodes.value, (ids, low, high, filled, some)))
+    merged = [F.sum("n").alias("n")]
+    for j in range(width):
+        merged += [F.min(f"lo{j}").alias(f"lo{j}"), F.max(f"hi{j}").alias(f"hi{j}"), F.sum(f"c{j}").alias(f"c{j}")]
+    tops_met = stats.groupBy("top").agg(*merged).toPandas()  # one row per top box
+    outlines = spark.sparkContext.broadcast(_outlines(nodes.value, _leaf_outlines(tops_met, tops_met["top"].to_numpy(), width)))
 
     @F.pandas_udf("array<int>")
     def others(x: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
-        block = np.array(x.tolist(), dtype=float).reshape(-1, width)
-        return pd.Series(_reachable(nodes.value, outlines.value, block, home.to_numpy(), limit.to_numpy(float)))
-
-    onward = stage(met.withColumn("bound", bound)
-                   .select("receiver", "x", F.explode(others("x", "box", "bound")).alias("box")), "onward")
-    second = _visit(onward, donors_in, splits, k, box_rows)
+        return pd.Series(_reachable(nodes.value, outlines.value, _block(x, width), home.to_numpy(), limit.to_numpy(float)))
+
+    # a top box that is split has more than the box already visited, so that the receiver's own one counts too
+    home = F.lit(-1) if deep else F.col("top")
+    onward = met.select("receiver", "x", "bound", F.col("box").alias("home"), F.explode(others("x", home, "bound")).alias("top"))
+    if deep:
+        above = stage(onward, "onward")
+        onward = stage(_boxes_below(above, stats, trees, lane, width), "onward")
+        unstage(above, trees)
+    else:
+        onward = stage(onward.select("receiver", "x", F.shiftleft(F.col("top").cast("long"), 32).alias("box")), "onward")
+    second = _visit(onward, donors_in, stats, k, box_rows)
+    unstage(stats)
     return _best(first.unionByName(second), k).select(F.col("receiver").alias(key), "nearest")
 
 
-def _visit(receivers: DataFrame, donors: DataFrame, splits: dict[int, int], k: int, box_rows: int) -> DataFrame:
+def _boxes_below(onward: DataFrame, stats: DataFrame, trees: DataFrame, rows: int, width: int) -> DataFrame:
+    """(receiver, x, box) for each box in the receiver's top boxes, its own left out, that may hold a nearer donor."""
+    def outline(tree: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        if tree.empty or boxes.empty:
+            return pd.DataFrame({"top": [], "tree": []})
+        nodes = cloudpickle.loads(tree["tree"].iat[0])
+        found = _outlines(nodes, _leaf_outlines(boxes, boxes["box"].to_numpy() & 0xFFFFFFFF, width))
+        return pd.DataFrame({"top": tree["top"].to_numpy(), "tree": [cloudpickle.dumps((nodes, found))]})
+
+    drawn = stage(trees.groupBy("top").cogroup(stats.groupBy("top")).applyInPandas(outline, "top int, tree binary"), "outlines")
+    kind = onward.schema["receiver"].dataType
+    out = T.StructType([T.StructField("receiver", kind), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("box", T.LongType())])
+
+    def descend(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        top, home = points["top"].to_numpy(np.int64), points["home"].to_numpy(np.int64)
+        if tree.empty:  # a top box without a tree is one box
+            away = points[home != top << 32]
+            return pd.DataFrame({"receiver": away["receiver"], "x": away["x"], "box": away["top"].to_numpy(np.int64) << 32})
+        nodes, found = cloudpickle.loads(tree["tree"].iat[0])
+        own = np.where(home >> 32 == top, home & 0xFFFFFFFF, -1)
+        boxes = _reachable(nodes, found, _block(points["x"], width), own, points["bound"].to_numpy(float))
+        lengths = np.fromiter(map(len, boxes), np.int64, len(boxes))
+        at = np.repeat(np.arange(len(points)), lengths)
+        below = np.fromiter((b for some in boxes for b in some), np.int64, len(at))
+        return pd.DataFrame({"receiver": points["receiver"].to_numpy()[at], "x": points["x"].to_numpy()[at],
+                             "box": (top[at] << 32) + below})
+
+    return _by_top(onward, "receiver", drawn, rows).applyInPandas(descend, out)
+
+
+def _visit(receivers: DataFrame, donors: DataFrame, stats: DataFrame, k: int, box_rows: int) -> DataFrame:
     """k nearest donors of each receiver within its box: (receiver, d, donor, value).
 
     A large box is cut into donor parts, and its receivers into lanes, so that the size of a task
     stays bounded however the rows are distributed.
     """
-    visitors = receivers.groupBy("box").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per box
-    plan = [(row["box"], splits[row["box"]], math.ceil(row["n"] / (4 * box_rows)))
-            for row in visitors if row["box"] in splits]
-    layout = F.broadcast(receivers.sparkSession.createDataFrame(plan, "box int, parts int, lanes int"))
+    visitors = receivers.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / (4 * box_rows)).cast("int").alias("lanes"))
+    parts = stats.select("box", F.ceil(F.col("n") / (2 * box_rows)).cast("int").alias("parts"))
+    layout = small_side(visitors.join(parts, "box"))  # one row per box
     r = (receivers.join(layout, "box").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
          .withColumn("lane", F.pmod(F.xxhash64("receiver"), F.col("lanes")).cast("int")))
     d = (donors.join(layout, "box").withColumn("part", F.pmod(F.xxhash64("donor"), F.col("parts")).cast("int"))
@@ -272,10 +376,10 @@ def neighbour_mean(nearest: str = "nearest"):
 
 
 def fill_knn(df: DataFrame, target: str, features: list[str], key: str, k: int = 5,
-             box_rows: int = 2048) -> DataFrame:
+             box_rows: int = 2048, top_boxes: int = 1024) -> DataFrame:
     """Null targets become the mean of the k nearest rows that have one; if nothing is comparable, the mean of all."""
     gaps, known = df.where(F.col(target).isNull()), df.where(F.col(target).isNotNull())
-    found = nearest_donors(gaps, known, key, target, features, k, box_rows)
+    found = nearest_donors(gaps, known, key, target, features, k, box_rows, top_boxes)
     mean = known.agg(F.avg(target)).scalar()
     filled = gaps.join(found, key, "left").withColumn(target, F.coalesce(neighbour_mean(), mean))
     kind = df.schema[target].dataType
