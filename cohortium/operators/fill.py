@@ -126,11 +126,8 @@ def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str
     ``tol`` times the largest absolute value; it needs no pass per round where the missing patterns are few enough for
     ``chained_lines``, with the same result.
     """
-    labels: dict[str, list[str]] = {}
-    work = df
-    if categorical:
-        work, labels = category_index(df, list(categorical))
-    numbers = [*cols, *[c + "_idx" for c in labels]]
+    work, labels = category_index(df, list(categorical)) if categorical else (df, None)
+    numbers = [*cols, *[c + "_idx" for c in categorical]]
     now = {c: f"_f{i}" for i, c in enumerate(numbers)}
     miss = {c: f"_m{i}" for i, c in enumerate(numbers)}
     facts = work.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(numbers)],
@@ -184,9 +181,10 @@ def fill_chained(df: DataFrame, cols: list[str], rounds: int = 10, learner: str
     for c in cols:
         if c in usable:
             out[c] = F.col(now[c])
-    for c, names in labels.items():
+    for c in categorical:
         if c + "_idx" in usable:
-            out[c] = F.coalesce(F.col(c), restore_labels(F.col(now[c + "_idx"]), names))
+            work = restore_labels(work, F.col(now[c + "_idx"]), labels, c, f"_{c}_filled")
+            out[c] = F.coalesce(F.col(c), F.col(f"_{c}_filled"))
     return work.withColumns(out).select(*df.columns)
 
 

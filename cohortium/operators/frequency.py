@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import stage, unstage
+
+BROADCAST_LABELS = 200_000
 
 
 def relative_frequency(df: DataFrame, c: str, missing: str = "Missing") -> DataFrame:
@@ -43,23 +50,57 @@ def most_frequent(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFra
         *by, "column", F.col("b.value").alias("value"), (-F.col("b.m")).alias("n"))
 
 
-def category_index(df: DataFrame, cols: list[str], suffix: str = "_idx") -> tuple[DataFrame, dict[str, list[str]]]:
+@dataclass
+class Labels:
+    """Labels of several columns, indexed from zero in alphabetical order: (column, label, idx) and their number by column.
+
+    The table stays in the shared folder; the driver holds one number per column.
+    """
+    table: DataFrame
+    sizes: dict[str, int]
+
+    def of(self, c: str) -> DataFrame:
+        """(_label, _idx) of one column, hinted for broadcast when it is small."""
+        side = self.table.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("idx").alias("_idx"))
+        return F.broadcast(side) if self.sizes.get(c, 0) <= BROADCAST_LABELS else side
+
+
+def label_table(df: DataFrame, cols: list[str]) -> Labels:
+    """The distinct values of each column with their ranks, however many there are.
+
+    They are sorted by range partitions; a rank is the place within the partition plus the counts of those before, of which
+    there is one row for each column and partition.
+    """
+    spark = df.sparkSession
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    distinct = texts.unpivot([], cols, "column", "label").where("label is not null").distinct()
+    ordered = (distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "column", "label")
+               .sortWithinPartitions("column", "label"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = stage(ordered.select("column", "label", F.spark_partition_id().alias("part"), place.alias("place")), "labels")
+    counts = placed.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("column").orderBy("part")) - F.col("n")
+    starts = counts.select("column", "part", (before - F.col("least")).alias("start"))
+    table = stage(placed.join(F.broadcast(starts), ["column", "part"])
+                  .select("column", "label", (F.col("start") + F.col("place")).cast("int").alias("idx")), "labels")
+    sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unstage(placed)
+    return Labels(table, sizes)
+
+
+def category_index(df: DataFrame, cols: list[str], suffix: str = "_idx") -> tuple[DataFrame, Labels]:
     """Adds a zero-based index per column in alphabetical order; nulls stay null. Returns the labels too."""
-    from pyspark.ml.feature import StringIndexer
+    labels = label_table(df, cols)
     out = df
-    labels = {}
-    indexer = StringIndexer(inputCols=cols, outputCols=[c + suffix for c in cols],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-    model = indexer.fit(df.select(*cols))
-    out = model.transform(out)
-    for c, names in zip(cols, model.labelsArray):
-        labels[c] = list(names)
-        index = F.when(F.col(c).isNotNull(), F.col(c + suffix).cast("int"))
-        out = out.withColumn(c + suffix, index)
+    for c in cols:
+        out = (out.drop(c + suffix).join(labels.of(c), F.col(c).cast("string") == F.col("_label"), "left")
+               .withColumnRenamed("_idx", c + suffix).drop("_label"))
     return out, labels
 
 
-def restore_labels(index: Column, labels: list[str]) -> Column:
+def restore_labels(df: DataFrame, index: Column, labels: Labels, c: str, to: str) -> DataFrame:
+    """Adds the label of the nearest valid index of column ``c``; null for a null index."""
     from ..functions import class_index
-    known = F.array(*[F.lit(x) for x in labels])
-    return F.when(index.isNotNull(), F.get(known, class_index(index.cast("double"), len(labels))))
+    at = class_index(index.cast("double"), labels.sizes.get(c, 0))
+    return (df.withColumn("_at", F.when(index.isNotNull(), at)).join(labels.of(c), F.col("_at") == F.col("_idx"), "left")
+            .drop("_at", "_idx").withColumnRenamed("_label", to))

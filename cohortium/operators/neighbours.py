@@ -393,8 +393,8 @@ def fill_knn_category(df: DataFrame, target: str, features: list[str], key: str,
     from .frequency import category_index, restore_labels
     indexed, labels = category_index(df, [target])
     filled = fill_knn(indexed, target + "_idx", features, key, k)
-    label = F.coalesce(F.col(target), restore_labels(F.col(target + "_idx"), labels[target]))
-    return filled.withColumn(target, label).drop(target + "_idx")
+    named = restore_labels(filled, F.col(target + "_idx"), labels, target, "_filled")
+    return named.withColumn(target, F.coalesce(target, "_filled")).drop(target + "_idx", "_filled")
 
 
 class NeighbourRegressor:

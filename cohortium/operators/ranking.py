@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.classification import RandomForestClassifier
@@ -42,23 +44,66 @@ def bin_columns(df: DataFrame, cols: list[str], bins: int = 10) -> dict[str, Col
     return out
 
 
+def _joint_counts(binned: DataFrame, pairs: list[tuple[str, str]], coded: dict[str, int]) -> DataFrame:
+    """(pair, x, y, n): how often the values of each pair of columns meet, counted batch by batch.
+
+    ``coded`` columns hold bin numbers 0..size-1: a partition keeps one array of counts for each pair of them. The values of
+    texts are counted within a batch, so that no task holds all of them.
+    """
+    def count(batches):
+        held = {i: np.zeros(coded[x] * coded[y], np.int64) for i, (x, y) in enumerate(pairs) if x in coded and y in coded}
+
+        def rows(i, joint, n, x_names, y_names, width):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(joint), i, np.int32)), x_names.take(pa.array(joint // width)),
+                 y_names.take(pa.array(joint % width)), pa.array(n, pa.int64())], ["pair", "x", "y", "n"])
+
+        numbers = {c: pa.array([str(v) for v in range(size)]) for c, size in coded.items()}
+        for batch in batches:
+            codes, names = {}, dict(numbers)
+            for c in batch.schema.names:
+                column = batch.column(c)
+                if c not in coded:
+                    column = column.dictionary_encode()
+                    names[c], column = column.dictionary, column.indices
+                codes[c] = column.to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, (x, y) in enumerate(pairs):
+                joint = codes[x] * len(names[y]) + codes[y]
+                if i in held:
+                    held[i] += np.bincount(joint, minlength=len(held[i]))
+                elif len(joint):
+                    yield rows(i, *np.unique(joint, return_counts=True), names[x], names[y], len(names[y]))
+        for i, counts in held.items():
+            x, y = pairs[i]
+            met = np.flatnonzero(counts)
+            yield rows(i, met, counts[met], numbers[x], numbers[y], coded[y])
+
+    counted = binned.mapInArrow(count, "pair int, x string, y string, n bigint")
+    return counted.groupBy("pair", "x", "y").agg(F.sum("n").cast("double").alias("n"))
+
+
 def mutual_information(df: DataFrame, features: list[str], targets: list[str], bins: int = 10) -> DataFrame:
-    """(target, feature, mi) from joint bin counts. One aggregate over the long frame, then a few rows."""
+    """(target, feature, mi) from joint bin counts; null is a bin of its own.
+
+    Rows are counted where they lie. Both margins and their entropies are sums by group, so that no value's rows and no
+    pair's values are gathered.
+    """
     cols = list(dict.fromkeys([*features, *targets]))
+    pairs = [(f, t) for t in targets for f in features if f != t]
     label = bin_columns(df, cols, bins)
-    binned = df.select(*[label[c].alias(c) for c in cols])
-    pairs = F.array(*[
-        F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(t).alias("y"))
-        for t in targets for f in features if f != t])
-    joint = (binned.select(F.inline(pairs)).groupBy("target", "feature", "x", "y")
-             .agg(F.count(F.lit(1)).cast("double").alias("n")))
-    pair = Window.partitionBy("target", "feature")
-    met = joint.select(
-        "target", "feature", "n", F.sum("n").over(pair).alias("all"),
-        F.sum("n").over(Window.partitionBy("target", "feature", "x")).alias("nx"),
-        F.sum("n").over(Window.partitionBy("target", "feature", "y")).alias("ny"))
-    term = F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))
-    return met.groupBy("target", "feature").agg(F.sum(term).alias("mi"))
+    coded = {c: bins + 1 for c in cols if not _text(df, c)}  # the last number stands for null
+    binned = df.select(*[(F.when(F.col(c).isNull(), bins).otherwise(label[c].cast("int")) if c in coded else label[c]).alias(c)
+                         for c in cols])
+    joint = _joint_counts(binned, pairs, coded)
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).alias("label"))
+    margins = (joint.select("pair", "n", F.inline(F.array(side("x"), side("y")))).groupBy("pair", "side", "label")
+               .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("both")))
+    first = F.col("side") == "x"
+    sums = margins.groupBy("pair").agg(F.sum(F.when(first, F.col("m"))).alias("all"), F.sum(F.when(first, F.col("both"))).alias("both"),
+                                       F.sum(F.col("m") * F.log("m")).alias("alone"))
+    mi = F.greatest(F.lit(0.0), (F.col("both") - F.col("alone")) / F.col("all") + F.log("all"))
+    names = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature")) for f, t in pairs])
+    return sums.select(names[F.col("pair")].alias("name"), mi.alias("mi")).select("name.target", "name.feature", "mi")
 
 
 def usable_targets(df: DataFrame, targets: list[str]) -> list[str]:

@@ -40,10 +40,11 @@ def interactions(df: DataFrame, group: str, levels: list, markers: dict[str, str
 
 
 def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str],
-                     pairs: list[tuple] = ()) -> PipelineModel:
+                     pairs: list[tuple] = (), max_labels: int = 10_000) -> PipelineModel:
     """Numbers: mean fill and z-score. Categories: most frequent fill and one-hot, unseen values all zero.
 
-    ``pairs`` are (category, number, name) products. Other columns pass through untouched. All
+    The model keeps every label and a slot for it. A column of more than ``max_labels`` values raises ``ValueError``: group
+    its rare values first (``group_rare``) or index it (``category_index``), which keeps no list. ``pairs`` are (category, number, name) products. Other columns pass through untouched. All
     stages are built-in transformers, so the result saves and loads as a PipelineModel.
     """
     numeric = [c for c in numeric if c in df.columns]
@@ -51,6 +52,11 @@ def fit_preprocessor(df: DataFrame, numeric: list[str], categorical: list[str],
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first().asDict()
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c] or 0.0)).alias(c) for c in numeric])
     moments, _ = standardise(filled, numeric)
+    if categorical:
+        about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first().asDict()
+        wide = [c for c, n in about.items() if n > max_labels]
+        if wide:
+            raise ValueError(f"more than {max_labels} values to encode: {', '.join(wide)}")
     modes = fit_fill(df, categorical, "mode") if categorical else {}
     z = [f"(coalesce(cast(`{c}` AS double), {float(means[c] or 0.0)!r}D) - {m!r}D) / {s!r}D AS `{c}__z`"
          for c, (m, s) in moments.items()]

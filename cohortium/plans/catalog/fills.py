@@ -292,8 +292,20 @@ def chained_forest(spark, sf_dir):
   CASE WHEN o_orderpriority IS NOT NULL THEN o_orderpriority END AS restored FROM g""")
 def index(spark, sf_dir):
     indexed, labels = category_index(gaps(spark, sf_dir), ["o_orderpriority"])
-    return indexed.select("o_orderkey", F.col("o_orderpriority_idx").alias("idx"),
-                          restore_labels(F.col("o_orderpriority_idx"), labels["o_orderpriority"]).alias("restored"))
+    named = restore_labels(indexed, F.col("o_orderpriority_idx"), labels, "o_orderpriority", "restored")
+    return named.select("o_orderkey", F.col("o_orderpriority_idx").alias("idx"), "restored")
+
+
+@query("i6_many_labels", """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN CAST(l_orderkey AS VARCHAR) END AS c
+  FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN c IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY c NULLS LAST) - 1 AS INT) END AS idx,
+  c AS restored FROM l""")
+def index_of_many(spark, sf_dir):
+    """A column whose labels grow with the table: indexed and restored by joins, none of them on the driver."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 2, F.col("l_orderkey").cast("string")).alias("c"))
+    indexed, labels = category_index(lines, ["c"])
+    return restore_labels(indexed, F.col("c_idx"), labels, "c", "restored").select(
+        "l_orderkey", "l_linenumber", F.col("c_idx").alias("idx"), "restored")
 
 
 @query("i7_fill_report", f"""WITH g AS ({GAPS_SQL}), t AS (SELECT o_orderstatus, (o_totalprice IS NULL)::INT + (o_custkey IS NULL)::INT AS b,
