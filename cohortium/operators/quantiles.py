@@ -32,50 +32,53 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     keys = [*by, "column"]
     long = to_long(df, cols, by)
     slack = 2.0 / ACCURACY
+    order = sorted(range(len(probs)), key=lambda k: probs[k])
     ends = [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
     aggs, rows = [], []
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
         v = F.when(~F.isnan(v), v)
         aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, ends, ACCURACY).alias(f"e{i}")]
-        slots = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(f"e{i}")[2 * k].alias("low"),
-                                   F.col(f"e{i}")[2 * k + 1].alias("high")) for k, p in enumerate(probs)])
-        rows.append(F.struct(F.lit(c).alias("_column"), F.col(f"n{i}").alias("n"), slots.alias("slots")))
+        rows.append(F.struct(F.lit(c).alias("_column"), F.col(f"n{i}").alias("n"),
+                             F.array(*[F.col(f"e{i}")[2 * k] for k in order]).alias("lows"),
+                             F.array(*[F.col(f"e{i}")[2 * k + 1] for k in order]).alias("highs")))
     # all columns in one wide aggregate, then one row per (group, column) with all its brackets
     sketch = (df.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(*aggs)
               .select(*[f"_{b}" for b in by], F.inline(F.array(*rows))))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    met = long.join(small_side(sketch), same).select(*keys, "value", "n", F.explode("slots").alias("s"))
-    zone = F.when(F.col("value") < F.col("s.low"), -1).when(F.col("value") > F.col("s.high"), 1).otherwise(0)
-    # the band is cut into strips, so that no task orders more than a strip of it
-    along = F.try_divide(F.col("value") - F.col("s.low"), F.col("s.high") - F.col("s.low"))
-    strip = F.when(F.col("zone") == 0, F.floor(F.coalesce(along, F.lit(0.0)) * STRIPS)).otherwise(F.col("zone") * (STRIPS + 1))
-    counted = (met.withColumn("zone", zone).withColumn("strip", strip)
-               .groupBy(*keys, F.col("s.prob").alias("prob"), "n", "zone", "strip",
-                        F.when(F.col("zone") == 0, F.col("value")).alias("inside"))
+    met = long.join(small_side(sketch), same)
+    # each value goes to one place: its strip of a bracket, or the gap behind the brackets below it. A bracket is cut into
+    # strips, so that no task orders more than a strip of it
+    begun = sum(((F.col("lows")[i] <= F.col("value")).cast("int") for i in range(len(probs))), F.lit(0))
+    ended = sum(((F.col("highs")[i] < F.col("value")).cast("int") for i in range(len(probs))), F.lit(0))
+    low, high = (F.get(side, F.col("begun") - 1) for side in ("lows", "highs"))
+    along = F.coalesce(F.try_divide(F.col("value") - low, high - low), F.lit(0.0))
+    strip = F.col("begun") * (STRIPS + 2) + F.when(F.col("held"), F.floor(along * STRIPS)).otherwise(STRIPS + 1)
+    counted = (met.withColumn("begun", begun).withColumn("held", F.col("begun") > ended)
+               .groupBy(*keys, "n", strip.alias("strip"), F.when(F.col("held"), F.col("value")).alias("inside"))
                .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi")))
-    # the two outer zones are one row each; the value next to the bracket stands for them
-    counted = counted.withColumn("value", F.when(F.col("zone") < 0, F.col("hi")).otherwise(F.col("lo")))
-    strips = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("prob").alias("_prob"), F.col("strip").alias("_strip")).agg(
-        F.sum("c").alias("in_strip"))
-    before = F.sum("in_strip").over(Window.partitionBy(*[f"_{k}" for k in keys], "_prob").orderBy("_strip")
+    strips = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("strip").alias("_strip")).agg(F.sum("c").alias("in_strip"))
+    before = F.sum("in_strip").over(Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_strip")
                                     .rowsBetween(Window.unboundedPreceding, -1))
     strips = strips.withColumn("before", F.coalesce(before, F.lit(0)))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "prob", "strip"]]
-    upto = F.sum("c").over(Window.partitionBy(*keys, "prob", "strip").orderBy("value")
-                           .rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "strip"]]
+    upto = F.sum("c").over(Window.partitionBy(*keys, "strip").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0))
     ranks = counted.withColumn("upto", upto).join(strips, same).withColumn("last", F.col("before") + F.col("upto"))
     ranks = ranks.withColumn("first", F.col("last") - F.col("c") + 1)
 
     def at(rank):
-        return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("value")))
+        # a gap is one row; only its ends, next to a bracket, can be asked for
+        value = F.when(F.col("inside").isNotNull() | (rank == F.col("first")), F.col("lo")).when(rank == F.col("last"), F.col("hi"))
+        return F.max(F.when(rank.between(F.col("first"), F.col("last")), value))
 
-    if not interpolate:
-        rank = F.greatest(F.ceil(F.col("prob") * F.col("n")), F.lit(1))
-        return ranks.groupBy(*keys, "prob").agg(at(rank).alias("quantile"))
-    spot = F.col("prob") * (F.col("n") - 1)
-    picked = ranks.groupBy(*keys, "prob").agg(
-        at(F.floor(spot) + 1).alias("lo"), at(F.ceil(spot) + 1).alias("hi"),
-        F.first(spot - F.floor(spot)).alias("part"))
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
-    return picked.select(*keys, "prob", value.alias("quantile"))
+    n, picked, out = F.col("n"), [], []
+    for i, p in enumerate(map(float, probs)):
+        spot = F.lit(p) * (n - 1)
+        if interpolate:
+            picked += [at(F.floor(spot) + 1).alias(f"a{i}"), at(F.ceil(spot) + 1).alias(f"b{i}")]
+            value = F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (spot - F.floor(spot))
+        else:
+            picked.append(at(F.greatest(F.ceil(F.lit(p) * n), F.lit(1))).alias(f"a{i}"))
+            value = F.col(f"a{i}")
+        out.append(F.struct(F.lit(p).alias("prob"), value.alias("quantile")))
+    return ranks.groupBy(*keys, "n").agg(*picked).select(*keys, F.inline(F.array(*out)))
