@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage, unstage
 from .moments import centred, moment_groups
+from .neighbours import NeighbourRegressor
 from .transform import add_fold
 
 FITS_AT_ONCE = 4
@@ -150,7 +151,9 @@ def boosted_sampled(trees: int = 300, depth: int = 6, rate: float = 0.05, featur
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=seed)
 
 
-def default_bases(label: str = "label") -> dict:
+def default_bases(label: str = "label", key: str | None = None) -> dict:
+    """The usual base models; with a key also the nearest rows."""
+    nearest = {"nearest": NeighbourRegressor("features", label, key)} if key else {}
     return {
         "ridge": LinearFamily("ridge", 1.0, label=label),
         "lasso": LinearFamily("lasso", 0.01, label=label),
@@ -159,6 +162,7 @@ def default_bases(label: str = "label") -> dict:
         "forest": forest(label=label),
         "boosted": boosted(label=label),
         "boosted_sampled": boosted_sampled(label=label),
+        **nearest,
     }
 
 

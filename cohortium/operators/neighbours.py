@@ -15,12 +15,14 @@ by all / shared features. Equal distances are ordered by donor key.
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,7 @@ from pyspark.sql.window import Window
 from ..session import small_side, stage, unstage
 
 SAMPLE_PER_BOX = 32
+INDEX = "nodes string, features array<string>, vector boolean, k int, box_rows int, mean double, deep boolean"
 
 # the helpers travel with the tasks, so workers need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -194,9 +197,9 @@ def _sub_trees(donors: DataFrame, share: float, box_rows: int, width: int) -> Da
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = _learn_splits(_block(rows["x"], width), math.ceil(rows["size"].iat[0] / box_rows))
-        return pd.DataFrame({"top": rows["top"].iloc[:1].to_numpy(), "tree": [cloudpickle.dumps(nodes)]})
+        return pd.DataFrame({"top": rows["top"].iloc[:1].to_numpy(), "tree": [json.dumps(nodes)]})
 
-    return some.groupBy("top").applyInPandas(learn, "top int, tree binary")
+    return some.groupBy("top").applyInPandas(learn, "top int, tree string")
 
 
 def _with_box(df: DataFrame, key: str, trees: DataFrame, rows: int, width: int) -> DataFrame:
@@ -204,7 +207,7 @@ def _with_box(df: DataFrame, key: str, trees: DataFrame, rows: int, width: int)
     def place(points: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         below = np.zeros(len(points), np.int64)
         if len(tree) and len(points):
-            below = _box_of(cloudpickle.loads(tree["tree"].iat[0]), _block(points["x"], width)).astype(np.int64)
+            below = _box_of(json.loads(tree["tree"].iat[0]), _block(points["x"], width)).astype(np.int64)
         return points.drop(columns="lane").assign(box=(points["top"].to_numpy(np.int64) << 32) + below)
 
     fields = [*df.schema.fields, T.StructField("box", T.LongType())]
@@ -218,86 +221,147 @@ def _leaf_outlines(stats: pd.DataFrame, ids: np.ndarray, width: int) -> tuple:
     return ids, side("lo"), side("hi"), known == n, known > 0
 
 
-def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str, features: list[str],
-                   k: int = 5, box_rows: int = 2048, top_boxes: int = 1024) -> DataFrame:
-    """(key, nearest): for each receiver its k nearest donors as array of (distance, donor, value).
+def _points(df: DataFrame, features: list[str] | str):
+    """The features as one array of doubles, NaN for null: columns, or one vector column."""
+    if isinstance(features, str):
+        return vector_to_array(F.col(features))
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+
+
+class DonorIndex:
+    """Donors in their boxes: laid out once, asked any number of times, saved and loaded.
 
-    Runs small jobs to lay out the boxes; the result is lazy. The driver holds some 40 sampled donors and one outline for
-    each of at most ``top_boxes`` top boxes. Below them the boxes follow the donors, about ``box_rows`` in each.
+    ``donors`` (donor, value, x, top, box), ``stats`` (one row per box) and ``trees`` (the splits below each top box, none
+    if the top boxes are all there are) are tables in the shared folder. The driver holds some 40 sampled donors and one
+    outline for each of at most ``top_boxes`` top boxes; below them the boxes follow the donors, about ``box_rows`` in each.
+    Of donors with equal features the first ``k`` by key are kept, as no other can be chosen. Rows are unique by key.
     """
-    spark = donors.sparkSession
-    width = len(features)
-    feats = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
-    donors = donors.select(F.col(key).alias("donor"), F.col(value).cast("double").alias("value"), feats.alias("x"))
-    receivers = receivers.select(F.col(key).alias("receiver"), feats.alias("x"))
-    # of donors with the same features only the first k by key can ever be chosen
-    rank = F.row_number().over(Window.partitionBy("x").orderBy("donor"))
-    donors = stage(donors.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "donors")
-
-    total = donors.count()
-    if not total:
-        return receivers.select(F.col("receiver").alias(key), F.array().cast(
-            "array<struct<d:double,donor:bigint,value:double>>").alias("nearest"))
-    boxes = math.ceil(total / box_rows)
-    tops = min(boxes, top_boxes)
-    per_box = 1.2 * SAMPLE_PER_BOX / total
-    sample = donors.select("x").sample(min(1.0, per_box * tops), seed=7).toPandas()["x"]
-    nodes = spark.sparkContext.broadcast(_learn_splits(_block(sample, width), tops))
-
-    @F.pandas_udf("int")
-    def top_of(x: pd.Series) -> pd.Series:
-        return pd.Series(_box_of(nodes.value, _block(x, width)))
-
-    donors_in, receivers_in = donors.withColumn("top", top_of("x")), receivers.withColumn("top", top_of("x"))
-    deep = boxes > tops
-    if deep:
-        routed = stage(donors_in, "donors"), stage(receivers_in, "receivers")
-        donors_in, receivers_in = routed
-        trees = stage(_sub_trees(donors_in, per_box * boxes, box_rows, width), "trees")
-        lane = 16 * box_rows
-        donors_in = stage(_with_box(donors_in, "donor", trees, lane, width), "donors")
-        receivers_in = stage(_with_box(receivers_in, "receiver", trees, lane, width), "receivers")
-        unstage(donors, *routed)
-    else:
-        whole = F.shiftleft(F.col("top").cast("long"), 32)
-        donors_in, receivers_in = donors_in.withColumn("box", whole), stage(receivers_in.withColumn("box", whole), "receivers")
-
-    shape = [F.count(F.lit(1)).alias("n")]
-    for j in range(width):
-        v = F.when(~F.isnan(F.col("x")[j]), F.col("x")[j])
-        shape += [F.min(v).alias(f"lo{j}"), F.max(v).alias(f"hi{j}"), F.count(v).alias(f"c{j}")]
-    stats = stage(donors_in.groupBy("top", "box").agg(*shape), "outlines")  # one row per box
-
-    first = stage(_visit(receivers_in, donors_in, stats, k, box_rows), "visits")
-    if boxes == 1:
-        return _best(first, k).select(F.col("receiver").alias(key), "nearest")
-    # every receiver goes on, also one whose own box gave nothing
-    met = receivers_in.join(_best(first, k), "receiver", "left")
-    bound = F.when(F.size("nearest") >= k, F.element_at("nearest", -1)["d"]).otherwise(F.lit(float("inf")))
-    met = met.withColumn("bound", bound)
-
-    merged = [F.sum("n").alias("n")]
-    for j in range(width):
-        merged += [F.min(f"lo{j}").alias(f"lo{j}"), F.max(f"hi{j}").alias(f"hi{j}"), F.sum(f"c{j}").alias(f"c{j}")]
-    tops_met = stats.groupBy("top").agg(*merged).toPandas()  # one row per top box
-    outlines = spark.sparkContext.broadcast(_outlines(nodes.value, _leaf_outlines(tops_met, tops_met["top"].to_numpy(), width)))
-
-    @F.pandas_udf("array<int>")
-    def others(x: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
-        return pd.Series(_reachable(nodes.value, outlines.value, _block(x, width), home.to_numpy(), limit.to_numpy(float)))
-
-    # a top box that is split has more than the box already visited, so that the receiver's own one counts too
-    home = F.lit(-1) if deep else F.col("top")
-    onward = met.select("receiver", "x", "bound", F.col("box").alias("home"), F.explode(others("x", home, "bound")).alias("top"))
-    if deep:
-        above = stage(onward, "onward")
-        onward = stage(_boxes_below(above, stats, trees, lane, width), "onward")
-        unstage(above, trees)
-    else:
-        onward = stage(onward.select("receiver", "x", F.shiftleft(F.col("top").cast("long"), 32).alias("box")), "onward")
-    second = _visit(onward, donors_in, stats, k, box_rows)
-    unstage(stats)
-    return _best(first.unionByName(second), k).select(F.col("receiver").alias(key), "nearest")
+
+    def __init__(self, donors: DataFrame, stats: DataFrame, trees: DataFrame | None, nodes: list, features: list[str] | str,
+                 k: int, box_rows: int, mean: float | None):
+        self.donors, self.stats, self.trees, self.nodes = donors, stats, trees, nodes
+        self.features, self.k, self.box_rows, self.mean = features, k, box_rows, mean
+
+    @staticmethod
+    def build(donors: DataFrame, key: str, value: str, features: list[str] | str, k: int = 5, box_rows: int = 2048,
+              top_boxes: int = 1024) -> "DonorIndex":
+        spark = donors.sparkSession
+        donors = donors.select(F.col(key).alias("donor"), F.col(value).cast("double").alias("value"), _points(donors, features).alias("x"))
+        rank = F.row_number().over(Window.partitionBy("x").orderBy("donor"))
+        # the mean is that of all donors, those included that can never be chosen
+        mean = donors.agg(F.avg("value")).first()[0]
+        donors = stage(donors.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "donors")
+        total, width = donors.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+        if not total:
+            return DonorIndex(donors, None, None, [], features, k, box_rows, mean)
+        boxes = math.ceil(total / box_rows)
+        tops = min(boxes, top_boxes)
+        per_box = 1.2 * SAMPLE_PER_BOX / total
+        sample = donors.select("x").sample(min(1.0, per_box * tops), seed=7).toPandas()["x"]
+        nodes = _learn_splits(_block(sample, width), tops)
+        routed = DonorIndex._routed(donors, spark.sparkContext.broadcast(nodes), width)
+        trees = None
+        if boxes > tops:
+            above = stage(routed, "donors")
+            trees = stage(_sub_trees(above, per_box * boxes, box_rows, width), "trees")
+            placed = stage(_with_box(above, "donor", trees, 16 * box_rows, width), "donors")
+            unstage(donors, above)
+        else:
+            placed = stage(routed.withColumn("box", F.shiftleft(F.col("top").cast("long"), 32)), "donors")
+            unstage(donors)
+        shape = [F.count(F.lit(1)).alias("n")]
+        for j in range(width):
+            v = F.when(~F.isnan(F.col("x")[j]), F.col("x")[j])
+            shape += [F.min(v).alias(f"lo{j}"), F.max(v).alias(f"hi{j}"), F.count(v).alias(f"c{j}")]
+        stats = stage(placed.groupBy("top", "box").agg(*shape), "outlines")  # one row per box
+        return DonorIndex(placed, stats, trees, nodes, features, k, box_rows, mean)
+
+    @staticmethod
+    def _routed(df: DataFrame, nodes, width: int) -> DataFrame:
+        @F.pandas_udf("int")
+        def top_of(x: pd.Series) -> pd.Series:
+            return pd.Series(_box_of(nodes.value, _block(x, width)))
+
+        return df.withColumn("top", top_of("x"))
+
+    def save(self, path: str) -> None:
+        """The boxes as Parquet in the order of their numbers, the split trees and outlines beside them."""
+        spark = self.donors.sparkSession
+        row = (json.dumps(self.nodes), [self.features] if isinstance(self.features, str) else list(self.features),
+               isinstance(self.features, str), self.k, self.box_rows, self.mean, self.trees is not None)
+        spark.createDataFrame([row], INDEX).write.mode("overwrite").json(f"{path}/index")
+        donors = self.donors.repartitionByRange("box").sortWithinPartitions("box") if self.nodes else self.donors
+        donors.write.mode("overwrite").parquet(f"{path}/donors")
+        for name in ("stats", "trees"):
+            if getattr(self, name) is not None:
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark, path: str) -> "DonorIndex":
+        row = spark.read.schema(INDEX).json(f"{path}/index").first()
+        nodes = json.loads(row["nodes"])
+        read = lambda name, there: spark.read.parquet(f"{path}/{name}") if there else None
+        return DonorIndex(read("donors", True), read("stats", bool(nodes)), read("trees", row["deep"]), nodes,
+                          row["features"][0] if row["vector"] else row["features"], row["k"], row["box_rows"], row["mean"])
+
+    def nearest(self, receivers: DataFrame, key: str) -> DataFrame:
+        """(key, nearest): for each receiver its k nearest donors as array of (distance, donor, value).
+
+        Runs small jobs to route the receivers; the result is lazy.
+        """
+        spark, k, box_rows = receivers.sparkSession, self.k, self.box_rows
+        receivers = receivers.select(F.col(key).alias("receiver"), _points(receivers, self.features).alias("x"))
+        if not self.nodes:
+            kind = self.donors.schema["donor"].dataType.simpleString()
+            return receivers.select(F.col("receiver").alias(key), F.array().cast(
+                f"array<struct<d:double,donor:{kind},value:double>>").alias("nearest"))
+        width = sum(name.startswith("lo") for name in self.stats.columns)
+        nodes, deep, lane = spark.sparkContext.broadcast(self.nodes), self.trees is not None, 16 * box_rows
+        asked = self._routed(receivers, nodes, width)
+        if deep:
+            above = stage(asked, "receivers")
+            asked = stage(_with_box(above, "receiver", self.trees, lane, width), "receivers")
+            unstage(above)
+        else:
+            asked = stage(asked.withColumn("box", F.shiftleft(F.col("top").cast("long"), 32)), "receivers")
+        first = stage(_visit(asked, self.donors, self.stats, k, box_rows), "visits")
+        if len(self.nodes) == 1 and not deep:
+            unstage(asked)
+            return _best(first, k).select(F.col("receiver").alias(key), "nearest")
+        # every receiver goes on, also one whose own box gave nothing
+        met = asked.join(_best(first, k), "receiver", "left")
+        bound = F.when(F.size("nearest") >= k, F.element_at("nearest", -1)["d"]).otherwise(F.lit(float("inf")))
+        met = met.withColumn("bound", bound)
+
+        merged = [F.sum("n").alias("n")]
+        for j in range(width):
+            merged += [F.min(f"lo{j}").alias(f"lo{j}"), F.max(f"hi{j}").alias(f"hi{j}"), F.sum(f"c{j}").alias(f"c{j}")]
+        tops_met = self.stats.groupBy("top").agg(*merged).toPandas()  # one row per top box
+        outlines = spark.sparkContext.broadcast(
+            _outlines(self.nodes, _leaf_outlines(tops_met, tops_met["top"].to_numpy(), width)))
+
+        @F.pandas_udf("array<int>")
+        def others(x: pd.Series, home: pd.Series, limit: pd.Series) -> pd.Series:
+            return pd.Series(_reachable(nodes.value, outlines.value, _block(x, width), home.to_numpy(), limit.to_numpy(float)))
+
+        # a top box that is split has more than the box already visited, so that the receiver's own one counts too
+        home = F.lit(-1) if deep else F.col("top")
+        onward = met.select("receiver", "x", "bound", F.col("box").alias("home"), F.explode(others("x", home, "bound")).alias("top"))
+        if deep:
+            above = stage(onward, "onward")
+            onward = stage(_boxes_below(above, self.stats, self.trees, lane, width), "onward")
+            unstage(above)
+        else:
+            onward = stage(onward.select("receiver", "x", F.shiftleft(F.col("top").cast("long"), 32).alias("box")), "onward")
+        unstage(asked)
+        second = _visit(onward, self.donors, self.stats, k, box_rows)
+        return _best(first.unionByName(second), k).select(F.col("receiver").alias(key), "nearest")
+
+
+def nearest_donors(receivers: DataFrame, donors: DataFrame, key: str, value: str, features: list[str] | str,
+                   k: int = 5, box_rows: int = 2048, top_boxes: int = 1024) -> DataFrame:
+    """(key, nearest): for each receiver its k nearest donors as array of (distance, donor, value); see ``DonorIndex``."""
+    return DonorIndex.build(donors, key, value, features, k, box_rows, top_boxes).nearest(receivers, key)
 
 
 def _boxes_below(onward: DataFrame, stats: DataFrame, trees: DataFrame, rows: int, width: int) -> DataFrame:
@@ -305,7 +369,7 @@ def _boxes_below(onward: DataFrame, stats: DataFrame, trees: DataFrame, rows: in
     def outline(tree: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or boxes.empty:
             return pd.DataFrame({"top": [], "tree": []})
-        nodes = cloudpickle.loads(tree["tree"].iat[0])
+        nodes = json.loads(tree["tree"].iat[0])
         found = _outlines(nodes, _leaf_outlines(boxes, boxes["box"].to_numpy() & 0xFFFFFFFF, width))
         return pd.DataFrame({"top": tree["top"].to_numpy(), "tree": [cloudpickle.dumps((nodes, found))]})
 
@@ -398,16 +462,40 @@ def fill_knn_category(df: DataFrame, target: str, features: list[str], key: str,
 
 
 class NeighbourRegressor:
-    """k-nearest regression: ``fit(df).transform(df)`` adds ``prediction``."""
+    """k-nearest regression: ``fit(df).transform(df)`` adds ``prediction``.
+
+    ``features`` are columns or one vector column. Rows without a label are no donors. A row that compares with no donor
+    gets the mean of all; without any donor the prediction is null.
+    """
 
-    def __init__(self, features: list[str], label: str, key: str, k: int = 7):
+    def __init__(self, features: list[str] | str = "features", label: str = "label", key: str = "key", k: int = 7):
         self.features, self.label, self.key, self.k = features, label, key, k
 
-    def fit(self, df: DataFrame) -> "NeighbourRegressor":
-        fitted = NeighbourRegressor(self.features, self.label, self.key, self.k)
-        fitted.donors = df.select(self.key, self.label, *self.features)
-        return fitted
+    def fit(self, df: DataFrame) -> "NeighbourModel":
+        known = df.where(F.col(self.label).isNotNull())
+        return NeighbourModel(DonorIndex.build(known, self.key, self.label, self.features, self.k), self.key)
+
+
+class NeighbourModel:
+    """A fitted ``NeighbourRegressor``; ``save`` writes its boxes, ``load`` reads them."""
+
+    def __init__(self, index: DonorIndex, key: str):
+        self.index, self.key = index, key
 
     def transform(self, df: DataFrame) -> DataFrame:
-        found = nearest_donors(df, self.donors, self.key, self.label, self.features, self.k)
-        return df.join(found, self.key, "left").withColumn("prediction", neighbour_mean()).drop("nearest")
+        """Adds ``prediction``. Rows without the key column are numbered in a table of their own first."""
+        key, rows = self.key, df
+        if key not in df.columns:
+            key, rows = "_asked", stage(df.withColumn("_asked", F.monotonically_increasing_id()), "asked")
+        found = self.index.nearest(rows, key)
+        mean = F.lit(self.index.mean).cast("double")
+        return (rows.join(found, key, "left").withColumn("prediction", F.coalesce(neighbour_mean(), mean))
+                .select(*[c for c in df.columns if c != "prediction"], "prediction"))
+
+    def save(self, spark, path: str) -> None:
+        self.index.save(path)
+        spark.createDataFrame([(self.key,)], "key string").write.mode("overwrite").json(f"{path}/key")
+
+    @staticmethod
+    def load(spark, path: str) -> "NeighbourModel":
+        return NeighbourModel(DonorIndex.load(spark, path), spark.read.schema("key string").json(f"{path}/key").first()[0])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ...operators import evaluate as ev
 from ...operators import models as md
+from ...operators.neighbours import NeighbourRegressor
 from ...operators.transform import add_fold, add_split
 from ...session import fresh_path
 from .. import training
@@ -396,6 +397,20 @@ def bundle(spark, sf_dir):
     return both.select("id", (F.col("before") == F.col("prediction")).alias("same"), F.lit(loaded.names == done.names).alias("named"))
 
 
+@query("s12_bundle_with_neighbours", f"SELECT id, true AS same FROM ({PLANTED_SQL})")
+def neighbour_bundle(spark, sf_dir):
+    """A saved stack with a neighbour base, its boxes beside it, scores every row as before."""
+    df = planted(spark, sf_dir)
+    done = training.train(df, "y", ["a", "b"], ["segment"], "id", bases={"ridge": md.LinearFamily("ridge", 1.0),
+                          "nearest": NeighbourRegressor("features", "label", "id", 5)}, explainer=md.boosted(trees=2, rate=0.5),
+                          folds=2, hashed=False)
+    path = fresh_path(spark, "bundle")
+    done.save(path)
+    before = done.score(df).withColumnRenamed("prediction", "before")
+    both = training.Trained.load(spark, path).score(before)
+    return both.select("id", (F.abs(F.col("before") - F.col("prediction")) <= 1e-9).alias("same"))
+
+
 @query("t_train_stacked_model")
 def train_model(spark, sf_dir):
     """Split, preprocess with interactions, stack, and a separate model to explain: metrics of both."""

@@ -62,3 +62,34 @@ def test_nothing_to_find(spark):
     assert [r["nearest"] for r in got.collect()] == [[]] * 5
     full = frame(spark, range(5), np.arange(5.0), np.zeros((5, 3)))
     assert neighbours.nearest_donors(full.limit(0), full, "id", "y", list("abc"), 2, box_rows=2, top_boxes=1).count() == 0
+
+
+@pytest.mark.parametrize("top_boxes", [4, 1024])
+def test_an_index_saved_and_loaded_answers_alike(spark, tmp_path, top_boxes):
+    from pyspark.ml.functions import array_to_vector
+    donors = spark.range(600).select("id", F.rand(3).alias("y"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    donors = donors.withColumn("features", array_to_vector(F.array("a", "b")))
+    index = neighbours.DonorIndex.build(donors, "id", "y", "features", 3, box_rows=20, top_boxes=top_boxes)
+    asked = donors.sample(0.1, 5).withColumn("id", F.col("id") + 1000)
+    index.save(str(tmp_path / "index"))
+    loaded = neighbours.DonorIndex.load(spark, str(tmp_path / "index"))
+    plain = neighbours.nearest_donors(asked, donors, "id", "y", ["a", "b"], 3)
+    rows = [sorted(map(str, i.nearest(asked, "id").collect())) for i in (index, loaded)] + [sorted(map(str, plain.collect()))]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == asked.count()
+
+
+def test_neighbours_as_a_base_of_the_stack(spark):
+    """Rows without a label are no donors, rows without the key are scored too, a row that compares with nothing has the mean."""
+    from cohortium.operators import models
+    from pyspark.ml.functions import array_to_vector
+    df = spark.range(400).select("id", F.rand(1).alias("a")).withColumn("label", F.floor(F.col("a") * 4) * 10.0)
+    df = df.withColumn("features", array_to_vector(F.array("a")))
+    bases = {n: b for n, b in models.default_bases(key="id").items() if n in ("ridge", "nearest")}
+    assert "nearest" not in models.default_bases()
+    stack = models.fit_stack(df, bases, folds=2, key="id")
+    scored = stack.transform(df.drop("id")).agg(F.avg(F.abs(F.col("prediction") - F.col("label"))), F.count("prediction")).first()
+    assert scored[0] < 1.0 and scored[1] == 400
+    known = spark.createDataFrame([(1, 2.0, 5.0), (2, 3.0, 7.0), (3, 4.0, None)], "id long, a double, label double")
+    model = models.NeighbourRegressor(["a"], "label", "id", 1).fit(known)
+    asked = spark.createDataFrame([(9, 4.0), (10, None)], "id long, a double")
+    assert [r["prediction"] for r in model.transform(asked).orderBy("id").collect()] == [7.0, 6.0]
