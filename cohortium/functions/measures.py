@@ -59,13 +59,13 @@ def activity_optimal(score: Column, threshold: float = rules.ACTIVITY_OPTIMAL) -
     return F.when(score >= threshold, "Yes").otherwise("No")
 
 
-def any_flag(yes_no_cols: list[Column], count_cols: list[Column] = (), legacy_zero: bool = False) -> Column:
+def any_flag(yes_no_cols: list[Column], count_cols: list[Column] = (), legacy_zero: bool = False, legacy: bool = False) -> Column:
     """1 if anything says yes, 0 if something is known, else null.
 
-    A count that is present means yes. With ``legacy_zero`` an absent count means a known no.
+    A count that is present means yes. With ``legacy_zero`` an absent count means a known no; ``legacy`` is that of ``yes_no``.
     """
     absent = 0 if legacy_zero else None
-    flags = [yes_no(c) for c in yes_no_cols]
+    flags = [yes_no(c, legacy) for c in yes_no_cols]
     flags += [F.when(c.isNotNull(), 1).otherwise(absent) for c in count_cols]
     return row_max(*flags) if flags else F.lit(None).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import bucket
@@ -62,12 +62,18 @@ def combos(df: DataFrame, source: str, sources: list[str], sizes=(1, 2, 3)) -> D
     return df.withColumn("combo", F.explode(member))
 
 
-def filter_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
-    """Rows left after each filter, applied in order: step, rows_before, rows_after, dropped. One pass."""
+def _steps(steps: list[tuple[str, Column]]) -> tuple[Column, list[Column]]:
+    """The condition of all steps together, and the counts n0, n1, … of the rows that are left after each."""
     passed, kept = F.lit(True), [F.count(F.lit(1)).alias("n0")]
     for i, (_, condition) in enumerate(steps, 1):
         passed = passed & F.coalesce(condition, F.lit(False))
         kept.append(F.count_if(passed).alias(f"n{i}"))
+    return passed, kept
+
+
+def filter_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
+    """Rows left after each filter, applied in order: step, rows_before, rows_after, dropped. One pass."""
+    _, kept = _steps(steps)
     rows = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("step"), F.col(f"n{i - 1}").alias("rows_before"),
                  F.col(f"n{i}").alias("rows_after"), (F.col(f"n{i - 1}") - F.col(f"n{i}")).alias("dropped"))
@@ -75,6 +81,19 @@ def filter_steps(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     return df.agg(*kept).select(F.inline(rows))
 
 
+def write_filtered(df: DataFrame, steps: list[tuple[str, Column]], path: str) -> DataFrame:
+    """Writes the rows that pass all steps, in place of an earlier table, and returns the account of ``filter_steps``.
+
+    The write itself observes the counts, so that the rows are read once.
+    """
+    passed, kept = _steps(steps)
+    seen = Observation()
+    df.observe(seen, *kept).where(passed).write.mode("overwrite").parquet(path)
+    left = [seen.get[f"n{i}"] for i in range(len(steps) + 1)]
+    rows = [(i, name, left[i - 1], left[i], left[i - 1] - left[i]) for i, (name, _) in enumerate(steps, 1)]
+    return df.sparkSession.createDataFrame(rows, "ordinal int, step string, rows_before bigint, rows_after bigint, dropped bigint")
+
+
 def cap_rows(df: DataFrame, key: str, rows: int, hashed: bool = True) -> DataFrame:
     """A repeatable sample of ``rows`` rows: those with the smallest spread key."""
     if hashed:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,34 @@ def validate(df: DataFrame, rules: list[tuple]) -> tuple[DataFrame, DataFrame]:
     return tagged.where(ok).drop("violations"), tagged.where(~ok)
 
 
+def write_validated(df: DataFrame, rules: list[tuple], path: str) -> dict[str, int]:
+    """Valid and quarantined rows written in one pass, below ``path`` in valid=true and valid=false; their numbers.
+
+    The numbers are observed by the write itself, so that the rows are read and checked once. Violations of valid rows are
+    empty. An earlier table at ``path`` is replaced. ``read_validated`` reads both parts.
+    """
+    tagged = with_violations(df, rules).withColumn("valid", F.size("violations") == 0)
+    seen = Observation()
+    tagged = tagged.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid"),
+                            F.coalesce(F.sum(F.size("violations")), F.lit(0)).alias("violations"))
+    tagged.write.mode("overwrite").partitionBy("valid").parquet(path)
+    counts = seen.get
+    return {"rows": counts["rows"], "valid": counts["valid"], "quarantined": counts["rows"] - counts["valid"],
+            "violations": counts["violations"]}
+
+
+def read_validated(spark, path: str, like: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, quarantined rows with ``violations``) of a written table; ``like`` tells the columns of its rows.
+
+    The part is chosen by its folder, so that the other one is not opened.
+    """
+    found = "array<struct<field:string,rule:string>>"
+    schema = T.StructType([*like.schema.fields, T.StructField("violations", T._parse_datatype_string(found)),
+                           T.StructField("valid", T.BooleanType())])
+    both = spark.read.schema(schema).parquet(path)
+    return both.where("valid").drop("valid", "violations"), both.where("NOT valid").drop("valid")
+
+
 def violations_long(df: DataFrame, rules: list[tuple], key: list[str]) -> DataFrame:
     return with_violations(df, rules).select(*key, F.inline("violations"))
 

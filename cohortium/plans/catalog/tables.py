@@ -10,8 +10,9 @@ from ...operators import columns as col
 from ...operators import lookup, validation
 from ...operators.frequency import group_rare, most_frequent, relative_frequency
 from ...sources import conform, normalise_headers, resolve_column
+from ...session import fresh_path
 from ..survey import (
-    GAPS_SQL, SURVEY_SQL, bucket_sql, case_map, gaps, r6, survey, table, text)
+    ANSWERS, GAPS_SQL, MEASURES, SURVEY_SQL, bucket_sql, case_map, gaps, r6, survey, table, text)
 from .registry import query
 
 WANTED = ["o_totalprice", "o_missing", "o_orderkey", "o_orderpriority", "o_comment"]
@@ -93,6 +94,17 @@ def quarantine(spark, sf_dir):
     return bad.select(*_KEYS, F.size("violations").alias("reasons"))
 
 
+@query("v1_split_sink", """SELECT ok AS valid, count(*) AS rows, CAST(sum(count(*)) OVER () AS BIGINT) AS observed FROM (SELECT l_quantity BETWEEN 2 AND 48
+  AND l_discount >= 0.01 AND l_tax <= 0.07 AND l_extendedprice BETWEEN 2000 AND 90000 AS ok FROM lineitem) GROUP BY ok""")
+def split_sink(spark, sf_dir):
+    """Both parts written in one pass, each read back from its own folder; the write's own count of rows beside them."""
+    lines, path = table(spark, sf_dir, "lineitem"), fresh_path(spark, "validated")
+    seen = validation.write_validated(lines, [r for r in V_RULES if r[0] != "l_shipmode"], path)
+    parts = validation.read_validated(spark, path, lines)
+    counted = [part.agg(F.count(F.lit(1)).alias("rows")).withColumn("valid", F.lit(ok)) for part, ok in zip(parts, (True, False))]
+    return counted[0].unionByName(counted[1]).withColumn("observed", F.lit(seen["rows"]).cast("long")).where("rows > 0")
+
+
 @query("v1_violations_long", _VIOLATED)
 def violations(spark, sf_dir):
     return validation.violations_long(table(spark, sf_dir, "lineitem"), V_RULES, _KEYS)
@@ -111,6 +123,21 @@ def form_rules(spark, sf_dir):
     return validation.violations_long(survey(spark, sf_dir), _FORM, ["id"])
 
 
+def _absent(field: str) -> str:
+    if field in MEASURES:
+        return f'"{field}" IS NULL'
+    return f"coalesce(\"{field}\", '') = ''" if field in ANSWERS else "true"
+
+
+@query("v2_all_form_rules", f"WITH survey AS ({SURVEY_SQL}) " + " UNION ALL ".join(
+    f"SELECT id, '{f}' AS field, '{name}' AS rule FROM survey WHERE {test}"
+    for f, _, lo, hi in rules.FORM_RULES
+    for name, test in [("required", _absent(f)), *([(f"ge {lo:g}", f"\"{f}\" < {lo}"), (f"le {hi:g}", f"\"{f}\" > {hi}")] if f in MEASURES and lo is not None else [])]))
+def all_form_rules(spark, sf_dir):
+    """Every rule of the form; a field that the sheets lack is a violation of each."""
+    return validation.violations_long(survey(spark, sf_dir), rules.FORM_RULES, ["id"])
+
+
 @query("v3_parse_records", """SELECT event_id,
   CASE WHEN event_id % 50 = 7 THEN NULL ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) END AS k,
   CASE WHEN event_id % 50 = 7 THEN NULL ELSE event_type END AS kind, event_id % 50 = 7 AS bad_record FROM events""")
@@ -218,6 +245,18 @@ def accounting(spark, sf_dir):
         ("plausible", F.col("o_totalprice") < 300000)])
 
 
+@query("u5_write_filtered", f"""WITH g AS ({GAPS_SQL}), s AS (SELECT count(*) AS n0, count(o_totalprice) AS n1,
+  count(*) FILTER (WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL) AS n2 FROM g)
+  SELECT 1 AS ordinal, 'target known' AS step, n0 AS rows_before, n1 AS rows_after, n0 - n1 AS dropped, n2 AS written FROM s UNION ALL
+  SELECT 2, 'customer known', n1, n2, n1 - n2, n2 FROM s""")
+def accounted_write(spark, sf_dir):
+    """The filtered rows written, the account observed by that write, and the rows that the written table has."""
+    path = fresh_path(spark, "filtered")
+    account = col.write_filtered(gaps(spark, sf_dir), [
+        ("target known", F.col("o_totalprice").isNotNull()), ("customer known", F.col("o_custkey").isNotNull())], path)
+    return account.withColumn("written", F.lit(spark.read.parquet(path).count()))
+
+
 @query("l1_order_by_metric", "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1 ORDER BY mean")
 def order_by(spark, sf_dir):
     return (table(spark, sf_dir, "orders").groupBy("o_orderpriority")

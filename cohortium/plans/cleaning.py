@@ -59,8 +59,8 @@ def clean_survey(df: DataFrame, rare_threshold: float = 0.01, legacy: bool = Fal
     out["Duration_Status"] = fn.duration_status(years)
 
     flags = lambda names: [F.col(c) for c in names if c in have]
-    out["current_smoking"] = fn.any_flag(flags(rules.SMOKING_YES_NO), flags(rules.SMOKING_COUNTS), legacy)
-    out["current_alcohol"] = fn.any_flag(flags(rules.ALCOHOL_YES_NO), flags(rules.ALCOHOL_COUNTS), legacy)
+    out["current_smoking"] = fn.any_flag(flags(rules.SMOKING_YES_NO), flags(rules.SMOKING_COUNTS), legacy, legacy)
+    out["current_alcohol"] = fn.any_flag(flags(rules.ALCOHOL_YES_NO), flags(rules.ALCOHOL_COUNTS), legacy, legacy)
     for c in [*rules.FAMILY_YES_NO, *rules.SMOKING_YES_NO, *rules.ALCOHOL_YES_NO]:
         put(c, lambda x: fn.yes_no(x, legacy), c)
 
@@ -87,8 +87,16 @@ NUMBERS = ["PreRheight", "PreRweight", "PreRwaist", "PreRhip", "PreBLAge", "Post
 
 
 def with_row_key(df: DataFrame, key: str = "row_key") -> DataFrame:
-    """A key for rows that have none. It is written once, so later jobs all see the same key."""
-    return stage(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    """A key for rows that have none. It is written once, so later jobs all see the same key.
+
+    Keys follow the order of a hash of the content, so that rows compare alike however the files are split; only equal rows
+    can change places.
+    """
+    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    hashed = df.withColumn("_content", F.xxhash64(content))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = hashed.repartitionByRange(parts, "_content").sortWithinPartitions("_content").drop("_content")
+    return stage(placed.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
 def prepare_files(spark: SparkSession, paths: dict[str, str], folder: str, keep: list[str] | None = None,
