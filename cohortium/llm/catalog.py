@@ -73,8 +73,8 @@ def op7_hilbert_sharding(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
-    ages = F.coalesce(F.shiftright("doc_id", 10).bitwiseAND(255), F.lit(0)).cast("int")
-    cells = [sharding.quantised_text("lang"), sharding.quantised_text("source"), sharding.quantised_size(F.col("size")), ages]
+    ids = sharding.quantised_ranges(docs, "doc_id")
+    cells = [sharding.quantised_text("lang"), sharding.quantised_text("source"), sharding.quantised_size(F.col("size")), ids]
     placed = sharding.hilbert_shards(docs, SHARDS, cells, carry=["size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
