@@ -22,10 +22,10 @@ def _bins(c: str) -> str:
     return "CAST(" + " + ".join(f"(p.{c} > e.{c}{i})::INT" for i in range(1, 10)) + " AS VARCHAR)"
 
 
-def _mi(feature: str) -> str:
-    return (f"SELECT 'y' AS target, '{feature}' AS feature, sum(n / total * ln(n * total / (nx * ny))) AS mi FROM (SELECT n, "
-            f"sum(n) OVER () AS total, sum(n) OVER (PARTITION BY {feature}) AS nx, sum(n) OVER (PARTITION BY y) AS ny "
-            f"FROM (SELECT {feature}, y, count(*)::DOUBLE AS n FROM binned GROUP BY 1, 2))")
+def _mi(feature: str, target: str = "y") -> str:
+    return (f"SELECT '{target}' AS target, '{feature}' AS feature, sum(n / total * ln(n * total / (nx * ny))) AS mi FROM (SELECT n, "
+            f"sum(n) OVER () AS total, sum(n) OVER (PARTITION BY {feature}) AS nx, sum(n) OVER (PARTITION BY {target}) AS ny "
+            f"FROM (SELECT {feature}, {target}, count(*)::DOUBLE AS n FROM binned GROUP BY 1, 2))")
 
 
 _BINNED = f"""WITH p AS ({PLANTED_SQL}), e AS (SELECT {', '.join(f'{_edge(c, i)} AS {c}{i}' for c in 'aby' for i in range(1, 10))}),
@@ -45,6 +45,18 @@ def top_share(spark, sf_dir):
     return r6(rk.top_share(scores.withColumnRenamed("mi", "score"), 0.5), "score")
 
 
+@query("a16_top_share_of_two_targets", f"""{_BINNED}, shares AS ({' UNION ALL '.join(
+    _mi(f, t) for t in ('y', 'a') for f in ('a', 'b', 'segment', 'y') if f != t)}),
+  mean AS (SELECT feature, avg(mi) AS score FROM shares GROUP BY 1),
+  placed AS (SELECT feature, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, feature) AS INT) AS rank,
+  count(*) OVER () AS n FROM mean) SELECT feature, score, rank FROM placed WHERE rank <= greatest(1, floor(n * 0.75))""")
+def top_share_of_two(spark, sf_dir):
+    """The best three quarters by the mean over two targets, each of which is a feature of the other."""
+    shares = rk.mutual_information(planted(spark, sf_dir), ["a", "b", "segment", "y"], ["y", "a"])
+    scores = rk.average_over_targets(shares, "mi").withColumnRenamed("mi", "score")
+    return r6(rk.top_share(scores, 0.75), "score")
+
+
 @query("x1_rank_features")
 def ranked(spark, sf_dir):
     """Information and forest importance for two targets; a constant target is skipped."""
