@@ -50,3 +50,13 @@ def test_trees_and_lines_share_a_board(spark):
 def test_no_estimators(spark):
     with pytest.raises(ValueError):
         models.race(data(spark, 20), {"none": []}, "id", folds=2)
+
+
+def test_sources_with_few_rows_are_named(spark):
+    from pyspark.ml.regression import LinearRegression
+    from cohortium.operators.models import as_vector
+    from cohortium.plans.training import compare_sources
+    df = spark.range(120).select("id", F.when(F.col("id") < 5, "tiny").otherwise("large").alias("source"), F.rand(1).alias("a"))
+    df = df.withColumn("label", F.col("a") * 2).withColumn("features", as_vector(["a"]))
+    found = compare_sources(df, "source", ["tiny", "large"], "id", LinearRegression(labelCol="label"), {"regParam": [0.1]}, sizes=(1,), folds=2)
+    assert found.skipped == ["tiny"] and [r["dataset"] for r in found.board.collect()] == ["large"]
