@@ -419,3 +419,11 @@ def train_model(spark, sf_dir):
                           bases={"ridge": md.LinearFamily("ridge", 1.0), "lasso": md.LinearFamily("lasso", 0.01)},
                           explainer=md.boosted(trees=5, rate=0.3), folds=3, hashed=False)
     return done.metrics
+
+
+@query("t_train_held_out", f"""WITH p AS (SELECT *, {split_sql('id')} AS split FROM ({PLANTED_SQL}))
+  SELECT model, (SELECT count(*) FROM p WHERE split = 'test' AND y IS NOT NULL) AS n, true AS explains
+  FROM (VALUES ('stack'), ('explainer')) m(model)""")
+def train_held_out(spark, sf_dir):
+    """Both models are measured on every held-out row, of whose spread they explain more than half."""
+    return train_model(spark, sf_dir).select("model", "n", (F.col("r2") > 0.5).alias("explains"))
