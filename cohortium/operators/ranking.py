@@ -7,8 +7,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +17,7 @@ from .fill import fit_fill
 from .frequency import category_index
 from .neighbours import fill_knn, fill_knn_category
 from .quantiles import exact_quantiles
+from .trees import Forest, ForestClassifier
 
 
 def _text(df: DataFrame, c: str) -> bool:
@@ -136,7 +135,7 @@ def forest_importance(df: DataFrame, features: list[str], target: str, trees: in
     label = F.col(target + "_idx") if target in texts else F.col(target)
     ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(
         work.select(*inputs, label.cast("double").alias("_y")))
-    learner = RandomForestClassifier if target in texts else RandomForestRegressor
+    learner = ForestClassifier if target in texts else Forest
     model = learner(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
                     maxBins=32).fit(ready)
     rows = [(target, f, float(model.featureImportances[i])) for i, f in enumerate(features)]
