@@ -93,3 +93,23 @@ def test_neighbours_as_a_base_of_the_stack(spark):
     model = models.NeighbourRegressor(["a"], "label", "id", 1).fit(known)
     asked = spark.createDataFrame([(9, 4.0), (10, None)], "id long, a double")
     assert [r["prediction"] for r in model.transform(asked).orderBy("id").collect()] == [7.0, 6.0]
+
+
+def test_leaves_of_a_large_group_give_what_all_pairs_give(monkeypatch):
+    """Also with gaps and with ties, which go to the smaller donor; a leaf alone is compared, not the whole group."""
+    rng, real, pairs = np.random.default_rng(1), neighbours._compare_all, []
+    monkeypatch.setattr(neighbours, "_compare_all", lambda r, d, k: pairs.append(len(r) * len(d)) or real(r, d, k))
+    for gaps in (False, True):
+        for tied in (False, True):
+            for width in (1, 2, 7):
+                d, r = rng.normal(size=(700, width)), rng.normal(size=(500, width))
+                d, r = (np.round(d), np.round(r)) if tied else (d, r)
+                if gaps:
+                    d[rng.random(d.shape) < 0.2], r[rng.random(r.shape) < 0.2] = np.nan, np.nan
+                for k in (1, 5):
+                    found = [sorted(zip(*(x.tolist() for x in of(r, d, k)))) for of in (neighbours._k_nearest, real)]
+                    assert found[0] == found[1]
+    pairs.clear()
+    d, r = rng.normal(size=(2048, 2)), rng.normal(size=(1000, 2))
+    neighbours._k_nearest(r, d, 5)
+    assert sum(pairs) < len(r) * len(d) / 5
