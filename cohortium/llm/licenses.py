@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage, unstage
 from .texts import release_shuffles
 
 UNKNOWN = "unknown"
@@ -218,7 +219,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     frequent ones of the examples, are features. An empty table gives a model of the templates alone.
     """
     spark = df.sparkSession
+    # written tables keep the plans of the many jobs short, which the driver keeps with all their values
     known, anchors = templates(spark, texts)
+    known = stage(known, "templates")
     families = sorted(texts or TEMPLATES)
     # examples: every template, and copies without their first or last words and with words around them
     n = F.size("words")
@@ -238,8 +241,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
                 .unionByName(local(spark, spoken, "family string, words array<string>")))
     classes = [UNKNOWN, *families]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
-    rows = examples.coalesce(1).select(label.alias("label"), all_grams(F.col("words")).alias("grams"),
-                           F.pmod(F.xxhash64("family", "words"), F.lit(5)).alias("fold")).persist()
+    rows = stage(examples.coalesce(1).select(label.alias("label"), all_grams(F.col("words")).alias("grams"),
+                           F.pmod(F.xxhash64("family", "words"), F.lit(5)).alias("fold")), "examples")
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     weighed = rows.join(F.broadcast(counts), "label").withColumn("weight", 1.0 / F.col("n"))
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=GRAMS, binary=True)
@@ -261,9 +264,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", others: int = OT
     matrix = logistic.coefficientMatrix.toArray()
     weights = [(gram, classes[k], float(matrix[k, i])) for i, gram in enumerate(counted.vocabulary)
                for k in range(len(classes)) if abs(matrix[k, i]) > 1e-6]
-    rows.unpersist()
+    unstage(rows)
     release_shuffles(df)
-    return LicenceModel(local(spark, weights, "gram string, family string, weight double"), families,
+    return LicenceModel(stage(local(spark, weights, "gram string, family string, weight double"), "weights"), families,
                         [float(b) for b in logistic.interceptVector.toArray()], thresholds, known, anchors)
 
 
