@@ -13,6 +13,7 @@ from ..session import bucket, stage, unstage
 from .columns import enough_rows
 from .fill import apply_fill, fill_chained, fit_fill
 from .neighbours import fill_knn
+from .trees import over_cores
 
 log = logging.getLogger(__name__)
 
@@ -85,16 +86,22 @@ def fill_tournament(df: DataFrame, cols: list[str], key: str, strategies=STRATEG
     """(scores, filled): the best strategy, fitted again on the whole table.
 
     With fewer than 10 complete rows, or where no cell was hidden or no strategy came through, nothing can be compared:
-    chained fill. If the chosen strategy fails on the whole table, the mean fills it.
+    chained fill. If the chosen strategy fails on the whole table, the mean fills it. A table that lies in fewer partitions
+    than there are cores is dealt out and written first, as every strategy reads it many times.
     """
+    spread = over_cores(df)
+    rows = stage(spread, "tournament") if spread is not df else df
     scores = df.sparkSession.createDataFrame([], SCORES)
     best = None
-    if enough_rows(df.select(*cols).dropna(), 10):
-        scores = score_strategies(df, cols, key, strategies, one_in, rounds, learner, hashed)
+    if enough_rows(rows.select(*cols).dropna(), 10):
+        scores = score_strategies(rows, cols, key, strategies, one_in, rounds, learner, hashed)
         best = winner(scores).first()
     name = best["strategy"] if best and best["strategy"] else "chained"
     try:
-        return scores, stage(fill_with(df, cols, key, name, rounds, learner), "filled")
+        return scores, stage(fill_with(rows, cols, key, name, rounds, learner), "filled")
     except FAILURES as error:
         log.warning("fill strategy %s failed, the mean is used: %s", name, str(error).split("\n")[0])
         return scores, fill_with(df, cols, key, "mean")
+    finally:
+        if rows is not df:
+            unstage(rows)

@@ -3,7 +3,7 @@
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from cohortium.operators import models, ranking, trees
+from cohortium.operators import models, ranking, tournament, trees
 
 
 def _rows(spark, n, parts):
@@ -44,3 +44,28 @@ def test_forests_of_texts_are_dealt_too(spark, monkeypatch):
     df = spark.range(0, 300, 1, 1).select(F.pmod("id", F.lit(3)).alias("x"), F.concat(F.lit("t"), F.pmod("id", F.lit(3))).alias("y"))
     out = ranking.forest_importance(df, ["x"], "y", trees=2, depth=3).collect()
     assert [(r["target"], r["feature"]) for r in out] == [("y", "x")] and seen == [["_x", "_y"]]
+
+
+def test_rows_in_few_partitions_use_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert trees.over_cores(_rows(spark, 1000, 1), least=10).rdd.getNumPartitions() == min(cores, 100)
+    assert trees.over_cores(_rows(spark, 1000, 1), least=10, rows=20).rdd.getNumPartitions() == max(cores, 50)
+    for kept, least in ((_rows(spark, 1000, 1), 1000), (_rows(spark, 1000, cores), 10), (_rows(spark, 0, 1), 10)):
+        assert trees.over_cores(kept, least=least) is kept
+
+
+def test_tournament_deals_out_a_table_of_one_partition(spark, monkeypatch):
+    real, seen = tournament.fill_with, []
+
+    def watched(df, *rest):
+        seen.append((df.rdd.getNumPartitions(), df.count()))
+        return real(df, *rest)
+
+    monkeypatch.setattr(tournament, "fill_with", watched)
+    df = spark.range(0, 10_000, 1, 1).select("id", F.when(F.pmod("id", F.lit(7)) != 1, F.pmod("id", F.lit(5))).cast("double").alias("a"))
+    scores, filled = tournament.fill_tournament(df, ["a"], "id", ("mean", "zero"))
+    assert [n for n, _ in seen] == [min(2, spark.sparkContext.defaultParallelism)] * 3 and seen[-1][1] == 10_000
+    assert scores.where(F.col("rmse").isNotNull()).count() == 2
+    out = filled.agg(F.count("a"), F.count_distinct("id"), F.count_if(F.pmod("id", F.lit(7)) != 1)).first()
+    assert tuple(out) == (10_000, 10_000, 8571)
+    assert filled.where((F.pmod("id", F.lit(7)) != 1) & (F.col("a") != F.pmod("id", F.lit(5)))).count() == 0
