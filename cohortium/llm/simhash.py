@@ -146,7 +146,8 @@ def links(prints: DataFrame, limit: int = 4, fingerprint: str = "fingerprint", b
     sizes = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(fingerprint, F.lit(7)), F.col("blocks")).cast("int")
-    lanes = (cells.join(sizes, ["choice", "cell"]).withColumn("blocks", blocks).withColumn("own", own)
+    # Spark takes the cells for no more than their fingerprints, one row for each of the choices, and would broadcast them
+    lanes = (cells.hint("merge").join(sizes, ["choice", "cell"]).withColumn("blocks", blocks).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("lane", F.xxhash64("choice", "cell", F.least("own", "other"), F.greatest("own", "other"))))
 

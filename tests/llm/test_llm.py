@@ -392,6 +392,18 @@ def test_links_lose_nothing_in_large_cells(spark):
         assert sets(lambda p: roots.get(p, simhash.signed(own[p]))) == sets(lambda p: groups[p])
 
 
+def test_links_broadcast_no_cells(spark):
+    """Each fingerprint gives 70 cells, of which Spark's estimate of the size knows nothing."""
+    own = [simhash.signed(p) for p in (0, 1, 0b1011, (1 << 64) - 1)]
+    table = spark.createDataFrame([(p,) for p in own], "fingerprint long")
+    found = simhash.links(table, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    edges = [tuple(r) for r in found.collect()]
+    assert {p for edge in edges for p in edge} == set(own[:3])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # nor after the sizes are known
+
+
 def test_manhattan_is_a_lower_bound():
     x, y = (np.random.default_rng(i).integers(0, 1 << 63, 2000).astype(np.uint64) for i in (1, 2))
     bits = lambda v: np.array([[int(v_) >> (2 * s) & 3 for s in range(32)] for v_ in v])
