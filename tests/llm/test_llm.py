@@ -404,6 +404,21 @@ def test_links_broadcast_no_cells(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # nor after the sizes are known
 
 
+def test_pipeline_broadcasts_no_cells(spark, monkeypatch):
+    import corpus_pipeline
+
+    plans, write = {}, simhash.stage
+
+    def noted(df, name="stage"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "stage", noted)
+    docs = spark.createDataFrame([(2, "a b c d e"), (1, "A b c  d e"), (3, "quite another text of words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near(spark, docs, "").collect()) == [1, 3]
+    assert "Broadcast" not in plans["links"]
+
+
 def test_manhattan_is_a_lower_bound():
     x, y = (np.random.default_rng(i).integers(0, 1 << 63, 2000).astype(np.uint64) for i in (1, 2))
     bits = lambda v: np.array([[int(v_) >> (2 * s) & 3 for s in range(32)] for v_ in v])
