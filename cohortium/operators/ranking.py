@@ -163,7 +163,8 @@ def average_over_targets(scores: DataFrame, score: str = "score") -> DataFrame:
 
 def top_share(scores: DataFrame, share: float = 0.5, score: str = "score") -> DataFrame:
     """The best max(1, int(n * share)) features with their rank. One row per feature, so one small window."""
-    ranked = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "feature")))
+    # scores that differ by the order of a sum alone are ties
+    ranked = scores.withColumn("rank", F.row_number().over(Window.orderBy(F.round(score, 12).desc(), "feature")))
     n = scores.agg(F.count(F.lit(1))).scalar()
     return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(n * F.lit(float(share)))))
 

@@ -120,3 +120,10 @@ def test_staged_folders_go_and_nothing_stays_cached(spark):
     assert os.path.isdir(once.staged_at) and once.staged_at.startswith(shared_dir(spark))
     unstage(once)
     assert not os.path.exists(once.staged_at)
+
+
+def test_scores_that_differ_by_rounding_are_ties(spark):
+    from cohortium.operators import ranking
+
+    scores = spark.createDataFrame([("b", 1.5859904931234805), ("a", 1.5859904931234803), ("c", 0.5)], "feature string, score double")
+    assert [tuple(r) for r in ranking.top_share(scores, 0.7).select("feature", "rank").orderBy("rank").collect()] == [("a", 1), ("b", 2)]
